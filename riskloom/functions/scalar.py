@@ -16,8 +16,13 @@ def currency(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(value, 0))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals, exact ties to even (``format_string`` would round them up)."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def percent(value: Column) -> Column:
-    return F.format_string("%.1f%%", value * 100)
+    return F.concat(fixed(value * 100, 1), F.lit("%"))
 
 
 def title_case(value: Column) -> Column:

@@ -30,24 +30,29 @@ def _risk_share(column: str, value: Column) -> Column:
     return value
 
 
-def contributions(inputs: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
-    """(label, weighted term) in evaluation order; ``inputs`` replaces single columns."""
-    inputs = inputs or {}
-    return [
-        (label, _risk_share(column, inputs.get(column, F.col(column))) * weight)
-        for column, label, weight in policy.SCORE_TERMS
-    ]
+def contribution_at(column: str, value: Column) -> Column:
+    """The weighted term of one input at a given value."""
+    weight = {c: w for c, _, w in policy.SCORE_TERMS}[column]
+    return _risk_share(column, value) * weight
 
 
-def uncapped_score(inputs: dict[str, Column] | None = None) -> Column:
+def contributions() -> list[tuple[str, Column]]:
+    """(label, weighted term) in evaluation order."""
+    return [(label, contribution_at(column, F.col(column)))
+            for column, label, _ in policy.SCORE_TERMS]
+
+
+def uncapped_score(without: str | None = None) -> Column:
+    """Sum of the terms, of all inputs or of all but one."""
     total = F.lit(0.0)
-    for _, term in contributions(inputs):
-        total = total + term
+    for column, _, _ in policy.SCORE_TERMS:
+        if column != without:
+            total = total + contribution_at(column, F.col(column))
     return total
 
 
-def risk_score(inputs: dict[str, Column] | None = None) -> Column:
-    total = uncapped_score(inputs)
+def risk_score() -> Column:
+    total = uncapped_score()
     return guarded(total, F.least(total, F.lit(1.0)))
 
 

@@ -54,19 +54,23 @@ def scorecard_attribution(df: DataFrame, id_column: str = "application_id") -> D
     return _with_phi(df).select(id_column, base_value().alias("base"), F.inline(rows))
 
 
+def _step(number: int, label: str, amount: Column, running: Column) -> Column:
+    return F.struct(F.lit(number).alias("step"), F.lit(label).alias("label"),
+                    amount.alias("amount"), running.alias("running"))
+
+
 def waterfall(df: DataFrame, id_column: str = "application_id") -> DataFrame:
     """Base value, one step per feature with its running total, final value.
 
     Running totals are sums inside the row: no window, no shuffle.
     """
     so_far = base_value()
-    steps = [F.struct(F.lit(0).alias("step"), F.lit("Base Value").alias("label"),
-                      so_far.alias("amount"), so_far.alias("running"))]
+    steps = [_step(0, "Base Value", so_far, so_far)]
     for i, label in enumerate(policy.SCORE_LABELS):
         phi = F.col("_phi")[label]
         so_far = so_far + phi
-        steps.append(F.struct(F.lit(i + 1), F.lit(label), phi, so_far))
-    steps.append(F.struct(F.lit(len(steps)), F.lit("Final Prediction"), so_far, so_far))
+        steps.append(_step(i + 1, label, phi, so_far))
+    steps.append(_step(len(steps), "Final Prediction", so_far, so_far))
     return _with_phi(df).select(id_column, F.inline(F.array(*steps)))
 
 
@@ -138,20 +142,24 @@ def summed_prediction() -> Column:
 def partial_dependence(df: DataFrame, feature: str, points: int = 50) -> DataFrame:
     """Mean score with ``feature`` fixed at each grid point from its min to its max.
 
-    One aggregation with one average per grid point: rows are not multiplied.
+    One aggregation with one sum per grid point: rows are not multiplied. The other
+    terms of a row are added up once.
     """
     rows = complete_rows(df)
     limits = rows.agg(F.struct(F.min(feature).cast("double").alias("low"),
                                F.max(feature).cast("double").alias("high"))).scalar()
-    located = rows.withColumn("_r", limits)
-    span = (F.col("_r.high") - F.col("_r.low")) / (points - 1)
-    cells = []
-    for i in range(points):
-        at = F.col("_r.low") + span * i
-        cells.append(F.struct(
-            F.lit(i).alias("point"), F.max(at).alias("feature_value"),
-            F.avg(scorecard.risk_score({feature: at})).alias("mean_score")))
-    return located.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    rest = scorecard.uncapped_score(without=feature)
+    located = rows.select(rest.alias("rest"), limits.alias("r"))
+    span = (F.col("r.high") - F.col("r.low")) / (points - 1)
+    grid = [F.col("r.low") + span * i for i in range(points)]
+    scores = [F.least(F.col("rest") + scorecard.contribution_at(feature, at), F.lit(1.0))
+              for at in grid]
+    sums = located.agg(F.count("*").alias("n"), F.any_value("r").alias("r"),
+                       *[F.sum(s).alias(f"s{i}") for i, s in enumerate(scores)])
+    return sums.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("point"), at.alias("feature_value"),
+                 F.try_divide(F.col(f"s{i}"), F.col("n")).alias("mean_score"))
+        for i, at in enumerate(grid)])))
 
 
 def what_if(df: DataFrame, scenarios: DataFrame, id_column: str = "scenario_id") -> DataFrame:

@@ -157,8 +157,7 @@ def weekly_summary(df: DataFrame) -> DataFrame:
 def daily_amounts(df: DataFrame) -> DataFrame:
     """Daily loans and interest revenue as exact decimals."""
     amount = scalar.exact_money(F.col("loan_amount"))
-    revenue = (F.col("loan_amount") * scalar.segment_yield(F.col("credit_score"))) \
-        .cast("decimal(18,4)")
+    revenue = amount * scalar.segment_yield(F.col("credit_score")).cast("decimal(4,2)")
     losses = F.when(F.col("default_risk") == 1, amount).otherwise(F.lit(0).cast("decimal(18,4)"))
     return df.groupBy(F.to_date("application_ts").alias("date")).agg(
         F.sum(amount).alias("total_loans"), F.sum(revenue).alias("total_revenue"),

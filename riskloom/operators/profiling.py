@@ -136,21 +136,21 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     One aggregation: the regression sums skip a pair when either side is missing.
     """
     columns = columns or numeric_columns(df)
-    sums, cells = [], []
-    for i, a in enumerate(columns):
-        for j in range(i, len(columns)):
-            y, x = F.col(a).cast("double"), F.col(columns[j]).cast("double")
-            sums.append(F.struct(
-                F.regr_sxy(y, x).alias("xy"), F.regr_sxx(y, x).alias("xx"),
-                F.regr_syy(y, x).alias("yy")).alias(f"c{i}_{j}"))
-    row = df.agg(*sums)
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            s = F.col(f"c{min(i, j)}_{max(i, j)}")
-            r = F.try_divide(s["xy"], F.sqrt(s["xx"]) * F.sqrt(s["yy"]))
-            cells.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                                  r.alias("r")))
-    return row.select(F.inline(F.array(*cells)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    as_double = [f"CAST(`{c}` AS DOUBLE)" for c in columns]
+    # SQL text: a wide aggregate is planned much faster than from single expressions.
+    sums = df.selectExpr(*[
+        f"{name}({as_double[i]}, {as_double[j]}) AS {name}_{i}_{j}"
+        for i, j in pairs for name in ("regr_sxy", "regr_sxx", "regr_syy")])
+    cells = ", ".join(
+        f"named_struct('i', {i}, 'j', {j}, 'r', try_divide(regr_sxy_{i}_{j}, "
+        f"sqrt(regr_sxx_{i}_{j}) * sqrt(regr_syy_{i}_{j})))" for i, j in pairs)
+    upper = sums.selectExpr(f"inline(array({cells}))")
+    names = F.array(*[F.lit(c) for c in columns])
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return upper.select(F.explode(both).alias("p"), "r").select(
+        names[F.col("p.i")].alias("feature_1"), names[F.col("p.j")].alias("feature_2"), "r")
 
 
 def strong_correlations(df: DataFrame, columns: list[str] | None = None,

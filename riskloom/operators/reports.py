@@ -62,7 +62,7 @@ def exploration_report(df: DataFrame, columns: list[str],
     stats = profiling.describe(df, columns).withColumn(
         "metric", F.concat_ws(" ", "column", "stat"))
     return head.unionByName(numbered(
-        stats, "metric", F.format_string("%.2f", F.col("value")), ["metric"], 7))
+        stats, "metric", scalar.fixed(F.col("value"), 2), ["metric"], 7))
 
 
 def business_report(scored: DataFrame, as_of: str) -> DataFrame:
@@ -93,7 +93,7 @@ def compliance_report(scored: DataFrame, trail: DataFrame, as_of: str) -> DataFr
     metrics = fairness.overall_metrics(scored).withColumn(
         "metric", scalar.title_case(F.col("metric")))
     return head.unionByName(numbered(
-        metrics, "metric", F.format_string("%.3f", F.col("value")), ["metric"], 5))
+        metrics, "metric", scalar.fixed(F.col("value"), 3), ["metric"], 5))
 
 
 def explanation_report(df: DataFrame) -> DataFrame:
@@ -102,11 +102,11 @@ def explanation_report(df: DataFrame) -> DataFrame:
     head = lines(base, [
         ("Type", F.lit("Additive scorecard")),
         ("Features", F.lit(len(policy.SCORE_TERMS))),
-        ("Base Value", F.format_string("%.3f", explain.base_value())),
+        ("Base Value", scalar.fixed(explain.base_value(), 3)),
     ])
     ranked = explain.global_importance(df)
     return head.unionByName(numbered(
-        ranked, "feature", F.format_string("%.4f", F.col("importance")), ["rank"], 4))
+        ranked, "feature", scalar.fixed(F.col("importance"), 4), ["rank"], 4))
 
 
 def assessment_summaries(scored: DataFrame, id_column: str = "application_id") -> DataFrame:

@@ -109,4 +109,4 @@ def risk_distribution(df: DataFrame) -> DataFrame:
 
 def impact_text(phi: Column) -> Column:
     return F.concat(scalar.impact_direction(phi), F.lit(" risk by "),
-                    F.format_string("%.3f", F.abs(phi)))
+                    scalar.fixed(F.abs(phi), 3))

@@ -10,7 +10,7 @@ from riskloom.operators import profiling
 
 def missing_columns(df: DataFrame) -> list[str]:
     """Required scoring columns the table lacks (schema only, no job)."""
-    return [c for c in policy.SCORE_INPUTS if c not in df.columns]
+    return [c for c in policy.REQUIRED_COLUMNS if c not in df.columns]
 
 
 def bad_score() -> Column:

@@ -133,7 +133,7 @@ def accuracy_zone(spark, sf_dir):
 
 _DAILY = """
     , daily AS (SELECT CAST(application_ts AS DATE) AS date, sum(CAST(loan_amount AS DECIMAL(18,4))) AS total_loans,
-        sum(CAST(loan_amount * yield_rate AS DECIMAL(18,4))) AS total_revenue,
+        sum(CAST(loan_amount AS DECIMAL(18,4)) * CAST(yield_rate AS DECIMAL(4,2))) AS total_revenue,
         sum(CASE WHEN default_risk = 1 THEN CAST(loan_amount AS DECIMAL(18,4)) ELSE 0 END) AS default_losses
       FROM segmented GROUP BY 1),
     running AS (SELECT date, CAST(sum(total_loans) OVER w AS DOUBLE) AS total_loans,
@@ -149,17 +149,17 @@ def running(spark, sf_dir):
 
 
 @query("w1_running_totals", on_portfolio(_DAILY.strip() + """
-    SELECT date, round(total_loans, 2) AS total_loans, round(total_revenue, 2) AS total_revenue,
-           round(default_losses, 2) AS default_losses FROM running"""))
+    SELECT date, round(total_loans, 6) AS total_loans, round(total_revenue, 6) AS total_revenue,
+           round(default_losses, 6) AS default_losses FROM running"""))
 def running_totals(spark, sf_dir):
-    return rounded(running(spark, sf_dir), *METRICS, digits=2)
+    return rounded(running(spark, sf_dir), *METRICS)
 
 
 @query("w2_latest_totals", on_portfolio(_DAILY.strip() + """
-    SELECT date, round(total_loans, 2) AS total_loans, round(total_revenue, 2) AS total_revenue,
-      round(default_losses, 2) AS default_losses FROM running ORDER BY date DESC LIMIT 1"""))
+    SELECT date, round(total_loans, 6) AS total_loans, round(total_revenue, 6) AS total_revenue,
+      round(default_losses, 6) AS default_losses FROM running ORDER BY date DESC LIMIT 1"""))
 def latest_totals(spark, sf_dir):
-    return rounded(kpi.latest(running(spark, sf_dir), "date", METRICS), *METRICS, digits=2)
+    return rounded(kpi.latest(running(spark, sf_dir), "date", METRICS), *METRICS)
 
 
 @query("w3_monthly_change", on_portfolio("""

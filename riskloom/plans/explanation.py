@@ -53,7 +53,7 @@ def summary_points(spark, sf_dir):
     , drawn AS (SELECT * FROM scored WHERE risk_score IS NOT NULL
         ORDER BY md5(CAST(application_id AS VARCHAR)), application_id LIMIT 200),
     m AS (SELECT avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, avg(c4) AS m4, avg(c5) AS m5, avg(c6) AS m6 FROM drawn)
-    SELECT application_id, round(c1 - m1, 6) + 0 AS credit_score_phi, round(c4 - m4, 6) + 0 AS employment_phi
+    SELECT application_id, round(c1 - m1, 9) + 0 AS credit_score_phi, round(c4 - m4, 9) + 0 AS employment_phi
     FROM drawn, m""".strip()))
 def summary_sample(spark, sf_dir):
     """The sampled form: attributions within a repeatable draw of 200 applications."""
@@ -63,7 +63,7 @@ def summary_sample(spark, sf_dir):
         pick("Credit Score").alias("credit_score_phi"),
         pick("Employment Length").alias("employment_phi"))
     return wide.select("application_id", *[
-        (F.round(c, 6) + 0.0).alias(c) for c in ("credit_score_phi", "employment_phi")])
+        (F.round(c, 9) + 0.0).alias(c) for c in ("credit_score_phi", "employment_phi")])
 
 
 @query("x5_global_importance", on_phi(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import policy
 from riskloom.operators import explain, kpi, validation
 from riskloom.plans.catalog import query
-from riskloom.plans.oracle import HISTORY, LINES, on_applications, on_portfolio, on_scored, sql
+from riskloom.plans.oracle import LINES, on_applications, on_portfolio, on_scored, sql
 from riskloom.plans.shared import applications, rounded, scored
 from riskloom.sources import applications as views
 
@@ -39,14 +39,14 @@ def line_ratios(spark, sf_dir):
     return orders.join(lines, "o_orderkey", "left").withColumnRenamed("o_orderkey", "application_id")
 
 
-@query("j3_trailing_inquiries", sql("""
+@query("j3_trailing_inquiries", """
     SELECT a.o_orderkey AS application_id,
            CAST(count(*) - 1 AS INTEGER) AS inquiries_6mths
     FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
      AND CAST(b.o_orderdate AS DATE) <= CAST(a.o_orderdate AS DATE)
      AND CAST(b.o_orderdate AS DATE) > CAST(a.o_orderdate AS DATE) - INTERVAL 180 DAY
     JOIN customer ON c_custkey = a.o_custkey
-    GROUP BY a.o_orderkey"""))
+    GROUP BY a.o_orderkey""")
 def trailing_inquiries(spark, sf_dir):
     """The interval self join as a range window over per-day counts."""
     return applications(spark, sf_dir, "application_id", "inquiries_6mths")
@@ -94,7 +94,7 @@ def purposes_without_product(spark, sf_dir):
 
 @query("w7_account_history", on_applications("""
     SELECT application_id, inquiries_6mths, open_accounts, total_accounts, credit_history_months
-    FROM applications""", ))
+    FROM applications"""))
 def account_history(spark, sf_dir):
     return applications(spark, sf_dir, "application_id", "inquiries_6mths", "open_accounts",
                         "total_accounts", "credit_history_months")

@@ -28,8 +28,8 @@ def derived_features(spark, sf_dir):
 @query("p22_utilization_trend", on_applications("""
     , t AS (SELECT application_id, credit_utilization, avg(credit_utilization) OVER (PARTITION BY customer_id
         ORDER BY datediff('day', DATE '1970-01-01', CAST(application_ts AS DATE))
-        RANGE BETWEEN 179 PRECEDING AND CURRENT ROW) AS trailing FROM applications)
-    SELECT application_id, round(credit_utilization - trailing, 6) + 0 AS utilization_trend FROM t""".strip()))
+        RANGE BETWEEN 179 PRECEDING AND CURRENT ROW) AS average FROM applications)
+    SELECT application_id, round(credit_utilization - average, 6) + 0 AS utilization_trend FROM t""".strip()))
 def utilization_trend(spark, sf_dir):
     df = applications(spark, sf_dir, "application_id", "customer_id", "application_ts",
                       "credit_utilization")

@@ -31,10 +31,7 @@ raw AS (SELECT c_custkey AS application_id, c_acctbal AS annual_income,
     FROM raw""", RAW))
 def missing_columns(spark, sf_dir):
     df = raw_customers(spark, sf_dir)
-    order = [c for c in ["annual_income", "credit_score", "loan_amount", "employment_length",
-                         "debt_to_income", "credit_utilization"]
-             if c in validation.missing_columns(df)]
-    return df.agg(F.count("*").alias("n")).withColumn("missing", F.lit(", ".join(order)))
+    return df.agg(F.count("*").alias("n")).withColumn("missing", F.lit(", ".join(validation.missing_columns(df))))
 
 
 @query("v2_invalid_credit_scores", sql("""

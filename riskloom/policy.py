@@ -56,6 +56,12 @@ PROXY_DELINQUENCY_SCALE = 10
 PROXY_INQUIRY_SCALE = 15
 PROXY_CUT = 0.5
 
+# Columns a batch must have, in the order they are reported missing.
+REQUIRED_COLUMNS = [
+    "annual_income", "credit_score", "loan_amount", "employment_length", "debt_to_income",
+    "credit_utilization",
+]
+
 # Range validation.
 CREDIT_SCORE_RANGE = (300, 850)
 FIELD_RANGES = {
