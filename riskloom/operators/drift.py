@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskloom import policy
+from riskloom import policy, session
 from riskloom.operators import ranking
 
 BINS = 10
@@ -18,12 +18,12 @@ def population_stability(df: DataFrame, features: list[str], ts: str, cut: str)
     binned, so copies collapse in the map-side aggregation.
     """
     current = F.col(ts) >= F.lit(cut).cast("timestamp")
-    counts = df.select(current.alias("current"),
+    counts = session.materialize(df.select(current.alias("current"),
                        *[F.col(c).cast("double").alias(c) for c in features]) \
         .unpivot("current", features, "feature", "value").filter(F.col("value").isNotNull()) \
         .groupBy("feature", "value").agg(
             F.count_if(~F.col("current")).alias("reference"),
-            F.count_if("current").alias("current"))
+            F.count_if("current").alias("current")), "drift-counts")
     deciles = ranking.quantiles(
         counts.filter("reference > 0").select("feature", "value", F.col("reference").alias("n")),
         ["feature"], [i / BINS for i in range(1, BINS)])

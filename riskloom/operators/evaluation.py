@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom import policy
+from riskloom import policy, session
 from riskloom.functions import scalar
 from riskloom.operators import ranking
 
@@ -51,10 +51,12 @@ def score_counts(rows: DataFrame, bins: int | None = None) -> DataFrame:
     """Positives and negatives per model and distinct score.
 
     ``bins`` rounds probabilities to a grid: an approximate curve of bounded length.
+    The counts are a written table, as ranking reads them several times.
     """
     score = F.col("score") if bins is None else F.floor(F.col("score") * bins) / bins
-    return rows.groupBy("model", score.alias("score")).agg(
+    counts = rows.groupBy("model", score.alias("score")).agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    return session.materialize(counts, "score-counts")
 
 
 def ranked_scores(rows: DataFrame, bins: int | None = None) -> DataFrame:

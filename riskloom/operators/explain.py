@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom import policy
-from riskloom.functions import scalar, scorecard
+from riskloom.functions import scorecard
 from riskloom.operators import ranking, scoring
 
 MAX_BACKGROUND = 100
@@ -118,6 +118,19 @@ def individual_explanation(df: DataFrame, id_column: str = "application_id") ->
         base_value().alias("base_rate"), impacts.alias("impacts"))
 
 
+def scorecard_documents(df: DataFrame, as_of: str, id_column: str = "application_id") -> DataFrame:
+    """One JSON explanation per application, built inside the row."""
+    prediction = base_value()
+    for label in policy.SCORE_LABELS:
+        prediction = prediction + F.col("_phi")[label]
+    document = F.struct(
+        F.lit(as_of).alias("timestamp"), prediction.alias("prediction"),
+        base_value().alias("expected_value"), F.col("_phi").alias("feature_contributions"),
+        F.struct(*[F.col(c).cast("double").alias(label) for c, label, _ in policy.SCORE_TERMS])
+        .alias("feature_values"))
+    return _with_phi(df).select(id_column, F.to_json(document).alias("document"))
+
+
 def explanation_documents(attributions: DataFrame, prediction: Column, as_of: str,
                           id_column: str = "application_id") -> DataFrame:
     """One JSON explanation per row from long attributions (a handful per row)."""
@@ -197,7 +210,9 @@ def sampled_shapley(model: Model, rows: DataFrame, background: DataFrame, featur
     as_array = F.array(*[F.col(c).cast("double") for c in features])
     reference = ranking.stable_sample(background, n_background, id_column) \
         .agg(F.collect_list(as_array)).scalar()
-    spread = rows.sparkSession.sparkContext.defaultParallelism * 4
+    spark = rows.sparkSession
+    spread = max(spark.sparkContext.defaultParallelism * 4,
+                 int(spark.conf.get("spark.sql.shuffle.partitions")))
     expanded = (
         rows.select(id_column, as_array.alias("x")).repartition(spread, id_column)
         .withColumn("reference", reference)

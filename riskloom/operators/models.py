@@ -22,7 +22,7 @@ from riskloom.operators import evaluation, explain
 
 SEED = 42
 FEATURES = policy.MODEL_FEATURES
-FOLD_BUCKETS = 1021  # prime, so that strided ids still spread
+FOLD_BUCKETS = 10007  # prime, so that strided ids still spread
 
 
 def hash_percent(id_column: str) -> Column:

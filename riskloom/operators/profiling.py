@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from riskloom import policy
+from riskloom import policy, session
 from riskloom.functions import scalar
 from riskloom.operators import ranking
 
@@ -191,9 +191,11 @@ def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
 
     Works on counted values: copies of a value collapse before anything is ordered.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(
-        F.col(group), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    quartiles = ranking.quantiles(counts, [group], QUARTILES).select(
+    counts = session.materialize(
+        df.filter(F.col(value).isNotNull()).groupBy(
+            F.col(group), F.col(value).cast("double").alias("value"))
+        .agg(F.count("*").alias("n")), "value-counts")
+    quartiles = ranking.quantiles(counts, [group], QUARTILES, closed=False).select(
         group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * policy.IQR_FENCE
     fenced = quartiles.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})

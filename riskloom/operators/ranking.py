@@ -2,7 +2,7 @@
 
 A global window would order the whole input in one task. Here distinct values are
 cut into buckets of near-equal size at approximate quantiles, each bucket is ordered
-on its own, and the totals of the buckets before it (a few hundred rows) are added.
+on its own, and the totals of the buckets before it (a thousand rows) are added.
 The bucket limits only steer the partitioning; results are exact whatever they are.
 """
 
@@ -10,39 +10,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 256
-ACCURACY = 20 * BUCKETS
-
-
-def _bucket_of(value: Column, limits: Column) -> Column:
-    """Number of limits not above ``value``: a binary search in eight steps."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BUCKETS.bit_length() - 1))])
+from riskloom import session
 
-    def advance(position, step):
-        reached = F.coalesce(F.try_element_at(limits, position + step) <= value, F.lit(False))
-        return position + F.when(reached, step).otherwise(0)
-
-    return F.aggregate(steps, F.lit(0), advance)
+BUCKETS = 1024
+ACCURACY = 20 * BUCKETS
 
 
-def bucketed(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Append ``bucket``: 0..255, increasing with ``order``, balanced by row count.
+def _with_bucket(df: DataFrame, value: str) -> DataFrame:
+    """Append ``bucket``: how many of ``_limits`` are not above ``value``.
 
-    ``group`` names metadata-sized groups (columns, features, models, categories).
+    A binary search with one projection per step, so that it stays in generated code.
+    """
+    df = df.withColumn("bucket", F.lit(0))
+    step = BUCKETS // 2
+    while step:
+        limit = F.get("_limits", F.col("bucket") + (step - 1))
+        reached = F.coalesce(limit <= F.col(value), F.lit(False))
+        df = df.withColumn("bucket", F.col("bucket") + F.when(reached, step).otherwise(0))
+        step //= 2
+    return df.drop("_limits")
+
+
+def bucketed(df: DataFrame, group: list[str], order: str, closed: bool = True) -> DataFrame:
+    """Append ``bucket``, increasing with ``order`` and balanced by row count per group.
+
+    ``closed`` groups are names fixed by the caller (columns, features, models): one
+    limits row each, small enough to broadcast. Groups taken from the data carry no
+    hint; adaptive execution broadcasts their limits when they measure small and
+    splits hot groups when not.
     """
     probabilities = [i / BUCKETS for i in range(1, BUCKETS)]
     limits = F.percentile_approx(order, probabilities, ACCURACY).alias("_limits")
     if group:
-        # No hint: adaptive execution broadcasts the limits by their measured size.
-        located = df.join(df.groupBy(*group).agg(limits), group)
+        per_group = df.groupBy(*group).agg(limits)
+        located = df.join(F.broadcast(per_group) if closed else per_group, group)
     else:
         located = df.withColumn("_limits", df.agg(limits).scalar())
-    return located.withColumn("bucket", _bucket_of(F.col(order), F.col("_limits"))) \
-        .drop("_limits")
+    return _with_bucket(located, order)
 
 
 def bucket_offsets(parts: DataFrame, group: list[str], sums: list[str]) -> DataFrame:
-    """Per bucket: what lies in it, before it, and in the whole group (<= 256 rows a group)."""
+    """Per bucket: what lies in it, before it, and in the whole group (<= 1024 rows a group)."""
     sizes = parts.groupBy(*group, "bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,31 +75,35 @@ def _running(parts: DataFrame, offsets: DataFrame, group: list[str], order: str,
     }).drop("bucket", *[f"{c}_{x}" for c in sums for x in ("inside", "offset")])
 
 
-def cumulative(df: DataFrame, group: list[str], order: str, sums: list[str]) -> DataFrame:
+def cumulative(df: DataFrame, group: list[str], order: str, sums: list[str],
+               closed: bool = True) -> DataFrame:
     """Append ``<c>_before`` and ``<c>_total`` for each summed column.
 
     Rows must be unique per (group, order): aggregate first, so that equal values,
-    however many copies they have, are one row.
+    however many copies they have, are one row. Pass a written table: it is read three
+    times, for the limits, the bucket sizes and the rows.
     """
-    parts = bucketed(df, group, order)
+    parts = bucketed(df, group, order, closed)
     return _running(parts, bucket_offsets(parts, group, sums), group, order, sums)
 
 
 def value_counts_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) over numeric columns, missing values left out."""
+    """(column, value, n) over numeric columns, missing values left out, as a written table."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return doubles.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull()) \
+    counts = doubles.unpivot([], columns, "column", "value") \
+        .filter(F.col("value").isNotNull()) \
         .groupBy("column", "value").agg(F.count("*").alias("n"))
+    return session.materialize(counts, "value-counts")
 
 
 def quantiles(counts: DataFrame, group: list[str], probabilities: list[float],
-              value: str = "value", n: str = "n") -> DataFrame:
+              value: str = "value", n: str = "n", closed: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles of counted values, one row per group.
 
     Only the buckets that hold a wanted rank are ordered. The result column ``q`` is
-    an array in the order of ``probabilities``.
+    an array in the order of ``probabilities``. Pass counts as a written table.
     """
-    parts = bucketed(counts, group, value)
+    parts = bucketed(counts, group, value, closed)
     offsets = bucket_offsets(parts, group, [n])
     last = F.col(f"{n}_total") - 1
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from riskloom.operators import audit, evaluation, kpi
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit, on_portfolio, on_predictions, on_scored

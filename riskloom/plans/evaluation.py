@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import drift, evaluation, models
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_predictions
-from riskloom.plans.shared import applications, predictions, rounded
+from riskloom.plans.shared import applications, predictions, prepared, rounded
 
 METRICS = evaluation.METRICS
 
@@ -53,9 +53,9 @@ def model_comparison(spark, sf_dir):
 
 @query("m12_stratified_folds", on_applications("""
     SELECT application_id, default_risk, CAST((row_number() OVER (PARTITION BY default_risk
-        ORDER BY application_id % 1021, application_id) - 1) % 5 AS INTEGER) AS fold FROM applications"""))
+        ORDER BY application_id % 10007, application_id) - 1) % 5 AS INTEGER) AS fold FROM applications"""))
 def stratified_folds(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_id", "default_risk")
+    df = prepared(spark, sf_dir, "application_id", "default_risk")
     return models.assign_folds(df, "default_risk").select("application_id", "default_risk", "fold")
 
 
@@ -93,7 +93,7 @@ def population_drift(spark, sf_dir):
     FROM (SELECT auc FROM a WHERE period = 'reference') ref, (SELECT auc FROM a WHERE period = 'current') cur""".strip()))
 def performance_gate(spark, sf_dir):
     """Ranking quality of a score before and after a date."""
-    df = applications(spark, sf_dir, "application_ts", "debt_to_income", "default_risk")
+    df = prepared(spark, sf_dir, "application_ts", "debt_to_income", "default_risk")
     recent = F.col("application_ts") >= F.lit("1999-01-01").cast("timestamp")
     auc = lambda part: evaluation.roc_auc(evaluation.predictions(part, {"debt": "debt_to_income"}))
     result = drift.performance_gate(auc(df.filter(recent)), auc(df.filter(~recent)))

@@ -8,12 +8,12 @@ from riskloom.functions import scalar
 from riskloom.operators import explain
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_phi, on_scored
-from riskloom.plans.shared import applications, rounded
+from riskloom.plans.shared import prepared, rounded
 from riskloom.sources import applications as views
 
 
 def inputs(spark, sf_dir):
-    return applications(spark, sf_dir, *views.SCORING_COLUMNS)
+    return prepared(spark, sf_dir, *views.SCORING_COLUMNS)
 
 
 @query("x1_scorecard_attribution", on_phi("""

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from riskloom import policy
 from riskloom.operators import audit, fairness, rules
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit, on_fairness, on_scored
-from riskloom.plans.shared import applications, rounded, scored
+from riskloom.plans.shared import applications, prepared_scores, rounded, scored
 from riskloom.sources import applications as views
 
 
 def people(spark, sf_dir):
-    return scored(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
+    return prepared_scores(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
 
 
 def metrics(spark, sf_dir):

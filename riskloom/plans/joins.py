@@ -8,7 +8,7 @@ from riskloom import policy
 from riskloom.operators import explain, kpi, validation
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import LINES, on_applications, on_portfolio, on_scored, sql
-from riskloom.plans.shared import applications, rounded, scored
+from riskloom.plans.shared import applications, prepared, rounded
 from riskloom.sources import applications as views
 
 
@@ -58,7 +58,7 @@ def trailing_inquiries(spark, sf_dir):
     FROM applications"""))
 def distance_from_mean(spark, sf_dir):
     """Every row against one-row statistics, by scalar subquery instead of a cross join."""
-    df = applications(spark, sf_dir, "application_id", "loan_amount", "credit_score")
+    df = prepared(spark, sf_dir, "application_id", "loan_amount", "credit_score")
     means = df.agg(F.struct(F.avg("loan_amount").alias("loan"),
                             F.avg("credit_score").alias("score"))).scalar()
     gaps = df.withColumn("m", means).select(
@@ -132,7 +132,7 @@ def what_if(spark, sf_dir):
         [(1, 720.0, 75000.0, None, 5.0), (2, 580.0, 40000.0, 0.55, None), (3, None, None, None, None)],
         "scenario_id int, credit_score double, annual_income double, debt_to_income double, "
         "employment_length double")
-    result = explain.what_if(applications(spark, sf_dir, *policy.SCORE_INPUTS), scenarios)
+    result = explain.what_if(prepared(spark, sf_dir, *policy.SCORE_INPUTS), scenarios)
     return rounded(
         result.select("scenario_id", "credit_score", "annual_income", "debt_to_income",
                       "risk_score", "decision"),

@@ -8,7 +8,7 @@ from riskloom import policy
 from riskloom.operators import features, models, rules
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit
-from riskloom.plans.shared import applications, rounded
+from riskloom.plans.shared import applications, prepared, rounded
 from riskloom.sources import applications as views
 
 SCALED = ["annual_income", "loan_amount", "debt_to_income"]
@@ -31,7 +31,7 @@ def derived_features(spark, sf_dir):
         RANGE BETWEEN 179 PRECEDING AND CURRENT ROW) AS average FROM applications)
     SELECT application_id, round(credit_utilization - average, 6) + 0 AS utilization_trend FROM t""".strip()))
 def utilization_trend(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_id", "customer_id", "application_ts",
+    df = prepared(spark, sf_dir, "application_id", "customer_id", "application_ts",
                       "credit_utilization")
     return rounded(features.utilization_trend(df), "utilization_trend") \
         .select("application_id", (F.col("utilization_trend") + 0.0).alias("utilization_trend"))
@@ -45,7 +45,7 @@ def _scale_sql(centre: str, width: str) -> str:
 
 
 def _scaled(spark, sf_dir, method):
-    df = applications(spark, sf_dir, "application_id", *SCALED)
+    df = prepared(spark, sf_dir, "application_id", *SCALED)
     scaled = rounded(features.scale(df, SCALED, method), *SCALED)
     return scaled.select("application_id", *[(F.col(c) + 0.0).alias(c) for c in SCALED])
 
@@ -77,7 +77,7 @@ def scale_robust(spark, sf_dir):
     FROM applications"""))
 def encode(spark, sf_dir):
     """label, one-hot and target encoding."""
-    df = applications(spark, sf_dir, "application_id", "home_ownership", "employment_status",
+    df = prepared(spark, sf_dir, "application_id", "home_ownership", "employment_status",
                       "loan_purpose", "default_risk")
     labelled = features.label_encode(df, "home_ownership", policy.DOMAINS["home_ownership"])
     flags = features.onehot_encode(labelled, "employment_status", policy.DOMAINS["employment_status"])
@@ -89,7 +89,7 @@ def encode(spark, sf_dir):
 @query("p24_encode_fitted")
 def encode_fitted(spark, sf_dir):
     """The encoders fitted on the data, for open category sets."""
-    df = applications(spark, sf_dir, "application_id", "loan_purpose", "default_risk")
+    df = prepared(spark, sf_dir, "application_id", "loan_purpose", "default_risk")
     fitted = models.encoder(["loan_purpose"], "target", "default_risk").fit(df).transform(df)
     return fitted.select("application_id", "loan_purpose_label", "loan_purpose_target")
 
@@ -106,7 +106,7 @@ OUTLIER_COLUMNS = ["annual_income", "loan_amount"]
     SELECT application_id, annual_income NOT BETWEEN il AND ih AS annual_income_outlier,
       loan_amount NOT BETWEEN ll AND lh AS loan_amount_outlier FROM applications, f"""))
 def outliers_iqr(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
+    df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return features.flag_outliers(df, OUTLIER_COLUMNS, "iqr").drop(*OUTLIER_COLUMNS)
 
 
@@ -115,7 +115,7 @@ def outliers_iqr(spark, sf_dir):
       > 2.999999999 * (SELECT stddev_samp(credit_utilization) FROM applications), false) AS credit_utilization_outlier
     FROM applications"""))
 def outliers_zscore(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_id", "credit_utilization")
+    df = prepared(spark, sf_dir, "application_id", "credit_utilization")
     return features.flag_outliers(df, ["credit_utilization"], "zscore").drop("credit_utilization")
 
 
@@ -123,7 +123,7 @@ def outliers_zscore(spark, sf_dir):
     SELECT application_id, round(least(greatest(annual_income, il), ih), 6) AS annual_income,
       round(least(greatest(loan_amount, ll), lh), 6) AS loan_amount FROM applications, f"""))
 def outliers_capped(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
+    df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return rounded(features.handle_outliers(df, OUTLIER_COLUMNS, "iqr", "cap"), *OUTLIER_COLUMNS)
 
 
@@ -131,7 +131,7 @@ def outliers_capped(spark, sf_dir):
     SELECT application_id FROM applications, f
     WHERE annual_income BETWEEN il AND ih AND loan_amount BETWEEN ll AND lh"""))
 def outliers_removed(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
+    df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return features.handle_outliers(df, OUTLIER_COLUMNS, "iqr", "remove").select("application_id")
 
 

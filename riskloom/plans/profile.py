@@ -8,7 +8,7 @@ from riskloom.operators import profiling
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit
 from riskloom.plans.shared import (
-    CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, rounded,
+    CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, rounded,
 )
 from riskloom.sources import applications as views
 
@@ -40,7 +40,7 @@ def value_counts(spark, sf_dir):
            CAST((SELECT d FROM copies) AS BIGINT) AS duplicate_records, {len(PROFILE_COLUMNS)} AS numeric_features,
            {1 + len(CATEGORY_COLUMNS)} AS categorical_features FROM applications""", _COPIES))
 def quality_metrics(spark, sf_dir):
-    return profiling.quality_metrics(applications(spark, sf_dir, *EXPLORER_COLUMNS), COPY_COLUMNS)
+    return profiling.quality_metrics(prepared(spark, sf_dir, *EXPLORER_COLUMNS), COPY_COLUMNS)
 
 
 @query("a4_missing_by_column", on_applications(" UNION ALL ".join(
@@ -69,7 +69,7 @@ def duplicates(spark, sf_dir):
     FROM (SELECT ({_MISSING}) * CAST(100 AS DOUBLE) / (count(*) * {len(EXPLORER_COLUMNS)}) AS missing_pct,
                  (SELECT d FROM copies) * CAST(100 AS DOUBLE) / count(*) AS duplicate_pct FROM applications)""", _COPIES))
 def quality_ratings(spark, sf_dir):
-    metrics = profiling.quality_metrics(applications(spark, sf_dir, *EXPLORER_COLUMNS), COPY_COLUMNS)
+    metrics = profiling.quality_metrics(prepared(spark, sf_dir, *EXPLORER_COLUMNS), COPY_COLUMNS)
     return rounded(profiling.quality_ratings(metrics), "missing_pct", "duplicate_pct")
 
 
@@ -87,7 +87,7 @@ def _describe_sql(c: str) -> str:
 
 @query("a7_describe", on_applications(" UNION ALL ".join(_describe_sql(c) for c in PROFILE_COLUMNS)))
 def describe(spark, sf_dir):
-    return profiling.describe(applications(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS)
+    return profiling.describe(prepared(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS)
 
 
 @query("a8_categorical_summary", on_applications(" UNION ALL ".join(
@@ -127,7 +127,7 @@ def strong_correlations(spark, sf_dir):
       round(lo + (hi - lo) / 30 * (b.bin + 1), 6) AS bin_end, coalesce(n, 0) AS n
     FROM range(30) b(bin) LEFT JOIN placed ON placed.bin = b.bin, r""".strip()))
 def histogram(spark, sf_dir):
-    return rounded(profiling.histogram(applications(spark, sf_dir, "loan_amount"), "loan_amount"),
+    return rounded(profiling.histogram(prepared(spark, sf_dir, "loan_amount"), "loan_amount"),
                    "bin_start", "bin_end")
 
 

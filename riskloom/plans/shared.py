@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom import session
 from riskloom.operators import evaluation, scoring
 from riskloom.sources import applications as views
 
@@ -28,6 +29,16 @@ def applications(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return views.applications(spark, sf_dir, list(columns) or None)
 
 
+def prepared(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The view as a written table, for operators that pass over it more than once:
+    one join of the base tables and one narrow table instead of a join per pass."""
+    return session.materialize(applications(spark, sf_dir, *columns), "applications")
+
+
+def prepared_scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return session.materialize(scored(spark, sf_dir, *more), "scores")
+
+
 def scored(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Scored applications with the scoring columns and ``more``."""
     columns = [*views.SCORING_COLUMNS, *[c for c in more if c not in views.SCORING_COLUMNS]]

@@ -9,7 +9,7 @@ from riskloom.operators import audit, explain, fairness, reports, scoring, sinks
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_fairness, on_phi, on_portfolio, on_scored
 from riskloom.plans.shared import (
-    AS_OF, CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, rounded, scored,
+    AS_OF, CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, prepared_scores, scored,
 )
 from riskloom.sources import applications as views
 from riskloom.sources import readers
@@ -94,8 +94,8 @@ def assessment_documents(spark, sf_dir):
     SELECT application_id, round(base, 6) AS expected_value, round(uncapped, 6) AS prediction,
            round(p3, 6) + 0 AS debt_phi, debt_to_income AS debt_value FROM phi"""))
 def explanation_documents(spark, sf_dir):
-    attributions = explain.scorecard_attribution(applications(spark, sf_dir, *views.SCORING_COLUMNS))
-    documents = explain.explanation_documents(attributions, explain.summed_prediction(), AS_OF)
+    documents = explain.scorecard_documents(
+        prepared(spark, sf_dir, *views.SCORING_COLUMNS), AS_OF)
     parsed = documents.select("application_id", F.from_json("document", """
         prediction double, expected_value double, feature_contributions map<string, double>,
         feature_values map<string, double>""").alias("d"))
@@ -112,7 +112,7 @@ def explanation_documents(spark, sf_dir):
       round(max(CASE WHEN metric = 'calibration' THEN value END), 6) AS calibration,
       (SELECT round(demographic_parity, 6) FROM bias WHERE attribute = 'ethnicity') AS ethnicity_parity FROM overall"""))
 def bias_report(spark, sf_dir):
-    people = scored(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
+    people = prepared_scores(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
     documents = fairness.bias_report(people, AS_OF)
     path = sinks.write_documents(documents, session.scratch_path(spark, "bias"))
     report = spark.read.schema("""compliance_status string, overall_metrics map<string, double>,
@@ -137,7 +137,7 @@ def bias_report(spark, sf_dir):
     UNION ALL SELECT CAST(6 + row_number() OVER (ORDER BY c DESC, risk_category) AS INTEGER), risk_category, CAST(c AS VARCHAR)
       FROM (SELECT risk_category, count(*) AS c FROM scored GROUP BY 1)""".strip()))
 def batch_report(spark, sf_dir):
-    return reports.batch_report(scored(spark, sf_dir))
+    return reports.batch_report(prepared_scores(spark, sf_dir))
 
 
 @query("s11_exploration_report", on_applications(f"""
@@ -162,7 +162,7 @@ def batch_report(spark, sf_dir):
     UNION ALL SELECT CAST(6 + row_number() OVER (ORDER BY metric) AS INTEGER), metric, printf('%.2f', round(value, 2)) FROM st""".strip()))
 def exploration_report(spark, sf_dir):
     return reports.exploration_report(
-        applications(spark, sf_dir, *EXPLORER_COLUMNS), ["credit_score"], COPY_COLUMNS)
+        prepared(spark, sf_dir, *EXPLORER_COLUMNS), ["credit_score"], COPY_COLUMNS)
 
 
 @query("s11_business_report", on_portfolio("""
@@ -179,7 +179,7 @@ def exploration_report(spark, sf_dir):
       || ' | ' || printf('%.1f%%', yield_rate * 100) || ' | '
       || printf('%.1f%%', (yield_rate * total_amount - default_rate * total_amount) / (yield_rate * total_amount) * 100) FROM portfolio""".strip()))
 def business_report(spark, sf_dir):
-    return reports.business_report(scored(spark, sf_dir, "application_ts", "default_risk"), AS_OF)
+    return reports.business_report(prepared_scores(spark, sf_dir, "application_ts", "default_risk"), AS_OF)
 
 
 @query("s11_compliance_report", on_fairness("""
@@ -193,7 +193,7 @@ def business_report(spark, sf_dir):
       WHEN 'calibration' THEN 'Calibration' WHEN 'demographic_parity' THEN 'Demographic Parity'
       WHEN 'equalized_odds' THEN 'Equalized Odds' ELSE 'Individual Fairness' END, printf('%.3f', value) FROM overall""".strip()))
 def compliance_report(spark, sf_dir):
-    people = scored(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
+    people = prepared_scores(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
     return reports.compliance_report(people, views.audit_trail(spark, sf_dir), AS_OF)
 
 
@@ -204,13 +204,13 @@ def compliance_report(spark, sf_dir):
     UNION ALL SELECT CAST(3 + rank AS INTEGER), feature, printf('%.4f', importance) FROM importance"""))
 def explanation_report(spark, sf_dir):
     """Written as text lines and read back as rows."""
-    return reports.explanation_report(applications(spark, sf_dir, *views.SCORING_COLUMNS))
+    return reports.explanation_report(prepared(spark, sf_dir, *views.SCORING_COLUMNS))
 
 
 @query("s11_report_text")
 def report_text(spark, sf_dir):
     """The batch report as the text file a user downloads."""
-    report = reports.batch_report(scored(spark, sf_dir))
+    report = reports.batch_report(prepared_scores(spark, sf_dir))
     return spark.read.text(sinks.write_report(report, session.scratch_path(spark, "report")))
 
 

@@ -9,7 +9,7 @@ from riskloom.operators import profiling, rules, validation
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit, sql
 from riskloom.plans.shared import (
-    COPY_COLUMNS, PROFILE_COLUMNS, CATEGORY_COLUMNS, EXPLORER_COLUMNS, applications, rounded,
+    CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, applications, prepared, rounded,
 )
 from riskloom.sources import applications as views
 
@@ -132,7 +132,7 @@ OUTLIER_COLUMNS = ["annual_income", "loan_amount", "debt_to_income", "credit_uti
     UNION ALL SELECT 'outlier', round(outlier, 6), 0.05, outlier <= 0.05 FROM r
     UNION ALL SELECT 'consistency', round(consistency, 6), 0.95, consistency >= 0.95 FROM r""".strip()))
 def quality_verdict(spark, sf_dir):
-    df = applications(spark, sf_dir, *EXPLORER_COLUMNS)
+    df = prepared(spark, sf_dir, *EXPLORER_COLUMNS)
     return rounded(validation.quality_verdict(df, OUTLIER_COLUMNS, COPY_COLUMNS), "ratio")
 
 
