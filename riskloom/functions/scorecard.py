@@ -51,11 +51,14 @@ def uncapped_score(without: str | None = None) -> Column:
     return total
 
 
-def risk_score() -> Column:
-    total = uncapped_score()
+def capped(total: Column) -> Column:
     return guarded(total, F.least(total, F.lit(1.0)))
 
 
+def risk_score() -> Column:
+    return capped(uncapped_score())
+
+
 def contribution_struct() -> Column:
     return F.struct(*[term.alias(label) for label, term in contributions()])
 

@@ -133,24 +133,45 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long and square; null for constants.
 
-    One aggregation: the regression sums skip a pair when either side is missing.
+    Rows are summed per pattern of missing columns, so that one sum per pair serves all
+    rows: a pair takes the patterns in which both its columns are present. Values are
+    shifted by the column mean first, which keeps the sums of squares accurate. ``df``
+    is read twice; pass a written table. Wide expressions are SQL text, which is
+    planned much faster than one object per term.
     """
     columns = columns or numeric_columns(df)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    as_double = [f"CAST(`{c}` AS DOUBLE)" for c in columns]
-    # SQL text: a wide aggregate is planned much faster than from single expressions.
-    sums = df.selectExpr(*[
-        f"{name}({as_double[i]}, {as_double[j]}) AS {name}_{i}_{j}"
-        for i, j in pairs for name in ("regr_sxy", "regr_sxx", "regr_syy")])
+    if len(columns) > 62:
+        raise ValueError("at most 62 columns: missing patterns are bits of a long")
+    each, pairs = range(len(columns)), _pairs(columns)
+    means = df.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in columns])).scalar()
+    shifted = df.select(*columns, means.alias("_m")).selectExpr(
+        " + ".join(f"IF(`{columns[i]}` IS NULL, {1 << i}L, 0L)" for i in each) + " AS pattern",
+        *[f"coalesce(CAST(`{columns[i]}` AS DOUBLE) - _m[{i}], 0D) AS x{i}" for i in each])
+    sums = shifted.groupBy("pattern").agg(
+        F.count("*").alias("n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in each],
+        *[F.expr(f"sum(x{i} * x{j}) AS p{i}_{j}") for i, j in pairs])
     cells = ", ".join(
-        f"named_struct('i', {i}, 'j', {j}, 'r', try_divide(regr_sxy_{i}_{j}, "
-        f"sqrt(regr_sxx_{i}_{j}) * sqrt(regr_syy_{i}_{j})))" for i, j in pairs)
-    upper = sums.selectExpr(f"inline(array({cells}))")
+        f"IF(pattern & {1 << i | 1 << j}L = 0, named_struct('i', {i}, 'j', {j}, 'n', n, "
+        f"'si', s{i}, 'sj', s{j}, 'sii', p{i}_{i}, 'sjj', p{j}_{j}, 'sij', p{i}_{j}), NULL)"
+        for i, j in pairs)
+    totals = sums.selectExpr(f"inline(array_compact(array({cells})))").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")])
+    # A spread within rounding error of zero means a constant.
+    spread = "IF(s{0}{0} - s{0} * s{0} / n > 1e-12 * s{0}{0}, s{0}{0} - s{0} * s{0} / n, NULL)"
+    upper = totals.selectExpr(
+        "i", "j", f"(sij - si * sj / n) / sqrt({spread.format('i')}) / "
+                  f"sqrt({spread.format('j')}) AS r")
+    # Pairs without a common row have no totals; they come from the list of pairs.
     names = F.array(*[F.lit(c) for c in columns])
-    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
-        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    return upper.select(F.explode(both).alias("p"), "r").select(
-        names[F.col("p.i")].alias("feature_1"), names[F.col("p.j")].alias("feature_2"), "r")
+    listed = df.sparkSession.createDataFrame(
+        [(i, j, min(i, j), max(i, j)) for i in each for j in each],
+        "first int, second int, i int, j int")
+    return listed.join(upper, ["i", "j"], "left").select(
+        names[F.col("first")].alias("feature_1"), names[F.col("second")].alias("feature_2"), "r")
+
+
+def _pairs(columns: list[str]) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
 
 
 def strong_correlations(df: DataFrame, columns: list[str] | None = None,

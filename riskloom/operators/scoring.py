@@ -12,7 +12,8 @@ ID = "application_id"
 
 def score(df: DataFrame) -> DataFrame:
     """Append risk_score, risk_category and decision."""
-    return df.withColumn("risk_score", scorecard.risk_score()).withColumns({
+    summed = df.withColumn("risk_score", scorecard.uncapped_score())
+    return summed.withColumn("risk_score", scorecard.capped(F.col("risk_score"))).withColumns({
         "risk_category": scorecard.risk_category(F.col("risk_score")),
         "decision": scorecard.decision(F.col("risk_score")),
     })

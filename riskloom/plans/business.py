@@ -147,17 +147,17 @@ def running(spark, sf_dir):
 
 
 @query("w1_running_totals", on_portfolio(_DAILY.strip() + """
-    SELECT date, round(total_loans, 6) AS total_loans, round(total_revenue, 6) AS total_revenue,
-           round(default_losses, 6) AS default_losses FROM running"""))
+    SELECT date, total_loans, total_revenue,
+           default_losses FROM running"""))
 def running_totals(spark, sf_dir):
-    return rounded(running(spark, sf_dir), *METRICS)
+    return running(spark, sf_dir)
 
 
 @query("w2_latest_totals", on_portfolio(_DAILY.strip() + """
-    SELECT date, round(total_loans, 6) AS total_loans, round(total_revenue, 6) AS total_revenue,
-      round(default_losses, 6) AS default_losses FROM running ORDER BY date DESC LIMIT 1"""))
+    SELECT date, total_loans, total_revenue,
+      default_losses FROM running ORDER BY date DESC LIMIT 1"""))
 def latest_totals(spark, sf_dir):
-    return rounded(kpi.latest(running(spark, sf_dir), "date", METRICS), *METRICS)
+    return kpi.latest(running(spark, sf_dir), "date", METRICS)
 
 
 @query("w3_monthly_change", on_portfolio("""

@@ -107,7 +107,7 @@ def _corr_sql(a: str, b: str) -> str:
     _corr_sql(a, b) for a in PROFILE_COLUMNS for b in PROFILE_COLUMNS)))
 def correlation(spark, sf_dir):
     return rounded(profiling.correlation_matrix(
-        applications(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS), "r")
+        prepared(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS), "r")
 
 
 @query("a10_strong_correlations", on_applications(
@@ -116,7 +116,7 @@ def correlation(spark, sf_dir):
     + ") WHERE abs(r) > 0.7"))
 def strong_correlations(spark, sf_dir):
     return rounded(profiling.strong_correlations(
-        applications(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS), "r")
+        prepared(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS), "r")
 
 
 @query("a11_histogram", on_applications("""

@@ -269,7 +269,7 @@ def recent_decisions(spark, sf_dir):
         WHEN c2 THEN 'Annual Income' WHEN c3 THEN 'Debt-to-Income' WHEN c4 THEN 'Employment Length'
         WHEN c5 THEN 'Loan Amount' ELSE 'Credit Utilization' END AS top_feature,
       greatest(c1, c2, c3, c4, c5, c6) AS top_contribution,
-      round(c1 + c2 + c3, 6) AS leading_sum, round(c4 + c5 + c6, 6) AS remaining_sum
+      round(c1 + c2 + c3, 12) AS leading_sum, round(c4 + c5 + c6, 12) AS remaining_sum
     FROM scored WHERE risk_score IS NOT NULL"""))
 def factor_breakdown(spark, sf_dir):
     complete = applications(spark, sf_dir, *views.SCORING_COLUMNS).dropna(subset=policy.SCORE_INPUTS)
@@ -278,4 +278,4 @@ def factor_breakdown(spark, sf_dir):
     return rounded(parts.select(
         "application_id", "top_feature", "top_contribution",
         total("leading").alias("leading_sum"), total("remaining").alias("remaining_sum")),
-        "leading_sum", "remaining_sum")
+        "leading_sum", "remaining_sum", digits=12)
