@@ -81,13 +81,13 @@ def _describe_sql(c: str) -> str:
         "max": f"CAST(max({c}) AS DOUBLE)",
     }
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", '{k}' AS stat, round({v}, 2) AS value FROM applications"""
+        f"""SELECT '{c}' AS "column", '{k}' AS stat, round({v}, 6) AS value FROM applications"""
         for k, v in stats.items())
 
 
 @query("a7_describe", on_applications(" UNION ALL ".join(_describe_sql(c) for c in PROFILE_COLUMNS)))
 def describe(spark, sf_dir):
-    return profiling.describe(prepared(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS)
+    return profiling.describe(prepared(spark, sf_dir, *PROFILE_COLUMNS), PROFILE_COLUMNS, digits=6)
 
 
 @query("a8_categorical_summary", on_applications(" UNION ALL ".join(
