@@ -27,8 +27,8 @@ def population_stability(df: DataFrame, features: list[str], ts: str, cut: str)
     deciles = ranking.quantiles(
         counts.filter("reference > 0").select("feature", "value", F.col("reference").alias("n")),
         ["feature"], [i / BINS for i in range(1, BINS)])
-    # One row per feature; joined by its measured size.
-    binned = counts.join(deciles, "feature").withColumn(
+    # One row per feature named by the caller.
+    binned = counts.join(F.broadcast(deciles), "feature").withColumn(
         "bin", F.size(F.filter("q", lambda limit: limit < F.col("value"))))
     per_bin = binned.groupBy("feature", "bin").agg(
         F.sum("reference").alias("reference"), F.sum("current").alias("current"))

@@ -8,7 +8,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom import policy
+from riskloom import policy, session
 from riskloom.functions import scorecard
 from riskloom.operators import ranking, scoring
 
@@ -210,9 +210,7 @@ def sampled_shapley(model: Model, rows: DataFrame, background: DataFrame, featur
     as_array = F.array(*[F.col(c).cast("double") for c in features])
     reference = ranking.stable_sample(background, n_background, id_column) \
         .agg(F.collect_list(as_array)).scalar()
-    spark = rows.sparkSession
-    spread = max(spark.sparkContext.defaultParallelism * 4,
-                 int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = session.parallelism(rows.sparkSession)
     expanded = (
         rows.select(id_column, as_array.alias("x")).repartition(spread, id_column)
         .withColumn("reference", reference)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom import policy
+from riskloom import policy, session
 from riskloom.functions import scorecard
 
 ATTRIBUTES = policy.PROTECTED_ATTRIBUTES
@@ -17,7 +17,10 @@ GROUP_METRICS = ["demographic_parity", "equalized_odds", "calibration"]
 
 
 def group_counts(df: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame:
-    """Decision, label and score sums per (attribute, group)."""
+    """Decision, label and score sums per (attribute, group): one pass over ``df``.
+
+    The counts are a written table of a few dozen rows, which every metric re-reads.
+    """
     facts = df.select(
         *[F.col(a).cast("string").alias(a) for a in attributes],
         (F.col("decision") == policy.DECISIONS[0]).alias("approved"),
@@ -26,7 +29,7 @@ def group_counts(df: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame
         F.col("risk_score"), F.col("default_risk"),
     )
     keep = ["approved", "bad", "flagged", "risk_score", "default_risk"]
-    return facts.unpivot(keep, attributes, "attribute", "member") \
+    counts = facts.unpivot(keep, attributes, "attribute", "member") \
         .filter(F.col("member").isNotNull()) \
         .groupBy("attribute", "member").agg(
             F.count("*").alias("n"),
@@ -36,6 +39,7 @@ def group_counts(df: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFrame
             F.count_if(~F.col("bad") & F.col("flagged")).alias("good_flagged"),
             F.avg("risk_score").alias("mean_score"),
             F.avg("default_risk").alias("bad_rate"))
+    return session.materialize(counts, "group-counts")
 
 
 def group_rates(counts: DataFrame) -> DataFrame:

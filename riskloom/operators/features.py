@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom import policy
+from riskloom import policy, session
 from riskloom.operators import ranking
 
 TREND_DAYS = 180
@@ -88,7 +88,8 @@ def onehot_encode(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def target_encode(df: DataFrame, column: str, label: str) -> DataFrame:
     """Append the mean label of each category."""
-    means = df.groupBy(column).agg(F.avg(label).alias(f"{column}_target"))
+    means = session.measured(
+        df.groupBy(column).agg(F.avg(label).alias(f"{column}_target")), "category-means")
     return df.join(means, column, "left")
 
 

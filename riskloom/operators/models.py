@@ -144,8 +144,9 @@ class KernelMachine:
         n = len(self.features)
         self.moments = [(row[i], row[n + i] or 1.0) for i in range(n)]
         mapped = self._mapped(df)
-        self.svm = LinearSVC(featuresCol="mapped", maxIter=self.iterations, regParam=1e-4) \
-            .fit(mapped)
+        # The hinge loss has kinks: a loose tolerance saves long line searches.
+        self.svm = LinearSVC(featuresCol="mapped", maxIter=self.iterations, regParam=1e-4,
+                             tol=1e-3).fit(mapped)
         margins = self._margin(self.svm.transform(mapped))
         self.platt = LogisticRegression(featuresCol="margin", probabilityCol="probability",
                                         rawPredictionCol="platt_raw",

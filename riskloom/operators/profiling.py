@@ -221,7 +221,7 @@ def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
     spread = (F.col("q3") - F.col("q1")) * policy.IQR_FENCE
     fenced = quartiles.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
     inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    return counts.join(fenced, group).groupBy(group, "q1", "median", "q3").agg(
+    return counts.join(session.measured(fenced, "fences"), group).groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),

@@ -35,15 +35,15 @@ def bucketed(df: DataFrame, group: list[str], order: str, closed: bool = True) -
     """Append ``bucket``, increasing with ``order`` and balanced by row count per group.
 
     ``closed`` groups are names fixed by the caller (columns, features, models): one
-    limits row each, small enough to broadcast. Groups taken from the data carry no
-    hint; adaptive execution broadcasts their limits when they measure small and
-    splits hot groups when not.
+    limits row each, small enough to broadcast. The limits of groups taken from the
+    data are broadcast only if they measure small.
     """
     probabilities = [i / BUCKETS for i in range(1, BUCKETS)]
     limits = F.percentile_approx(order, probabilities, ACCURACY).alias("_limits")
     if group:
         per_group = df.groupBy(*group).agg(limits)
-        located = df.join(F.broadcast(per_group) if closed else per_group, group)
+        per_group = F.broadcast(per_group) if closed else session.measured(per_group, "limits")
+        located = df.join(per_group, group)
     else:
         located = df.withColumn("_limits", df.agg(limits).scalar())
     return _with_bucket(located, order)

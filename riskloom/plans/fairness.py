@@ -10,8 +10,11 @@ from riskloom.plans.shared import applications, prepared_scores, rounded, scored
 from riskloom.sources import applications as views
 
 
+PEOPLE = ["default_risk", *policy.PROTECTED_ATTRIBUTES]
+
+
 def people(spark, sf_dir):
-    return prepared_scores(spark, sf_dir, "default_risk", *policy.PROTECTED_ATTRIBUTES)
+    return scored(spark, sf_dir, *PEOPLE)
 
 
 def metrics(spark, sf_dir):
@@ -82,14 +85,14 @@ def significance(spark, sf_dir):
 @query("f7_overall_metrics", on_fairness("""
     SELECT metric, round(value, 6) AS value, coalesce(value >= 0.9, false) AS passed FROM overall"""))
 def overall_metrics(spark, sf_dir):
-    return rounded(fairness.overall_metrics(people(spark, sf_dir)), "value")
+    return rounded(fairness.overall_metrics(prepared_scores(spark, sf_dir, *PEOPLE)), "value")
 
 
 @query("f7_verdict", on_fairness("""
     SELECT CASE WHEN bool_and(coalesce(value >= 0.9, false)) THEN 'PASS' ELSE 'REVIEW_REQUIRED' END AS compliance_status
     FROM overall"""))
 def verdict(spark, sf_dir):
-    return fairness.verdict(fairness.overall_metrics(people(spark, sf_dir)))
+    return fairness.verdict(fairness.overall_metrics(prepared_scores(spark, sf_dir, *PEOPLE)))
 
 
 @query("f8_bias_alerts", on_fairness("""

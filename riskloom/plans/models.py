@@ -12,9 +12,9 @@ TRAINED_AT = "2001-06-15 00:00:00"
 
 
 def matrix(spark, sf_dir):
-    """The training matrix as a written table: fits read it many times."""
-    columns = ["application_id", *FEATURES, "default_risk"]
-    return session.materialize(applications(spark, sf_dir, *columns), "training")
+    """The training rows as a written table: fits read it many times."""
+    return session.materialize(
+        applications(spark, sf_dir, "application_id", *FEATURES, "default_risk"), "training")
 
 
 def split_matrix(spark, sf_dir):

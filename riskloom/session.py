@@ -51,3 +51,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """An aggregate that will be joined, as a written table of known size.
+
+    The planner broadcasts it when its files are below the broadcast threshold and
+    otherwise shuffles, where adaptive execution splits hot keys. Left unwritten, its
+    size would be guessed from its input and the large side shuffled for nothing.
+    """
+    return materialize(df, name)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for CPU-bound work, whose input may be small in bytes."""
+    return max(spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -120,3 +120,35 @@ def test_late_rows_are_dropped(spark):
 def test_stream_refuses_history_columns(spark):
     with pytest.raises(ValueError):
         streams.application_stream(spark, SF, ["inquiries_6mths"])
+
+
+def test_hot_customer_join_is_split(spark):
+    """A third of all orders belong to one customer; adaptive execution splits that partition."""
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        read = lambda name: views.read_table(spark, SF, name)
+        orders = spark.range(0, 300000, 1, 8).select(
+            F.col("id").alias("o_orderkey"),
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 150).alias("o_custkey"),
+            F.lit("O").alias("o_orderstatus"), F.rand(1).alias("o_totalprice"),
+            F.lit("2000-01-01").cast("timestamp_ntz").alias("o_orderdate"),
+            F.lit("1-URGENT").alias("o_orderpriority"))
+        df = views.derive_applications(
+            orders, read("customer"), read("nation"), read("region"), read("lineitem"), None,
+            views.SCORING_COLUMNS)
+        assert len(df.collect()) == 300000
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
