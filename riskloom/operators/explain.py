@@ -27,31 +27,37 @@ def mean_contributions(df: DataFrame) -> Column:
     return complete_rows(df).agg(F.struct(*means)).scalar()
 
 
-def _with_phi(df: DataFrame) -> DataFrame:
-    """Append ``_means`` and ``_phi`` (struct of six) to the complete rows.
-
-    For an additive model the Shapley value is the term minus its mean.
-    """
-    located = complete_rows(df).withColumn("_means", mean_contributions(df))
-    return located.withColumn("_phi", F.struct(*[
-        (term - F.col("_means")[label]).alias(label)
-        for label, term in scorecard.contributions()]))
-
-
 def base_value() -> Column:
+    """Sum of the mean terms in ``_means``: the score of the average."""
     total = F.lit(0.0)
     for label in policy.SCORE_LABELS:
         total = total + F.col("_means")[label]
     return total
 
 
+def _phi(i: int) -> Column:
+    return F.col(f"_phi{i}")
+
+
+def _with_phi(df: DataFrame) -> DataFrame:
+    """Append ``_base`` and the attributions ``_phi0`` to ``_phi5`` to the complete rows.
+
+    For an additive model the Shapley value is the term minus its mean. Each value is a
+    column of its own, so that later steps refer to it instead of repeating the term.
+    """
+    located = complete_rows(df).withColumn("_means", mean_contributions(df))
+    return located.withColumns({"_base": base_value()} | {
+        f"_phi{i}": term - F.col("_means")[label]
+        for i, (label, term) in enumerate(scorecard.contributions())})
+
+
 def scorecard_attribution(df: DataFrame, id_column: str = "application_id") -> DataFrame:
     """(id, feature, feature_value, phi, base): exact for the score before its cap."""
     rows = F.array(*[
         F.struct(F.lit(label).alias("feature"), F.col(column).cast("double").alias("feature_value"),
-                 F.col("_phi")[label].alias("phi"))
-        for column, label, _ in policy.SCORE_TERMS])
-    return _with_phi(df).select(id_column, base_value().alias("base"), F.inline(rows))
+                 _phi(i).alias("phi"))
+        for i, (column, label, _) in enumerate(policy.SCORE_TERMS)])
+    return _with_phi(df).select(id_column, F.col("_base").alias("base"), F.inline(rows))
 
 
 def _step(number: int, label: str, amount: Column, running: Column) -> Column:
@@ -62,22 +68,23 @@ def _step(number: int, label: str, amount: Column, running: Column) -> Column:
 def waterfall(df: DataFrame, id_column: str = "application_id") -> DataFrame:
     """Base value, one step per feature with its running total, final value.
 
-    Running totals are sums inside the row: no window, no shuffle.
+    Running totals are sums inside the row, each built on the one before it: no
+    window, no shuffle.
     """
-    so_far = base_value()
-    steps = [_step(0, "Base Value", so_far, so_far)]
+    rows = _with_phi(df).withColumn("_run0", F.col("_base"))
+    steps = [_step(0, "Base Value", F.col("_base"), F.col("_base"))]
     for i, label in enumerate(policy.SCORE_LABELS):
-        phi = F.col("_phi")[label]
-        so_far = so_far + phi
-        steps.append(_step(i + 1, label, phi, so_far))
-    steps.append(_step(len(steps), "Final Prediction", so_far, so_far))
-    return _with_phi(df).select(id_column, F.inline(F.array(*steps)))
+        rows = rows.withColumn(f"_run{i + 1}", F.col(f"_run{i}") + _phi(i))
+        steps.append(_step(i + 1, label, _phi(i), F.col(f"_run{i + 1}")))
+    last = F.col(f"_run{len(policy.SCORE_LABELS)}")
+    steps.append(_step(len(steps), "Final Prediction", last, last))
+    return rows.select(id_column, F.inline(F.array(*steps)))
 
 
 def global_importance(df: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature and its rank; ranks see six rows."""
     row = _with_phi(df).agg(*[
-        F.avg(F.abs(F.col("_phi")[label])).alias(label) for label in policy.SCORE_LABELS])
+        F.avg(F.abs(_phi(i))).alias(label) for i, label in enumerate(policy.SCORE_LABELS)])
     importance = row.unpivot([], policy.SCORE_LABELS, "feature", "importance")
     return rank_importance(importance)
 
@@ -109,23 +116,25 @@ def individual_explanation(df: DataFrame, id_column: str = "application_id") ->
     """Probability, risk level, base rate and the impact of each feature as text."""
     explained = _with_phi(df)
     impacts = F.array(*[
-        F.concat(F.lit(f"{label} "), scoring.impact_text(F.col("_phi")[label]))
-        for label in policy.SCORE_LABELS])
+        F.concat(F.lit(f"{label} "), scoring.impact_text(_phi(i)))
+        for i, label in enumerate(policy.SCORE_LABELS)])
     probability = scorecard.risk_score()
     return explained.select(
         id_column, probability.alias("probability"),
         scorecard.risk_level(probability).alias("risk_level"),
-        base_value().alias("base_rate"), impacts.alias("impacts"))
+        F.col("_base").alias("base_rate"), impacts.alias("impacts"))
 
 
 def scorecard_documents(df: DataFrame, as_of: str, id_column: str = "application_id") -> DataFrame:
     """One JSON explanation per application, built inside the row."""
-    prediction = base_value()
-    for label in policy.SCORE_LABELS:
-        prediction = prediction + F.col("_phi")[label]
+    prediction = F.col("_base")
+    for i in range(len(policy.SCORE_LABELS)):
+        prediction = prediction + _phi(i)
     document = F.struct(
         F.lit(as_of).alias("timestamp"), prediction.alias("prediction"),
-        base_value().alias("expected_value"), F.col("_phi").alias("feature_contributions"),
+        F.col("_base").alias("expected_value"),
+        F.struct(*[_phi(i).alias(label) for i, label in enumerate(policy.SCORE_LABELS)])
+        .alias("feature_contributions"),
         F.struct(*[F.col(c).cast("double").alias(label) for c, label, _ in policy.SCORE_TERMS])
         .alias("feature_values"))
     return _with_phi(df).select(id_column, F.to_json(document).alias("document"))

@@ -93,8 +93,20 @@ def batch_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def evaluated_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` computed before any filter on them.
+
+    A filter on a computed column is pushed below its projection, where the scorecard
+    would be repeated for every mention, in code too long to be compiled. Filters are
+    not pushed through a generator of these columns, while filters on the others are.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def filter_results(df: DataFrame, decisions: list[str], low: float, high: float) -> DataFrame:
-    return df.filter(F.col("decision").isin(decisions) & F.col("risk_score").between(low, high))
+    """Results with one of the decisions and a score within [low, high]."""
+    return evaluated_once(df, ["risk_score", "decision"]).filter(F.col("decision").isin(decisions) & F.col("risk_score").between(low, high))
 
 
 def preview(df: DataFrame, n: int = 10, id_column: str = ID) -> DataFrame:

@@ -50,7 +50,8 @@ def dataset_info(spark, sf_dir):
            credit_utilization, risk_score, risk_category, decision FROM scored WHERE decision = 'REJECTED'"""))
 def csv_sink(spark, sf_dir):
     """Filtered results as csv."""
-    rejected = scored(spark, sf_dir).filter(F.col("decision") == "REJECTED")
+    rejected = scoring.evaluated_once(scored(spark, sf_dir), ["risk_score", "decision"]) \
+        .filter(F.col("decision") == "REJECTED")
     path = sinks.write_csv(rejected, session.scratch_path(spark, "rejected"))
     return spark.read.schema(rejected.schema).option("header", True).csv(path)
 
