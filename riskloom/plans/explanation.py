@@ -34,9 +34,9 @@ def scorecard_attribution(spark, sf_dir):
       UNION ALL SELECT application_id, 6, 'Credit Utilization', p6, base + p1 + p2 + p3 + p4 + p5 + p6 FROM phi
       UNION ALL SELECT application_id, 7, 'Final Prediction', base + p1 + p2 + p3 + p4 + p5 + p6,
         base + p1 + p2 + p3 + p4 + p5 + p6 FROM phi)
-    SELECT application_id, step, label, round(amount, 6) + 0 AS amount, round(running, 6) + 0 AS running FROM steps""".strip()))
+    SELECT application_id, step, label, round(amount, 4) + 0 AS amount, round(running, 4) + 0 AS running FROM steps""".strip()))
 def waterfall(spark, sf_dir):
-    rows = rounded(explain.waterfall(inputs(spark, sf_dir)), "amount", "running")
+    rows = rounded(explain.waterfall(inputs(spark, sf_dir)), "amount", "running", digits=4)
     return rows.withColumns({c: F.col(c) + 0.0 for c in ("amount", "running")})
 
 

@@ -92,7 +92,7 @@ def assessment_documents(spark, sf_dir):
 
 
 @query("s9_explanation_documents", on_phi("""
-    SELECT application_id, round(base, 6) AS expected_value, round(uncapped, 12) AS prediction,
+    SELECT application_id, round(base, 6) AS expected_value, round(uncapped, 4) AS prediction,
            round(p3, 6) + 0 AS debt_phi, debt_to_income AS debt_value FROM phi"""))
 def explanation_documents(spark, sf_dir):
     documents = explain.scorecard_documents(
@@ -103,7 +103,7 @@ def explanation_documents(spark, sf_dir):
     key = "Debt-to-Income"
     return parsed.select(
         "application_id", F.round("d.expected_value", 6).alias("expected_value"),
-        F.round("d.prediction", 12).alias("prediction"),
+        F.round("d.prediction", 4).alias("prediction"),
         (F.round(F.col("d.feature_contributions")[key], 6) + 0.0).alias("debt_phi"),
         F.col("d.feature_values")[key].alias("debt_value"))
 
