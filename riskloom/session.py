@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,21 +18,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and stream checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, which
-    has one machine by definition, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of the
+    application beside the warehouse is taken, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_scratch(context.applicationId)
-
-
-@cache
-def _local_scratch(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"run-{application_id}-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
