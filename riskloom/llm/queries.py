@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import jaccard
+from riskloom.llm import jaccard, mixing
 from riskloom.llm.tables import ship
 from riskloom.session import configure
 
@@ -37,3 +37,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups over links of four-word shingle sets at a similarity of 0.85."""
     found = jaccard.jaccard_components(read(spark, sf_dir, "documents"), k=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_pareto_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, by Pareto order sampling."""
+    found = mixing.mix(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
