@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import jaccard, mixing
+from riskloom.llm import jaccard, mixing, repeats
 from riskloom.llm.tables import ship
 from riskloom.session import configure
 
@@ -44,3 +44,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, by Pareto order sampling."""
     found = mixing.mix(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op9_repeated_bytes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left when every copy of a repeated 400-byte string is removed."""
+    return repeats.removal_report(read(spark, sf_dir, "documents"), length=400)
