@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import jaccard, mixing, repeats
+from riskloom.llm import codes, fingerprints, jaccard, mixing, repeats, topk, toxicity
 from riskloom.llm.tables import ship
 from riskloom.session import configure
 
@@ -50,3 +51,45 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left when every copy of a repeated 400-byte string is removed."""
     return repeats.removal_report(read(spark, sf_dir, "documents"), length=400)
+
+
+@query("op1_lempel_ziv_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of all documents and their edited texts."""
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op3_token_codes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from directly addressable codes."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return codes.round_trip(read(spark, sf_dir, "documents"), path, pattern)
+
+
+_OP6_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op6_max_score_top_k", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best other vectors of every vector whose id is divisible by 50."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, trained on the labelled rows that are not held out."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
