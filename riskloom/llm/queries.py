@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import codes, fingerprints, jaccard, mixing, repeats, topk, toxicity
+from riskloom.llm import codes, fingerprints, hidden_markov, jaccard, mixing, repeats, topk, toxicity
 from riskloom.llm.tables import ship
 from riskloom.session import configure
 
@@ -93,3 +93,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, trained on the labelled rows that are not held out."""
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op4_hidden_markov_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a model of those that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    found = hidden_markov.score_texts(docs.withColumn("held_out", out))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
