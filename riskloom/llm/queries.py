@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import codes, fingerprints, hidden_markov, jaccard, mixing, repeats, topk, toxicity
+from riskloom.llm import (
+    codes, fingerprints, hidden_markov, jaccard, mixing, packing, repeats, revisit, topk, toxicity,
+)
 from riskloom.llm.tables import ship
 from riskloom.session import configure
 
@@ -102,3 +104,65 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     found = hidden_markov.score_texts(docs.withColumn("held_out", out))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words for all documents; no source or equal text twice in a bin."""
+    found = packing.pieces_in_bins(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "piece", "start", "size", "bin_id", "slot", "bin_size")
+
+
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages: each page as a full response at its id, and one revisit of
+    the page 1,000 ids later, whose validators are those of the page except where the page id
+    is divisible by 5 (another tag) or 7 (no tag, another date)."""
+    pages = read(spark, sf_dir, "pages")
+    tag, changed = F.md5(F.coalesce("html", F.lit(""))), F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
+    responses = pages.select(
+        (2 * F.col("page_id")).alias("record_id"), "url", F.col("page_id").alias("fetched"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
+        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), changed, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string")).alias("headers"))
+    later = F.col("page_id") + 1000
+    own = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("W/"), F.md5(tag))).otherwise(F.concat(F.lit("W/"), tag))
+    seen = F.when(F.col("page_id") % 7 == 0, F.lit("day 28")).otherwise(changed)
+    headers = F.create_map(F.lit("etag"), F.when(F.col("page_id") % 7 != 0, own), F.lit("last-modified"), seen, F.lit("date"), later.cast("string"), F.lit("server"), F.lit("x"))
+    revisits = pages.select((2 * F.col("page_id") + 1).alias("record_id"), "url", later.alias("fetched"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+                            F.map_filter(headers, lambda _, v: v.isNotNull()).alias("headers"))
+    return responses.unionByName(revisits)
+
+
+_OP8_SQL = r"""
+WITH bare AS (
+    SELECT *, regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages
+), parts AS (
+    SELECT *, regexp_replace(lower(regexp_replace(regexp_extract(b, '^([^/?]*)', 1), '^.*@|:(80|443)$', '', 'g')), '^(www|m)\.', '') AS host,
+        regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '(/|\.html)$', '') AS path,
+        regexp_replace(regexp_replace('&' || regexp_extract(b, '\?(.*)$', 1), '&(utm_[a-z]+|ref|sessionid)=[^&]*', '', 'g'), '^&+', '') AS q FROM bare
+), p AS (
+    SELECT page_id, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url_key,
+        md5(coalesce(html, '')) AS tag, 'day ' || (page_id % 28) AS changed FROM parts
+), joined AS (
+    SELECT r.*, r.page_id + 1000 AS fetched, s.page_id AS sid, s.tag AS stag, s.changed AS schanged,
+        CASE WHEN r.page_id % 7 = 0 THEN NULL WHEN r.page_id % 5 = 0 THEN md5(r.tag) ELSE r.tag END AS rtag,
+        CASE WHEN r.page_id % 7 = 0 THEN 'day 28' ELSE r.changed END AS rchanged
+    FROM p r ASOF LEFT JOIN p s ON r.url_key = s.url_key AND
+        (r.page_id + 1000) * 1000000000 + 2 * r.page_id + 1 > s.page_id * 1000000000 + 2 * s.page_id
+), judged AS (
+    SELECT *, CASE WHEN sid IS NULL THEN 'missing' WHEN rtag IS NOT NULL THEN CASE WHEN rtag = stag THEN 'resolved' ELSE 'changed' END
+        WHEN rchanged = schanged THEN 'resolved' ELSE 'changed' END AS outcome FROM joined
+)
+SELECT 2 * page_id + 1 AS record_id, url_key, fetched, 2 * sid AS response_id, sid AS response_fetched, outcome,
+    CASE WHEN outcome = 'resolved' THEN 'W/' || rtag WHEN rtag IS NOT NULL THEN 'W/' || rtag END AS etag,
+    CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type,
+    fetched::VARCHAR AS "date", CASE WHEN outcome = 'resolved' THEN schanged ELSE rchanged END AS last_modified
+FROM judged
+"""
+
+
+@query("op8_revisit_resolution", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response that every revisit in the crawl of all pages stands for."""
+    found = revisit.resolve(crawl(spark, sf_dir))
+    fields = {"etag": "etag", "content_type": "content-type", "date": "date", "last_modified": "last-modified"}
+    return found.select("record_id", "url_key", "fetched", "response_id", "response_fetched", "outcome",
+                        *[F.col("headers")[v].alias(k) for k, v in fields.items()])
