@@ -29,7 +29,7 @@ from riskloom.session import scratch_path
 
 SEGMENT_TOKENS = 1 << 19
 BLOCK = 512
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 20
 _HEAD = struct.Struct("<4sHHIQ")
 _SEGMENTS = "part int, sequence int, first long, n_tokens long, payload binary"
 _encoders: dict[str, Encoder] = {}
