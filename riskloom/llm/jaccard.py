@@ -3,11 +3,12 @@
 Exact, without listing the pairs of a group:
 
 1. Equal sets are one node, named by the digest of the set.
-2. Block-skipping index lists. The first ``slack + k`` shingles of two linked sets, in
-   hash order, share at least k. A set is dropped as soon as too few of its first shingles
-   occur in any other set, which ends nearly all sets that only share a passage.
-3. The surviving sets are cut into candidate groups (connected through an index list) and
-   these into cells by set size; a pair of cells whose sizes cannot match is skipped.
+2. Index lists by position. The first ``slack + k`` shingles of two linked sets, in hash
+   order, share at least k: a set with fewer shared first shingles is dropped, and then a
+   set of which too few shingles of all occur in any other set.
+3. The surviving sets are cut into candidate groups (connected through a list of their
+   rarest shingles) and these into blocks ("cells") by set size; a pair of blocks whose
+   sizes cannot match is skipped.
 4. Within a pair of cells one reference set (shingles of the majority) is compared once
    and every other answer is derived from it: with R the reference's shingles that a set
    lacks and A those it adds, |x & z| = |ref| - |Rx| - |Rz| + |Rx & Rz| + |Ax & Az|.
@@ -25,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import text
@@ -146,17 +147,13 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
              pa.array([s.tobytes() for s in kept], pa.binary())], names=["node", "n", "shingles"])
 
 
-def _first_tokens(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, tokens = [], []
-        for raw in batch.column("shingles").to_pylist():
-            shingles = np.frombuffer(raw, np.int64)
-            tokens.append(shingles[:len(shingles) - least_shared(len(shingles), percent) + 1])
-            counts.append(len(tokens[-1]))
-        if tokens:
-            owner = np.repeat(np.arange(len(counts)), counts)
+        sets = [np.frombuffer(raw, np.int64) for raw in batch.column("shingles").to_pylist()]
+        if sets:
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens)), batch.column("node").take(pa.array(owner))], names=["token", "node"])
+                [pa.array(np.concatenate(sets)), batch.column("short").take(pa.array(owner))], names=["token", "node"])
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -232,12 +229,31 @@ def _cells(sets: DataFrame, group: list[str], percent: int) -> DataFrame:
     return sets.withColumn("cell", F.xxhash64(*group, "class", "part")).drop("_class")
 
 
+def _lowest(n: str, percent: int) -> Column:
+    """SQL counterpart of ``least_shared``."""
+    return F.ceil(F.col(n) * percent / 100)
+
+
+def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all sets which may be linked, a star for each index list.
+
+    Index entries are a set's rarest shingles, so lists of a passage that many sets share
+    are hardly used; shingles of no other set need no list.
+    """
+    tokens = sets.mapInArrow(_all_tokens, "token long, node long")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("b")).where("df > 1")
+    shared = tokens.join(lists, "token")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    ranked = shared.withColumn("rank", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+    sizes = sets.select(F.col("short").alias("node"), "n")
+    ranked = ranked.join(sizes, "node").where(F.col("rank") <= F.col("shared") - _lowest("n", percent) + 1)
+    return ranked.select(F.col("node").alias("a"), "b").where("a != b").distinct()
+
+
 def _components(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of every node that has a link."""
-    tokens = sets.mapInArrow(partial(_first_tokens, percent=percent), "token long, node string")
-    stars = tokens.withColumn("b", F.min("node").over(Window.partitionBy("token"))).where("node != b")
-    groups = components(stars.select(F.col("node").alias("a"), "b").distinct())
-    sets = materialize(_cells(sets.join(groups, "node").withColumnRenamed("component", "group"), ["group"], percent), "cells")
+    groups = components(_candidates(sets, percent)).withColumnRenamed("node", "short").withColumnRenamed("component", "group")
+    sets = materialize(_cells(sets.join(groups, "short"), ["group"], percent), "cells")
     cells = sets.groupBy("cell").agg(F.first("group").alias("group"), F.first("class").alias("class"), F.first("part").alias("part"))
     hubs = cells.where("part = 0").select("group", F.col("class").alias("hub_class"), F.col("cell").alias("hub"))
     pairs = cells.join(hubs, "group").where(F.abs(F.col("class") - F.col("hub_class")) <= 1).select("cell", "hub")
@@ -280,13 +296,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     shared = entries.repartition("token").sortWithinPartitions("token", "node")
     shared = shared.mapInArrow(_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
     shared = materialize(shared, "shared").withColumnRenamed("node", "short")
-    lowest = F.ceil(F.col("n") * percent / 100)
-    enough = F.col("shared") >= 1 + F.floor(lowest / 8)
+    enough = F.col("shared") >= 1 + F.floor(_lowest("n", percent) / 8)
     short = F.conv(F.substring("node", 1, 16), 16, -10).cast("long")
     alive = materialize(nodes.withColumn("short", short).join(shared, "short").where(enough).select("node", "doc_id"), "alive")
     sets = docs.join(alive, docs.doc_id.eqNullSafe(alive.doc_id)).select("node", "text")
     sets = sets.mapInArrow(partial(_sets, k=k), "node string, n long, shingles binary").dropDuplicates(["node"])
-    found = _components(materialize(sets, "sets"), percent)
+    sets = materialize(sets.withColumn("short", short), "sets")
+    shared = sets.mapInArrow(_all_tokens, "token long, node long").repartition("token").sortWithinPartitions("token", "node")
+    shared = shared.mapInArrow(_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    likely = sets.join(shared.withColumnRenamed("node", "short"), "short").where(F.col("shared") >= _lowest("n", percent))
+    found = _components(materialize(likely.drop("shared"), "likely"), percent)
     named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "component").join(ids, "component").select("node", "component_id")
