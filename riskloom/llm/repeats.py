@@ -283,11 +283,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace ``text`` by what is left of it; spans shrink to whole characters."""
+    """Replace ``text`` by what is left of it, and n_chars; spans shrink to whole characters."""
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        out = []
-        for value, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        names = batch.schema.names
+        out, sizes = [], batch.column("n_chars").to_pylist() if "n_chars" in names else []
+        for i, (value, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
             if found:
                 raw, kept, last = value.encode(), [], 0
                 for a, b in _merge([s["start"] for s in found], [s["stop"] for s in found]):
@@ -298,10 +298,14 @@ def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.append(raw[last:a])
                     last = b
                 value = b"".join([*kept, raw[last:]]).decode()
+                if sizes:
+                    sizes[i] = len(value)
             out.append(value)
-        columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_spans"]
-        columns[at] = pa.array(out, pa.string())
-        yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "_spans"])
+        columns = dict(zip(names, batch.columns, strict=True)) | {"text": pa.array(out, pa.string())}
+        if sizes:
+            columns["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
+        del columns["_spans"]
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _per_row(found: DataFrame, name: str) -> DataFrame:
@@ -332,8 +336,4 @@ def without_repeats(docs: DataFrame, length: int = 400, first: bool = True) -> D
     """
     found = _per_row(repeated_spans(docs, length, first), "_spans").withColumnRenamed("row", "_row")
     joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(found, "_row", "left").drop("_row")
-    changed = F.col("_spans").isNotNull()
-    flagged = joined.where(changed).mapInArrow(_kept_text, docs.schema)
-    if "n_chars" in docs.columns:
-        flagged = flagged.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where(~changed).select(*docs.columns).unionByName(flagged.select(*docs.columns))
+    return joined.mapInArrow(_kept_text, docs.schema)
