@@ -31,7 +31,7 @@ from riskloom.llm import text
 
 DECAY = 0.6
 THRESHOLD = 0.3
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 LANDMARKS = 96
 _PATTERNS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 _FEATURES = 1 << 15
@@ -184,7 +184,7 @@ def fit(sample: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, rounds:
     whiten = vectors[:, good] / np.sqrt(values[good])
 
     def features(words: list[str]) -> np.ndarray:
-        parts = [word_map(words[i:i + 512]) @ marks.T for i in range(0, len(words), 512)]
+        parts = [word_map(words[i:i + 64]) @ marks.T for i in range(0, len(words), 64)]
         return np.vstack(parts).astype(float) @ whiten
 
     negative = sorted(clean, key=lambda w: (-clean[w], w))
@@ -242,7 +242,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, per_clas
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
     words = rows.select("toxic", "text").mapInArrow(_sample_words, "toxic int, words array<string>")
-    return sorted((r["toxic"], list(r["words"])) for r in words.collect())
+    own: dict[str, str] = {}  # one object for each distinct word
+    return sorted((r["toxic"], [own.setdefault(w, w) for w in r["words"]]) for r in words.collect())
 
 
 def _scored(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
