@@ -81,7 +81,8 @@ def segment_yield(score: Column) -> Column:
 
 
 def escalation_level(minutes_open: Column) -> Column:
-    steps = F.floor(minutes_open / policy.ESCALATE_AFTER_MINUTES).cast("int")
+    """Level from 0; an alert opened after the as-of time has not escalated."""
+    steps = F.greatest(F.lit(0), F.floor(minutes_open / policy.ESCALATE_AFTER_MINUTES).cast("int"))
     return F.when(minutes_open.isNotNull(), F.least(F.lit(policy.MAX_ESCALATIONS), steps))
 
 

@@ -102,13 +102,18 @@ def importance_of(attributions: DataFrame) -> DataFrame:
 
 def summary_points(df: DataFrame, id_column: str = "application_id",
                    sample: int | None = None) -> DataFrame:
-    """(rank, feature, phi, feature_value) points; ``sample`` draws that many rows."""
-    drawn = complete_rows(df)
+    """(rank, feature, phi, feature_value) points; ``sample`` draws the points of that many rows.
+
+    Means and ranks are those of all rows, so a drawn point is one of the whole set's.
+    """
+    complete = complete_rows(df)
+    points = scorecard_attribution(complete, id_column)
     if sample is not None:
-        drawn = ranking.stable_sample(drawn, sample, id_column)
-    ranks = global_importance(drawn).select("feature", "rank")
+        drawn = ranking.stable_sample(complete, sample, id_column).select(id_column)
+        points = points.join(drawn, id_column, "left_semi")
+    ranks = global_importance(complete).select("feature", "rank")
     # Six rows, one per scorecard term.
-    return scorecard_attribution(drawn, id_column).join(F.broadcast(ranks), "feature") \
+    return points.join(F.broadcast(ranks), "feature") \
         .select(id_column, "rank", "feature", "phi", "feature_value")
 
 

@@ -55,7 +55,9 @@ def assign_folds(df: DataFrame, label: str, id_column: str = "application_id",
     offsets = placed.groupBy(label, "_bucket").agg(F.count("*").alias("_n")).select(
         label, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(label, "_bucket").orderBy(id_column)
-    return placed.join(offsets, [label, "_bucket"]) \
+    offsets = offsets.withColumnsRenamed({label: "_label", "_bucket": "_at"})
+    same = placed[label].eqNullSafe(offsets["_label"]) & placed["_bucket"].eqNullSafe(offsets["_at"])  # a null label is a class
+    return placed.join(offsets, same).drop("_label", "_at") \
         .withColumn("fold", ((F.col("_offset") + F.row_number().over(inside) - 1) % folds).cast("int")) \
         .drop("_bucket", "_offset")
 

@@ -52,7 +52,7 @@ def summary_points(spark, sf_dir):
 @query("x4_summary_sample", on_scored("""
     , drawn AS (SELECT * FROM scored WHERE risk_score IS NOT NULL
         ORDER BY md5(CAST(application_id AS VARCHAR)), application_id LIMIT 200),
-    m AS (SELECT avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, avg(c4) AS m4, avg(c5) AS m5, avg(c6) AS m6 FROM drawn)
+    m AS (SELECT avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, avg(c4) AS m4, avg(c5) AS m5, avg(c6) AS m6 FROM scored WHERE risk_score IS NOT NULL)
     SELECT application_id, round(c1 - m1, 9) + 0 AS credit_score_phi, round(c4 - m4, 9) + 0 AS employment_phi
     FROM drawn, m""".strip()))
 def summary_sample(spark, sf_dir):

@@ -8,14 +8,14 @@ from riskloom.operators import profiling
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit
 from riskloom.plans.shared import (
-    CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, rounded,
+    CATEGORY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, rounded,
 )
 from riskloom.sources import applications as views
 
 _MISSING = " + ".join(f"(count(*) - count({c}))" for c in EXPLORER_COLUMNS)
-_COPIES = """
+_COPIES = f"""
 copies AS (SELECT coalesce(sum(n - 1), 0) AS d FROM (SELECT count(*) AS n FROM applications
-           GROUP BY age, loan_purpose, home_ownership, employment_status))"""
+           GROUP BY {', '.join(EXPLORER_COLUMNS)}))"""
 
 
 @query("p10_column_kinds", on_applications(f"""
@@ -40,7 +40,7 @@ def value_counts(spark, sf_dir):
            CAST((SELECT d FROM copies) AS BIGINT) AS duplicate_records, {len(PROFILE_COLUMNS)} AS numeric_features,
            {1 + len(CATEGORY_COLUMNS)} AS categorical_features FROM applications""", _COPIES))
 def quality_metrics(spark, sf_dir):
-    return profiling.quality_metrics(prepared(spark, sf_dir, *EXPLORER_COLUMNS), COPY_COLUMNS)
+    return profiling.quality_metrics(prepared(spark, sf_dir, *EXPLORER_COLUMNS), EXPLORER_COLUMNS)
 
 
 @query("a4_missing_by_column", on_applications(" UNION ALL ".join(
@@ -69,7 +69,7 @@ def duplicates(spark, sf_dir):
     FROM (SELECT ({_MISSING}) * CAST(100 AS DOUBLE) / (count(*) * {len(EXPLORER_COLUMNS)}) AS missing_pct,
                  (SELECT d FROM copies) * CAST(100 AS DOUBLE) / count(*) AS duplicate_pct FROM applications)""", _COPIES))
 def quality_ratings(spark, sf_dir):
-    metrics = profiling.quality_metrics(prepared(spark, sf_dir, *EXPLORER_COLUMNS), COPY_COLUMNS)
+    metrics = profiling.quality_metrics(prepared(spark, sf_dir, *EXPLORER_COLUMNS), EXPLORER_COLUMNS)
     return rounded(profiling.quality_ratings(metrics), "missing_pct", "duplicate_pct")
 
 

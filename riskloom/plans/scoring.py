@@ -212,7 +212,7 @@ def pseudonymise(spark, sf_dir):
 
 @query("p27_escalation", on_audit("""
     SELECT audit_id, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch("timestamp"))) / 60) AS BIGINT) AS minutes_open,
-      CAST(least(3, floor(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch("timestamp"))) / 60) / 30)) AS INTEGER) AS escalation_level
+      CAST(least(3, greatest(0, floor(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch("timestamp"))) / 60) / 30))) AS INTEGER) AS escalation_level
     FROM audit WHERE status = 'Failed'"""))
 def escalation(spark, sf_dir):
     """Open alerts are the failed audit entries."""

@@ -17,7 +17,6 @@ PROFILE_COLUMNS = [
 ]
 CATEGORY_COLUMNS = ["loan_purpose", "home_ownership", "employment_status"]
 EXPLORER_COLUMNS = ["customer_id", *PROFILE_COLUMNS[:-1], *CATEGORY_COLUMNS, "default_risk"]
-COPY_COLUMNS = ["age", "loan_purpose", "home_ownership", "employment_status"]
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

@@ -9,7 +9,7 @@ from riskloom.operators import audit, explain, fairness, reports, scoring, sinks
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_fairness, on_phi, on_portfolio, on_scored
 from riskloom.plans.shared import (
-    AS_OF, CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, prepared_scores, scored,
+    AS_OF, CATEGORY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, prepared_scores, scored,
 )
 from riskloom.sources import applications as views
 from riskloom.sources import readers
@@ -144,7 +144,7 @@ def batch_report(spark, sf_dir):
 @query("s11_exploration_report", on_applications(f"""
     , e AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in EXPLORER_COLUMNS)} AS m,
         (SELECT CAST(sum(k - 1) AS BIGINT) FROM (SELECT count(*) AS k FROM applications
-          GROUP BY age, loan_purpose, home_ownership, employment_status)) AS d FROM applications),
+          GROUP BY {', '.join(EXPLORER_COLUMNS)})) AS d FROM applications),
     st AS (SELECT 'credit_score ' || stat AS metric, value FROM (
         SELECT 'count' AS stat, CAST(count(credit_score) AS DOUBLE) AS value FROM applications
         UNION ALL SELECT 'mean', avg(credit_score) FROM applications
@@ -163,7 +163,7 @@ def batch_report(spark, sf_dir):
     UNION ALL SELECT CAST(6 + row_number() OVER (ORDER BY metric) AS INTEGER), metric, printf('%.2f', round(value, 2)) FROM st""".strip()))
 def exploration_report(spark, sf_dir):
     return reports.exploration_report(
-        prepared(spark, sf_dir, *EXPLORER_COLUMNS), ["credit_score"], COPY_COLUMNS)
+        prepared(spark, sf_dir, *EXPLORER_COLUMNS), ["credit_score"], EXPLORER_COLUMNS)
 
 
 @query("s11_business_report", on_portfolio("""

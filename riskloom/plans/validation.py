@@ -9,7 +9,7 @@ from riskloom.operators import profiling, rules, validation
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit, sql
 from riskloom.plans.shared import (
-    CATEGORY_COLUMNS, COPY_COLUMNS, EXPLORER_COLUMNS, applications, prepared, rounded,
+    CATEGORY_COLUMNS, EXPLORER_COLUMNS, PROFILE_COLUMNS, applications, prepared, rounded,
 )
 from riskloom.sources import applications as views
 
@@ -112,16 +112,13 @@ def _outlier_sql(column: str) -> str:
             f"3 * (SELECT stddev_samp({column}) FROM applications) THEN 1 END)")
 
 
-OUTLIER_COLUMNS = ["annual_income", "loan_amount", "debt_to_income", "credit_utilization"]
-
-
 @query("v8_quality_verdict", on_applications(f"""
     , copies AS (SELECT sum(n - 1) AS d FROM (SELECT count(*) AS n FROM applications
-        GROUP BY age, loan_purpose, home_ownership, employment_status)),
+        GROUP BY {', '.join(EXPLORER_COLUMNS)})),
     r AS (SELECT ({' + '.join(f'(count(*) - count({c}))' for c in EXPLORER_COLUMNS)})
             / CAST(count(*) * {len(EXPLORER_COLUMNS)} AS DOUBLE) AS missing,
         (SELECT d FROM copies) / CAST(count(*) AS DOUBLE) AS duplicate,
-        ({' + '.join(_outlier_sql(c) for c in OUTLIER_COLUMNS)}) / CAST(count(*) * 4 AS DOUBLE) AS outlier,
+        ({' + '.join(_outlier_sql(c) for c in PROFILE_COLUMNS)}) / CAST(count(*) * {len(PROFILE_COLUMNS)} AS DOUBLE) AS outlier,
         count(CASE WHEN age BETWEEN 18 AND 100 AND annual_income BETWEEN 0 AND 10000000
           AND credit_score BETWEEN 300 AND 850 AND loan_amount BETWEEN 1000 AND 1000000
           AND (debt_to_income IS NULL OR debt_to_income BETWEEN 0 AND 1)
@@ -133,7 +130,7 @@ OUTLIER_COLUMNS = ["annual_income", "loan_amount", "debt_to_income", "credit_uti
     UNION ALL SELECT 'consistency', round(consistency, 6), 0.95, consistency >= 0.95 FROM r""".strip()))
 def quality_verdict(spark, sf_dir):
     df = prepared(spark, sf_dir, *EXPLORER_COLUMNS)
-    return rounded(validation.quality_verdict(df, OUTLIER_COLUMNS, COPY_COLUMNS), "ratio")
+    return rounded(validation.quality_verdict(df, PROFILE_COLUMNS, EXPLORER_COLUMNS), "ratio")
 
 
 @query("v9_eligibility", on_applications("""

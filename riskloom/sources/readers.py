@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 APPLICATIONS = T.StructType([
@@ -47,9 +49,12 @@ def read_applications(spark: SparkSession, path: str, fmt: str | None = None,
                       schema: T.StructType = APPLICATIONS) -> DataFrame:
     """Read csv, json or parquet; the format follows the extension unless given.
 
-    Text formats keep unparseable records in ``_corrupt`` instead of failing the job.
+    Text formats keep unparseable records in ``_corrupt`` instead of failing the job. A
+    column that no file has is absent, whatever the format. CSV files of one folder must
+    have the same header; a file with another one is refused.
     """
-    fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    name = re.sub(r"\.(gz|bz2|zst|deflate|snappy|lz4)$", "", path.rstrip("/").lower())
+    fmt = fmt or name.rsplit(".", 1)[-1]
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     text = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", CORRUPT)
@@ -59,11 +64,15 @@ def read_applications(spark: SparkSession, path: str, fmt: str | None = None,
         ordered = T.StructType(
             [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
             + [T.StructField(CORRUPT, T.StringType())])
-        df = text.schema(ordered).option("header", True).csv(path)
+        df = text.schema(ordered).option("header", True).option("enforceSchema", False).csv(path)
     elif fmt in ("json", "jsonl", "ndjson"):
-        df = text.json(path)
+        keys = F.json_object_keys("value")
+        found = spark.read.text(path).agg(*[
+            F.max(F.array_contains(keys, c)).alias(c) for c in schema.names]).first()
+        df = text.json(path).select(*[c for c in schema.names if found[c]], CORRUPT)
     elif fmt == "parquet":
-        df = spark.read.schema(schema).parquet(path)
+        present = spark.read.option("mergeSchema", True).parquet(path).columns
+        df = spark.read.schema(T.StructType([f for f in schema if f.name in present])).parquet(path)
     else:
         raise ValueError(f"unsupported format: {fmt}")
     return nan_to_null(df)
