@@ -152,3 +152,25 @@ def test_hot_customer_join_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_csv_files_with_another_column_order_are_refused(spark):
+    path = folder()
+    for name, header in (("a", "customer_id,annual_income,loan_amount"), ("b", "customer_id,loan_amount,annual_income")):
+        with open(os.path.join(path, f"{name}.csv"), "w") as f:
+            f.write(f"{header}\nC1,60000,2000\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_applications(spark, path, "csv").collect()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet", "csv.gz"])
+def test_missing_columns_are_seen_in_every_format(spark, fmt):
+    path = f"{folder()}/upload.{fmt}"
+    rows = spark.createDataFrame([("C1", 50000.0), ("C2", None)], "customer_id string, annual_income double")
+    writer = rows.coalesce(1).write.option("header", True)
+    kind = fmt.split(".")[0]
+    (writer.option("compression", "gzip") if fmt.endswith("gz") else writer).format(kind).save(path)
+    found = readers.read_applications(spark, path)
+    assert found.count() == 2
+    assert validation.missing_columns(found) == ["credit_score", "loan_amount", "employment_length", "debt_to_income",
+                                                 "credit_utilization"]
