@@ -172,7 +172,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id
     ``tokenizer`` is a file that every executor can read.
     """
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     written = rows.mapInArrow(partial(_encode, path=tokenizer, pattern=pattern, end_id=end_id), _SEGMENTS)
     written.write.option("compression", "zstd").parquet(path)

@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows for each task of the first.
     """
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select("doc_id", "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     found = materialize(rows.mapInArrow(_parts, _SCHEMA), "fingerprints")
     edges = found.where("edge is not null")
