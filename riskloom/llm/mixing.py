@@ -8,8 +8,9 @@ unless a weight column makes it unequal within the source.
 
 The order is cut without sorting a source in one task: odds are ranked as fixed-point
 numbers, ten bits at a time; each step sums words per (source, digit) and goes on with the
-rows of the one digit in which the target falls. What a whole document would overshoot is
-filled by the best-fitting documents of the rest, one each in a fixed number of passes.
+rows of the one digit in which the target falls. The gap that the next document in order
+would overshoot is closed by the document of the rest nearest to it in size, in at most
+FILLS passes.
 """
 
 from __future__ import annotations
@@ -128,8 +129,8 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
         used = open_rows.join(got, ["key", "copy"]).groupBy("source").agg(F.sum("size").alias("used"))
         left = room.join(used.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
         left = materialize(left.select("_source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap")), "gaps").where("gap > 0")
-        free = open_rows.join(got, ["key", "copy"], "left_anti").join(left, F.col("source").eqNullSafe(F.col("_source"))).where("size <= gap")
-        best = free.groupBy("source").agg(F.min_by(F.struct("key", "copy"), F.struct(-F.col("size"), F.col("rank"), F.col("key"), F.col("copy"))).alias("b"))
+        free = open_rows.join(got, ["key", "copy"], "left_anti").join(left, F.col("source").eqNullSafe(F.col("_source"))).where("size < 2 * gap")
+        best = free.groupBy("source").agg(F.min_by(F.struct("key", "copy"), F.struct(F.abs(F.col("gap") - F.col("size")), F.col("rank"), F.col("key"), F.col("copy"))).alias("b"))
         taken.append(best.select("b.key", "b.copy"))
     extra = taken[0].unionByName(taken[1]).withColumn("extra", F.lit(1))
     rows = rows.join(extra, ["key", "copy"], "left")
