@@ -7,12 +7,15 @@ after the public literature; 1 is fairest.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom import policy, session
-from riskloom.functions import scorecard
 
 ATTRIBUTES = policy.PROTECTED_ATTRIBUTES
+Outcome = Callable[[], Column]
 GROUP_METRICS = ["demographic_parity", "equalized_odds", "calibration"]
 
 
@@ -63,7 +66,7 @@ def bias_metrics(counts: DataFrame) -> DataFrame:
 
 
 def chi_square(counts: DataFrame) -> DataFrame:
-    """Chi-square of group against approval, and whether it exceeds the 5 % critical value."""
+    """Chi-square of group against approval, and whether its p-value is below 5 %."""
     totals = counts.groupBy("attribute").agg(
         F.sum("n").alias("_n"), F.sum("approved").alias("_approved"),
         (F.count("*") - 1).alias("degrees_of_freedom"))
@@ -74,16 +77,32 @@ def chi_square(counts: DataFrame) -> DataFrame:
     statistic = F.try_divide(off * off, expected) + F.try_divide(off * off, F.col("n") - expected)
     tested = cells.groupBy("attribute", "degrees_of_freedom").agg(
         F.sum(statistic).alias("chi_square"))
-    return tested.withColumn("significant", F.col("chi_square") > critical_value(
-        F.col("degrees_of_freedom")))
+    return tested.withColumn("significant", chi_square_tail(
+        F.col("chi_square"), F.col("degrees_of_freedom")) < policy.SIGNIFICANCE)
+
 
+def chi_square_tail(statistic: Column, degrees: Column) -> Column:
+    """Probability of a larger chi-square value, null below one degree of freedom.
 
-def critical_value(degrees: Column) -> Column:
-    """Tabled 5 % value, Wilson-Hilferty beyond the table."""
-    tabled = F.array(*[F.lit(v) for v in policy.CHI_SQUARE_5_PERCENT])
-    ninth = F.lit(2.0) / (9 * degrees)
-    wide = degrees * F.pow(1 - ninth + 1.644854 * F.sqrt(ninth), F.lit(3.0))
-    return F.coalesce(F.get(tabled, degrees.cast("int") - 1), wide)
+    The power series of the lower incomplete gamma function, whose terms fall faster
+    than any power once they pass half the statistic. More than 60 standard deviations
+    above the mean the tail is below the precision of a double and given as 0.
+    """
+    a, h = degrees / 2, statistic / 2
+    odd = degrees % 2 == 1
+    first = F.when(odd, F.lit(0.5)).otherwise(F.lit(1.0))
+    log_gamma = F.when(odd, F.lit(math.log(math.pi) / 2)).otherwise(F.lit(0.0)) + F.aggregate(
+        F.sequence(F.lit(0), (F.ceil(a) - 1).cast("int")), F.lit(0.0), lambda s, i: s + F.ln(first + i))
+    terms = (F.greatest(h - a, F.lit(0.0)) + 10 * F.sqrt(h) + 60).cast("int")
+    series = F.aggregate(
+        F.sequence(F.lit(1), terms), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        lambda s, i: F.struct((s["term"] * h / (a + i)).alias("term"),
+                              (s["total"] + s["term"] * h / (a + i)).alias("total")),
+        lambda s: s["total"])
+    tail = 1 - F.exp(a * F.ln(h) - h - log_gamma) * series
+    return F.when(degrees >= 1, F.when(statistic <= 0, F.lit(1.0))
+                  .when(statistic > degrees + 60 * F.sqrt(2 * degrees), F.lit(0.0))
+                  .when(statistic.isNotNull(), F.greatest(tail, F.lit(0.0))))
 
 
 def similarity_cell() -> list[Column]:
@@ -110,24 +129,19 @@ def individual_fairness(df: DataFrame) -> DataFrame:
         (1 - F.try_divide(F.sum(2 * F.col("n") * p * (1 - p)), F.sum("n"))).alias("individual_fairness"))
 
 
-def counterfactual_fairness(df: DataFrame, outcomes: dict[str, tuple[Column, Column]]) -> DataFrame:
+def counterfactual_fairness(df: DataFrame, flips: dict[str, tuple[Outcome, Column]]) -> DataFrame:
     """Share of unchanged outcomes per attribute: (attribute, counterfactual_fairness).
 
-    ``outcomes`` gives per attribute the outcome as it is and with the attribute flipped;
-    both are computed in the same row.
+    ``flips`` gives per attribute an outcome and the attribute's other value. The outcome is
+    computed from the row as it is and again from the row with the other value in place.
     """
+    for name, (outcome, other) in flips.items():
+        df = df.withColumn(f"_{name}_actual", outcome()).withColumns({f"_{name}_kept": F.col(name), name: other}) \
+            .withColumn(f"_{name}_flipped", outcome()).withColumn(name, F.col(f"_{name}_kept"))
     row = df.agg(*[
-        F.avg(actual.eqNullSafe(flipped).cast("double")).alias(name)
-        for name, (actual, flipped) in outcomes.items()])
-    return row.unpivot([], list(outcomes), "attribute", "counterfactual_fairness")
-
-
-def scorecard_flip(attribute: str) -> tuple[Column, Column]:
-    """The scorecard's decision; it reads no protected attribute, so flipping changes nothing."""
-    if attribute in policy.SCORE_INPUTS:
-        raise ValueError(f"{attribute} is a scorecard input")
-    outcome = scorecard.decision(scorecard.risk_score())
-    return outcome, outcome
+        F.avg(F.col(f"_{name}_actual").eqNullSafe(F.col(f"_{name}_flipped")).cast("double")).alias(name)
+        for name in flips])
+    return row.unpivot([], list(flips), "attribute", "counterfactual_fairness")
 
 
 def overall_metrics(df: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def training_matrix(df: DataFrame, features: list[str] = FEATURES,
 
 
 def random_forest(trees: int = 100, depth: int = 10) -> Estimator:
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED)
 
 
 def logistic_regression(rows: int, c: float = 1.0) -> Estimator:
@@ -88,7 +88,7 @@ def standardized(estimator: Estimator) -> Pipeline:
 
 def boosted_trees(rounds: int = 100, depth: int = 6) -> Estimator:
     return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8,
-                         seed=SEED)
+                         featureSubsetStrategy="0.8", seed=SEED)
 
 
 def encoder(columns: list[str], method: str = "onehot", label: str | None = None) -> Pipeline:

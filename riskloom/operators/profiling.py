@@ -130,28 +130,34 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
     )
 
 
+#: Missing columns noted in one long.
+PATTERN_BITS = 62
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long and square; null for constants.
 
     Rows are summed per pattern of missing columns, so that one sum per pair serves all
     rows: a pair takes the patterns in which both its columns are present. Values are
     shifted by the column mean first, which keeps the sums of squares accurate. ``df``
-    is read twice; pass a written table. Wide expressions are SQL text, which is
-    planned much faster than one object per term.
+    is read twice; pass a written table. Patterns are as many longs as the columns need.
+    Wide expressions are SQL text, which is planned much faster than one object per term.
     """
     columns = columns or numeric_columns(df)
-    if len(columns) > 62:
-        raise ValueError("at most 62 columns: missing patterns are bits of a long")
     each, pairs = range(len(columns)), _pairs(columns)
     means = df.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in columns])).scalar()
+    patterns = [f"pattern{w}" for w in range(-(-len(columns) // PATTERN_BITS))]
+    missing = [" + ".join(f"IF(`{columns[i]}` IS NULL, {1 << i % PATTERN_BITS}L, 0L)" for i in each if i // PATTERN_BITS == w)
+               for w in range(len(patterns))]
+    present = [f"pattern{i // PATTERN_BITS} & {1 << i % PATTERN_BITS}L = 0" for i in each]
     shifted = df.select(*columns, means.alias("_m")).selectExpr(
-        " + ".join(f"IF(`{columns[i]}` IS NULL, {1 << i}L, 0L)" for i in each) + " AS pattern",
+        *[f"{bits} AS {name}" for bits, name in zip(missing, patterns)],
         *[f"coalesce(CAST(`{columns[i]}` AS DOUBLE) - _m[{i}], 0D) AS x{i}" for i in each])
-    sums = shifted.groupBy("pattern").agg(
+    sums = shifted.groupBy(*patterns).agg(
         F.count("*").alias("n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in each],
         *[F.expr(f"sum(x{i} * x{j}) AS p{i}_{j}") for i, j in pairs])
     cells = ", ".join(
-        f"IF(pattern & {1 << i | 1 << j}L = 0, named_struct('i', {i}, 'j', {j}, 'n', n, "
+        f"IF({present[i]} AND {present[j]}, named_struct('i', {i}, 'j', {j}, 'n', n, "
         f"'si', s{i}, 'sj', s{j}, 'sii', p{i}_{i}, 'sjj', p{j}_{j}, 'sij', p{i}_{j}), NULL)"
         for i, j in pairs)
     totals = sums.selectExpr(f"inline(array_compact(array({cells})))").groupBy("i", "j").agg(

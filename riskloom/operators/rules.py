@@ -29,14 +29,12 @@ def eligibility(df: DataFrame) -> DataFrame:
     return df.withColumn("reasons", failed).withColumn("eligible", F.size("reasons") == 0)
 
 
-def eligible_despite(rule: str) -> tuple[Column, Column]:
-    """Eligibility as it is, and as it would be were ``rule`` met."""
-    met = eligibility_rules()
-    others = F.lit(True)
-    for name, ok in met.items():
-        if name != rule:
-            others = others & ok
-    return others & met[rule], others
+def is_eligible() -> Column:
+    """Whether all eligibility rules pass."""
+    passed = F.lit(True)
+    for ok in eligibility_rules().values():
+        passed = passed & ok
+    return passed
 
 
 def product(purpose: Column) -> Column:

@@ -59,8 +59,7 @@ def stratified_folds(spark, sf_dir):
     return models.assign_folds(df, "default_risk").select("application_id", "default_risk", "fold")
 
 
-DRIFT_FEATURES = ["credit_score", "annual_income", "debt_to_income", "loan_amount",
-                  "inquiries_6mths"]
+DRIFT_FEATURES = models.FEATURES
 _DRIFT_LONG = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, application_ts >= DATE '1999-01-01' AS cur "
     f"FROM applications WHERE {c} IS NOT NULL" for c in DRIFT_FEATURES)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from riskloom import policy
+from riskloom.functions import scorecard
 from riskloom.operators import audit, fairness, rules
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit, on_fairness, on_scored
@@ -63,13 +66,14 @@ def individual_fairness(spark, sf_dir):
         AND loan_amount <= 1000000 AND credit_score BETWEEN 300 AND 850 AND debt_to_income <= CAST(0.5 AS DOUBLE)
         AND inquiries_6mths <= 5 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) FROM applications"""))
 def counterfactual_fairness(spark, sf_dir):
-    """Decisions with the attribute changed: the scorecard ignores sex and marital status,
-    the eligibility rules do look at age."""
-    df = applications(spark, sf_dir, *views.SCORING_COLUMNS, "age", "inquiries_6mths")
+    """Decisions with the attribute changed in the row: the scorecard ignores sex and marital
+    status, the eligibility rules do look at age, which becomes the youngest allowed."""
+    df = applications(spark, sf_dir, *views.SCORING_COLUMNS, "sex", "marital_status", "age", "inquiries_6mths")
+    decided = lambda: scorecard.decision(scorecard.risk_score())
     result = fairness.counterfactual_fairness(df, {
-        "sex": fairness.scorecard_flip("sex"),
-        "marital_status": fairness.scorecard_flip("marital_status"),
-        "age": rules.eligible_despite("age"),
+        "sex": (decided, F.concat(F.lit("not "), "sex")),
+        "marital_status": (decided, F.concat(F.lit("not "), "marital_status")),
+        "age": (rules.is_eligible, F.lit(policy.MINIMUM_AGE)),
     })
     return rounded(result, "counterfactual_fairness")
 

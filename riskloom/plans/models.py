@@ -51,7 +51,7 @@ def boosted_trees(spark, sf_dir):
 
 def _importances(spark, sf_dir):
     train, _ = split_matrix(spark, sf_dir)
-    forest = models.random_forest(20, 5).fit(train)
+    forest = models.random_forest().fit(train)
     linear = models.standardized(models.logistic_regression(train.count())).fit(train)
     return models.feature_importance("Random Forest", forest, spark).unionByName(
         models.feature_importance("Logistic Regression", linear, spark))
@@ -74,7 +74,7 @@ def cross_validation(spark, sf_dir):
     folded = models.assign_folds(applications(spark, sf_dir, *columns), "default_risk")
     table = models.training_matrix(session.materialize(folded, "folds"))
     scores = models.cross_validate({
-        "Random Forest": models.random_forest(20, 5),
+        "Random Forest": models.random_forest(),
         "Logistic Regression": models.standardized(models.logistic_regression(table.count())),
     }, table)
     return models.cross_validation_summary(scores).drop("scores")

@@ -8,10 +8,10 @@ from riskloom import policy
 from riskloom.operators import features, models, rules
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit
-from riskloom.plans.shared import applications, prepared, rounded
+from riskloom.plans.shared import PROFILE_COLUMNS, applications, prepared, rounded
 from riskloom.sources import applications as views
 
-SCALED = ["annual_income", "loan_amount", "debt_to_income"]
+SCALED = PROFILE_COLUMNS[:-1]
 
 
 @query("p22_derived_features", on_applications("""
@@ -40,7 +40,7 @@ def utilization_trend(spark, sf_dir):
 def _scale_sql(centre: str, width: str) -> str:
     return "SELECT application_id, " + ", ".join(
         f"round(({c} - (SELECT {centre.format(c=c)} FROM applications)) / "
-        f"(SELECT {width.format(c=c)} FROM applications), 6) + 0 AS {c}" for c in SCALED
+        f"nullif((SELECT {width.format(c=c)} FROM applications), 0), 6) + 0 AS {c}" for c in SCALED
     ) + " FROM applications"
 
 

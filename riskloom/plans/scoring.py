@@ -25,13 +25,12 @@ def risk_score(spark, sf_dir):
 def risk_score_in_sql(spark, sf_dir):
     """The same scorecard through the registered SQL functions."""
     sql_functions.register(spark)
-    applications(spark, sf_dir, *views.SCORING_COLUMNS).createOrReplaceTempView("applications")
     return spark.sql("""
         SELECT application_id, risk_score, risk_category(risk_score) AS risk_category,
                risk_decision(risk_score) AS decision
         FROM (SELECT application_id, risk_score(credit_score, annual_income, debt_to_income,
                   employment_length, loan_amount, credit_utilization) AS risk_score
-              FROM applications)""")
+              FROM {rows})""", rows=applications(spark, sf_dir, *views.SCORING_COLUMNS))
 
 
 @query("p2_contributions", on_scored("""

@@ -171,11 +171,7 @@ RETRAIN_AFTER_DAYS = 30
 IMPORTANCE_LIMIT = 0.01
 PROTECTED_ATTRIBUTES = ["sex", "age_group", "ethnicity", "marital_status"]
 
-# Chi-square critical values at the 5 % level for 1..10 degrees of freedom.
-CHI_SQUARE_5_PERCENT = [
-    3.841459, 5.991465, 7.814728, 9.487729, 11.070498,
-    12.591587, 14.067140, 15.507313, 16.918978, 18.307038,
-]
+SIGNIFICANCE = 0.05
 
 # Model features in order.
 MODEL_FEATURES = [

@@ -87,11 +87,12 @@ def test_fairness_formulas(groups):
     assert alerts == {"demographic_parity", "equalized_odds"}
 
 
-def test_critical_values(spark):
-    rows = spark.range(1, 16).select("id", fairness.critical_value(F.col("id")).alias("c")).collect()
-    values = {r.id: r.c for r in rows}
-    assert values[1] == 3.841459 and values[10] == 18.307038
-    assert values[15] == pytest.approx(24.996, abs=0.05)
+def test_chi_square_tail(spark):
+    known = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (18.307038, 10, 0.05), (24.995790, 15, 0.05), (124.342113, 100, 0.05),
+             (10.827566, 1, 0.001), (0.0, 3, 1.0), (1e9, 2, 0.0), (0.102587, 2, 0.95), (1074.679, 1000, 0.05), (5.0, 0, None)]
+    df = spark.createDataFrame(known, "x double, k int, p double").withColumn("q", fairness.chi_square_tail(F.col("x"), F.col("k")))
+    for r in df.collect():
+        assert r.q == (None if r.p is None else pytest.approx(r.p, rel=1e-4, abs=1e-12)), r
 
 
 def test_consistency_equals_the_row_form(spark):
@@ -104,11 +105,14 @@ def test_consistency_equals_the_row_form(spark):
 
 
 def test_counterfactual(spark):
-    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, ok boolean")
-    row = fairness.counterfactual_fairness(df, {"x": (F.col("ok"), F.lit(True))}).first()
-    assert row.counterfactual_fairness == pytest.approx(1 / 3)
-    with pytest.raises(ValueError):
-        fairness.scorecard_flip("credit_score")
+    """Only the outcome that reads the flipped attribute changes; other attributes keep their values."""
+    df = spark.createDataFrame([(1, "a", True), (2, "b", False), (3, "a", None)], "id int, kind string, ok boolean")
+    rows = fairness.counterfactual_fairness(df, {
+        "ok": (lambda: F.col("ok") & (F.col("kind") != "c"), F.lit(True)),
+        "kind": (lambda: F.col("id") > 1, F.lit("c")),
+        "id": (lambda: F.col("id") + F.length("kind"), F.when(F.col("kind") == "a", F.col("id")).otherwise(0)),
+    }).collect()
+    assert {r.attribute: round(r.counterfactual_fairness, 6) for r in rows} == {"ok": 0.333333, "kind": 1.0, "id": 0.666667}
 
 
 def test_verdict(spark):

@@ -93,5 +93,3 @@ def test_sampled_attribution_of_a_forest(spark):
     assert all(totals[i] == pytest.approx(predicted[i], abs=1e-9) for i in totals)
     importance = {r.feature: r.importance for r in explain.importance_of(phi).collect()}
     assert importance["c"] < min(importance["a"], importance["b"])
-    with pytest.raises(ValueError):
-        explain.sampled_shapley(forest, df, df, features, "id", n_background=101)

@@ -190,3 +190,16 @@ def test_domain_and_ranges(spark):
     assert validation.field_violations(df, {"age": (18, 100)}).first().violations == 1
     flags = df.select(validation.violated_rules({"age": (18, 100)}).alias("v")).collect()
     assert [r.v for r in flags] == [["age"], [], []]
+
+
+def test_correlation_of_more_columns_than_bits_of_a_long(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(60, 70))
+    values[rng.random(values.shape) < 0.02] = np.nan
+    names = [f"c{i}" for i in range(70)]
+    frame = pd.DataFrame(values, columns=names)
+    df = spark.createDataFrame(frame).select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in names])
+    found = {(r.feature_1, r.feature_2): r.r for r in profiling.correlation_matrix(df).collect()}
+    expected = frame.corr()
+    assert len(found) == 70 * 70
+    assert all(found[a, b] == pytest.approx(expected.loc[a, b], abs=1e-9) for a in names for b in names)
