@@ -8,9 +8,9 @@ unless a weight column makes it unequal within the source.
 
 The order is cut without sorting a source in one task: odds are ranked as fixed-point
 numbers, ten bits at a time; each step sums words per (source, digit) and goes on with the
-rows of the one digit in which the target falls. The gap that the next document in order
-would overshoot is closed by the document of the rest nearest to it in size, in at most
-FILLS passes.
+rows of the one digit in which the target falls. What is taken is told by one row per
+source: the rank of its cut. The gap that the next document in order would overshoot is
+closed by the document of the rest nearest to it in size, in at most FILLS passes.
 """
 
 from __future__ import annotations
@@ -61,18 +61,62 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return ranked.select("source", "source_size", share.alias("target"))
 
 
-def _reach(rows: DataFrame, digit: Column) -> tuple[DataFrame, DataFrame]:
-    """Cut rows (source, size, room) by ``digit``: those surely taken, and those of the
-    digit in which the room ends, with the room that is left for them."""
-    rows = rows.withColumn("digit", digit)
-    sums = rows.groupBy("source", "digit").agg(F.sum("size").alias("words"), F.max("room").alias("room"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("left", F.col("room") - F.coalesce(before, F.lit(0)))
-    sums = sums.where("left > 0").select(F.col("source").alias("_source"), F.col("digit").alias("_digit"), "left", (F.col("words") <= F.col("left")).alias("whole"))
-    sums = materialize(sums, "digits")
-    joined = rows.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("digit") == F.col("_digit")))
-    joined = joined.drop("_source", "_digit", "digit")
-    return joined.where("whole").drop("whole", "left"), joined.where("not whole").withColumn("room", F.col("left")).drop("whole", "left")
+def _cut(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """Where the order of odds exhausts the room of each source.
+
+    From rows (source, size, rank) and room (_source, room): _source, _rank and _left. Rows
+    below _rank fit; of those at it, as many as _left words hold. A source whose rows all
+    fit has no cut.
+    """
+    cut = room.select("_source", F.lit(0).cast("long").alias("_rank"), F.col("room").alias("_left"))
+    for i in range(DIGITS):
+        shift = 10 * (DIGITS - 1 - i)
+        inside = rows.join(cut, F.col("source").eqNullSafe(F.col("_source"))).where(F.shiftright("rank", shift + 10) == F.col("_rank"))
+        sums = inside.groupBy("source", F.shiftright("rank", shift).alias("digit")).agg(F.sum("size").alias("words"), F.first("_left").alias("left"))
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
+        over = sums.withColumn("upto", upto).where("upto > left")
+        least = F.min(F.struct("digit", (F.col("left") - F.col("upto") + F.col("words")).alias("left")))
+        cut = over.groupBy("source").agg(least.alias("c"))
+        cut = materialize(cut.select(F.col("source").alias("_source"), F.col("c.digit").alias("_rank"), F.col("c.left").alias("_left")), "cut")
+    return cut
+
+
+def _taken(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """A row per source that says which rows (source, size, key, copy, rank) are taken:
+    _source, _rank and _last (see ``_is_taken``), _filled and gap (words that are missing)."""
+    cut = _cut(rows, room)
+    at = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")) & (F.col("rank") == F.col("_rank")))
+    order = Window.partitionBy("source").orderBy("key", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    fits = at.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= F.col("_left"))
+    last = fits.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("key", "copy")).alias("_last"))
+    same = F.col("_source").eqNullSafe(F.col("_s"))
+    none = F.array().cast("array<struct<key:string,copy:int>>")
+    state = room.join(cut.select(F.col("_source").alias("_s"), "_rank"), same, "left").drop("_s").join(last, same, "left").drop("_s")
+    state = materialize(state.withColumn("_filled", none), "state")
+    used = rows.join(state, F.col("source").eqNullSafe(F.col("_source"))).where(_is_taken())
+    used = used.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("used"))
+    gap = (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap")
+    state = materialize(state.join(used, same, "left").select("_source", "_rank", "_last", "_filled", gap), "gaps")
+    for _ in range(FILLS):
+        near = state.where("gap > 0")
+        if near.isEmpty():
+            break
+        free = rows.join(near, F.col("source").eqNullSafe(F.col("_source"))).where(~_is_taken() & (F.col("size") < 2 * F.col("gap")))
+        nearest = F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "key", "copy", "size"))
+        best = free.groupBy(F.col("source").alias("_s")).agg(nearest.alias("b"))
+        state = state.join(best, same, "left").select(
+            "_source", "_rank", "_last", F.when(F.col("b").isNull(), F.col("_filled")).otherwise(
+                F.concat("_filled", F.array(F.struct("b.key", "b.copy")))).alias("_filled"),
+            (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"))
+        state = materialize(state, "filled")
+    return state
+
+
+def _is_taken() -> Column:
+    """Whether a row joined with its source's state is before the cut, or fills the gap."""
+    at_cut = (F.col("rank") == F.col("_rank")) & (F.struct("key", "copy") <= F.col("_last"))
+    filled = F.exists("_filled", lambda f: (f["key"] == F.col("key")) & (f["copy"] == F.col("copy")))
+    return F.col("_rank").isNull() | (F.col("rank") < F.col("_rank")) | F.coalesce(at_cut, F.lit(False)) | filled
 
 
 def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> DataFrame:
@@ -92,12 +136,13 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key"),
                        (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
     rows = materialize(rows, "sizes")
-    repeated = rows.groupBy("key").count().where("count > 1")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
+    sizes = materialize(sizes, "source_sizes")
+    repeated = materialize(rows.groupBy("key").count().where("count > 1").select("key"), "repeated")
     copy = F.row_number().over(Window.partitionBy("key").orderBy("source", "size"))
     again = rows.join(repeated, "key", "left_semi").withColumn("copy", copy)
     rows = rows.join(repeated, "key", "left_anti").withColumn("copy", F.lit(1)).unionByName(again)
-    rows = materialize(rows.withColumn("u", uniform(F.concat_ws("#", "key", "copy"))), "rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
+    rows = rows.withColumn("u", uniform(F.concat_ws("#", "key", "copy")))
     targets = source_targets(sizes.select("source", "source_size"), most)
     per_source = targets.join(sizes.select(F.col("source").alias("_s"), "weighed"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     per_source = materialize(per_source, "targets").withColumnRenamed("source", "_source")
@@ -105,37 +150,16 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     expected = F.when(F.col("weighed") > 0, F.least(F.lit(float(most)), F.col("target") * F.col("weight") / F.col("weighed"))).otherwise(0.0)
     rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
-    rank = F.floor((1 - 1 / (1 + odds)) * float(1 << 10 * DIGITS)).cast("long")
+    top = 1 << 10 * DIGITS
+    rank = F.least(F.floor((1 - 1 / (1 + odds)) * float(top)).cast("long"), F.lit(top - 1))
     open_row = (F.col("p") > 0) & (F.col("size") > 0)
     rows = materialize(rows.withColumn("rank", F.when(open_row, rank)), "ranked")
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("_certain"), F.max("target").alias("_target"))
     room = certain.select(F.col("source").alias("_source"), (F.floor(F.col("_target") + 0.5) - F.col("_certain")).alias("room"))
-    open_rows = rows.where("rank is not null").select("source", "size", "key", "copy", "rank")
-    rest = open_rows.join(materialize(room, "room").where("room > 0"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    taken = []
-    for i in range(DIGITS):
-        sure, rest = _reach(rest, F.shiftright(F.col("rank"), 10 * (DIGITS - 1 - i)))
-        taken.append(sure.select("key", "copy"))
-        rest = materialize(rest, "rest")
-    last = Window.partitionBy("source").orderBy("rank", "key", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    rest = rest.withColumn("upto", F.sum("size").over(last)).where("upto <= room")
-    taken.append(rest.select("key", "copy"))
-    for _ in range(FILLS):
-        got = taken[0]
-        for part in taken[1:]:
-            got = got.unionByName(part)
-        got = materialize(got, "taken")
-        taken = [got]
-        used = open_rows.join(got, ["key", "copy"]).groupBy("source").agg(F.sum("size").alias("used"))
-        left = room.join(used.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-        left = materialize(left.select("_source", (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap")), "gaps").where("gap > 0")
-        free = open_rows.join(got, ["key", "copy"], "left_anti").join(left, F.col("source").eqNullSafe(F.col("_source"))).where("size < 2 * gap")
-        best = free.groupBy("source").agg(F.min_by(F.struct("key", "copy"), F.struct(F.abs(F.col("gap") - F.col("size")), F.col("rank"), F.col("key"), F.col("copy"))).alias("b"))
-        taken.append(best.select("b.key", "b.copy"))
-    extra = taken[0].unionByName(taken[1]).withColumn("extra", F.lit(1))
-    rows = rows.join(extra, ["key", "copy"], "left")
-    copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")
-    rows = rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+    state = _taken(rows.where("rank is not null").select("source", "size", "key", "copy", "rank"), materialize(room, "room"))
+    rows = rows.join(state, F.col("source").eqNullSafe(F.col("_source")))
+    extra = F.when(F.col("rank").isNotNull() & _is_taken(), 1).otherwise(0)
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("int"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
 
 
