@@ -23,13 +23,15 @@ def predictions(df: DataFrame, scores: dict[str, str], label: str = "default_ris
 
 def confusion(rows: DataFrame) -> DataFrame:
     """True and false negatives and positives per model."""
-    actual, predicted = F.col("label") == 1, F.col("prediction") == 1
     return rows.filter(F.col("label").isNotNull() & F.col("prediction").isNotNull()) \
-        .groupBy("model").agg(
-            F.count_if(~actual & ~predicted).alias("tn"),
-            F.count_if(~actual & predicted).alias("fp"),
-            F.count_if(actual & ~predicted).alias("fn"),
-            F.count_if(actual & predicted).alias("tp"))
+        .groupBy("model").agg(*_cells())
+
+
+def _cells() -> list[Column]:
+    """Counts of the four cells; rows without a label or a prediction are in none."""
+    actual, predicted = F.col("label") == 1, F.col("prediction") == 1
+    return [F.count_if(~actual & ~predicted).alias("tn"), F.count_if(~actual & predicted).alias("fp"),
+            F.count_if(actual & ~predicted).alias("fn"), F.count_if(actual & predicted).alias("tp")]
 
 
 def _or_zero(part: Column, whole: Column) -> Column:
@@ -47,29 +49,36 @@ def classification_metrics(matrix: DataFrame) -> DataFrame:
         _or_zero(2 * tp, 2 * tp + fp + fn).alias("f1_score"))
 
 
-def score_counts(rows: DataFrame, bins: int | None = None) -> DataFrame:
+def score_counts(rows: DataFrame, bins: int | None = None, cells: bool = False) -> DataFrame:
     """Positives and negatives per model and distinct score.
 
     ``bins`` rounds probabilities to a grid: an approximate curve of bounded length.
+    ``cells`` adds the confusion cells of each score, so that one pass serves both.
     The counts are a written table, as ranking reads them several times.
     """
     score = F.col("score") if bins is None else F.floor(F.col("score") * bins) / bins
     counts = rows.groupBy("model", score.alias("score")).agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"),
+        *(_cells() if cells else []))
     return session.materialize(counts, "score-counts")
 
 
+def _ranked(counts: DataFrame) -> DataFrame:
+    return ranking.cumulative(counts.select("model", "score", "pos", "neg"), ["model"], "score", ["pos", "neg"])
+
+
 def ranked_scores(rows: DataFrame, bins: int | None = None) -> DataFrame:
-    return ranking.cumulative(score_counts(rows, bins), ["model"], "score", ["pos", "neg"])
+    return _ranked(score_counts(rows, bins))
 
 
 def roc_curve(rows: DataFrame, bins: int | None = None) -> DataFrame:
     """(model, threshold, fpr, tpr) for every distinct score, and the (0, 0) start without one."""
-    points = ranked_scores(rows, bins).select(
+    counts = score_counts(rows, bins)
+    points = _ranked(counts).select(
         "model", F.col("score").alias("threshold"),
         F.try_divide(F.col("neg_total") - F.col("neg_before"), F.col("neg_total")).alias("fpr"),
         F.try_divide(F.col("pos_total") - F.col("pos_before"), F.col("pos_total")).alias("tpr"))
-    start = rows.select("model").distinct().select(
+    start = counts.select("model").distinct().select(
         "model", F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
@@ -77,16 +86,24 @@ def roc_curve(rows: DataFrame, bins: int | None = None) -> DataFrame:
 
 def roc_auc(rows: DataFrame, bins: int | None = None) -> DataFrame:
     """Exact area under the curve; tied scores count half."""
+    return _area(score_counts(rows, bins))
+
+
+def _area(counts: DataFrame) -> DataFrame:
     below = F.col("neg_before") + F.col("neg") / 2
-    return ranked_scores(rows, bins).groupBy("model").agg(
+    return _ranked(counts).groupBy("model").agg(
         F.sum(F.col("pos").cast("double") * below).alias("_area"),
         F.max("pos_total").cast("double").alias("_pos"), F.max("neg_total").alias("_neg"),
     ).select("model", F.try_divide(F.col("_area"), F.col("_pos") * F.col("_neg")).alias("roc_auc"))
 
 
 def evaluate(rows: DataFrame) -> DataFrame:
-    """One row per model with the five metrics; one row per model on both join sides."""
-    return classification_metrics(confusion(rows)).join(roc_auc(rows), "model", "left")
+    """One row per model with the five metrics, from one pass over the rows."""
+    counts = score_counts(rows, cells=True)
+    names = ["tn", "fp", "fn", "tp"]
+    matrix = counts.groupBy("model").agg(*[F.sum(c).alias(c) for c in names]) \
+        .filter(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") > 0)
+    return classification_metrics(matrix).join(_area(counts), "model", "left")
 
 
 def comparison(rows: DataFrame, digits: int = 4) -> DataFrame:

@@ -186,6 +186,25 @@ def partial_dependence(df: DataFrame, feature: str, points: int = 50) -> DataFra
         for i, at in enumerate(grid)])))
 
 
+def model_dependence(model: Model, df: DataFrame, features: list[str], feature: str,
+                     points: int = 50) -> DataFrame:
+    """Mean probability of a fitted classifier with ``feature`` fixed at each grid point.
+
+    A row is multiplied inside its task and scored there; only one sum per grid point
+    and task is shuffled. Rows with a missing feature are left out.
+    """
+    rows = df.dropna(subset=features).select(*[F.col(c).cast("double").alias(c) for c in features])
+    limits = rows.agg(F.struct(F.min(feature).alias("low"), F.max(feature).alias("high"))).scalar()
+    placed = rows.withColumn("_r", limits) \
+        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    span = (F.col("_r.high") - F.col("_r.low")) / max(1, points - 1)
+    placed = placed.withColumn(feature, F.col("_r.low") + span * F.col("point"))
+    scored = model.transform(placed.withColumn("features", array_to_vector(F.array(*features))))
+    return scored.groupBy("point").agg(
+        F.any_value(feature).alias("feature_value"),
+        F.avg(vector_to_array("probability")[1]).alias("mean_score"))
+
+
 def what_if(df: DataFrame, scenarios: DataFrame, id_column: str = "scenario_id") -> DataFrame:
     """Score scenarios; inputs they leave out take the column mean of ``df``."""
     means = df.agg(F.struct(*[

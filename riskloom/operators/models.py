@@ -6,9 +6,10 @@ import math
 import random
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
+    GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
+    RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, TargetEncoder,
@@ -141,6 +142,10 @@ class KernelMachine:
         return VectorAssembler(inputCols=names, outputCol="mapped").transform(wide).drop(*names)
 
     def fit(self, df: DataFrame) -> "KernelMachine":
+        """A fitted copy, so that several fits can run side by side."""
+        return KernelMachine(self.features, self.components, self.iterations)._fitted(df)
+
+    def _fitted(self, df: DataFrame) -> "KernelMachine":
         row = df.agg(*[F.avg(c) for c in self.features],
                      *[F.stddev_samp(c) for c in self.features]).first()
         n = len(self.features)
@@ -155,6 +160,24 @@ class KernelMachine:
                                         predictionCol="platt_prediction").fit(margins)
         return self
 
+    def save(self, path: str) -> None:
+        """Store the fitted parts below a new path."""
+        self.svm.write().save(f"{path}/svm")
+        self.platt.write().save(f"{path}/platt")
+        inputs = [(self.features, self.components, self.iterations, [list(m) for m in self.moments])]
+        SparkSession.active().createDataFrame(
+            inputs, "features array<string>, components int, iterations int, moments array<array<double>>",
+        ).write.parquet(f"{path}/inputs")
+
+    @classmethod
+    def load(cls, path: str) -> "KernelMachine":
+        row = SparkSession.active().read.parquet(f"{path}/inputs").first()
+        machine = cls(row.features, row.components, row.iterations)
+        machine.moments = [tuple(m) for m in row.moments]
+        machine.svm = LinearSVCModel.load(f"{path}/svm")
+        machine.platt = LogisticRegressionModel.load(f"{path}/platt")
+        return machine
+
     @staticmethod
     def _margin(df: DataFrame) -> DataFrame:
         value = df.withColumn("_margin", vector_to_array("rawPrediction")[1])
@@ -232,12 +255,22 @@ def cross_validation_summary(scores: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("fold", "roc_auc"))).alias("scores"))
 
 
-def registry_records(metrics: DataFrame, version: str, trained_at: str, status: str) -> DataFrame:
-    """Registry rows: one per evaluated model."""
-    return metrics.select(
+def registry_records(metrics: DataFrame, version: str, trained_at: str, status: str,
+                     stored: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Registry rows: one per evaluated model.
+
+    ``stored`` has kind and path of each model, as ``save`` returned them; they become
+    the columns model_kind and model_path.
+    """
+    records = metrics.select(
         F.col("model").alias("model_name"), F.lit(version).alias("version"),
         F.lit(trained_at).cast("timestamp").alias("trained_at"), F.lit(status).alias("status"),
         *evaluation.METRICS)
+    if stored is None:
+        return records
+    places = metrics.sparkSession.createDataFrame(
+        [(name, *place) for name, place in stored.items()], "model_name string, model_kind string, model_path string")
+    return records.join(places, "model_name", "left")
 
 
 def register(records: DataFrame, path: str) -> DataFrame:
@@ -254,6 +287,22 @@ def current_models(registry: DataFrame) -> DataFrame:
     return newest.select("model_name", "status", "r.*")
 
 
-def save(model, path: str) -> None:
-    """Store a fitted pipeline or model at a new path."""
-    model.write().save(path)
+def save(model, path: str) -> tuple[str, str]:
+    """Store a fitted model at a new path; returns the kind and path that ``load`` takes."""
+    if isinstance(model, KernelMachine):
+        model.save(path)
+        return "kernel", path
+    (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().save(path)
+    return "pipeline", path
+
+
+def load(kind: str, path: str):
+    """A stored model."""
+    return KernelMachine.load(path) if kind == "kernel" else PipelineModel.load(path)
+
+
+def load_current(registry: DataFrame, status: str = "Production") -> dict[str, object]:
+    """The newest stored version of each model with ``status``, by name."""
+    rows = current_models(registry).filter(F.col("status") == status) \
+        .select("model_name", "model_kind", "model_path").collect()
+    return {r.model_name: load(r.model_kind, r.model_path) for r in rows}

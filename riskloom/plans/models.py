@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from riskloom import session
-from riskloom.operators import drift, explain, models
+from riskloom.operators import drift, evaluation, explain, models
 from riskloom.plans.catalog import query
+from riskloom.plans.oracle import on_applications
 from riskloom.plans.shared import applications
 
 FEATURES = models.FEATURES
@@ -49,6 +52,53 @@ def boosted_trees(spark, sf_dir):
     return _evaluated("Boosted Trees", lambda _: models.boosted_trees(), spark, sf_dir)
 
 
+def _estimators(rows):
+    """The three models that are compared, with their declared settings."""
+    return {
+        "Random Forest": models.random_forest(),
+        "Logistic Regression": models.standardized(models.logistic_regression(rows)),
+        "SVM": models.KernelMachine(FEATURES),
+    }
+
+
+def _scored_by_stored(spark, sf_dir):
+    """Hold-out scores of the current models, trained, stored, registered and loaded again."""
+    train, holdout = split_matrix(spark, sf_dir)
+    fitted = {name: e.fit(train) for name, e in _estimators(train.count()).items()}
+    stored = {name: models.save(m, session.scratch_path(spark, "model")) for name, m in fitted.items()}
+    metrics = models.holdout_evaluation(fitted, holdout)
+    records = models.registry_records(metrics, "v1", TRAINED_AT, "Production", stored)
+    registry = models.register(records, session.scratch_path(spark, "registry"))
+    rows = None
+    for name, model in sorted(models.load_current(registry).items()):
+        scored = models.scored_rows(name, model, holdout)
+        rows = scored if rows is None else rows.unionByName(scored)
+    return session.materialize(rows, "scored")
+
+
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, "default_risk"])
+
+
+@query("m10_trained_models", on_applications(f"""
+    SELECT model, count(*) AS holdout_rows, CAST(sum(default_risk) AS BIGINT) AS positives, TRUE AS above_chance
+    FROM applications, (VALUES ('Random Forest'), ('Logistic Regression'), ('SVM')) AS m(model)
+    WHERE {_COMPLETE} AND CAST('0x' || substr(md5(CAST(application_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20
+    GROUP BY model"""))
+def trained_models(spark, sf_dir):
+    """The stored models side by side on the hold-out rows: facts of their evaluation."""
+    rows = _scored_by_stored(spark, sf_dir)
+    cells = evaluation.confusion(rows).join(evaluation.roc_auc(rows), "model")
+    return cells.select(
+        "model", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("holdout_rows"),
+        (F.col("fn") + F.col("tp")).alias("positives"), (F.col("roc_auc") > 0.5).alias("above_chance"))
+
+
+@query("m8_trained_models")
+def trained_models_curve(spark, sf_dir):
+    """ROC points of the stored models on the hold-out rows."""
+    return evaluation.roc_curve(_scored_by_stored(spark, sf_dir))
+
+
 def _importances(spark, sf_dir):
     train, _ = split_matrix(spark, sf_dir)
     forest = models.random_forest().fit(train)
@@ -69,14 +119,11 @@ def feature_selection(spark, sf_dir):
 
 @query("m12_cross_validation")
 def cross_validation(spark, sf_dir):
-    """Five-fold AUC of a forest and a logistic regression."""
+    """Five-fold AUC of the three models that are compared."""
     columns = ["application_id", *FEATURES, "default_risk"]
     folded = models.assign_folds(applications(spark, sf_dir, *columns), "default_risk")
     table = models.training_matrix(session.materialize(folded, "folds"))
-    scores = models.cross_validate({
-        "Random Forest": models.random_forest(),
-        "Logistic Regression": models.standardized(models.logistic_regression(table.count())),
-    }, table)
+    scores = models.cross_validate(_estimators(table.count()), table)
     return models.cross_validation_summary(scores).drop("scores")
 
 
@@ -118,3 +165,18 @@ def model_importance(spark, sf_dir):
     """Mean absolute attribution of the forest's features."""
     attributions = model_attribution(spark, sf_dir)
     return explain.importance_of(attributions)
+
+
+@query("x6_model_dependence")
+def model_dependence(spark, sf_dir):
+    """Mean probability of the forest along the debt ratio."""
+    train, _ = split_matrix(spark, sf_dir)
+    forest = models.random_forest().fit(train)
+    return explain.model_dependence(forest, matrix(spark, sf_dir), FEATURES, "debt_to_income")
+
+
+@query("x7_model_explanation")
+def model_explanation(spark, sf_dir):
+    """A JSON explanation of the forest's prediction for every application."""
+    attributions = model_attribution(spark, sf_dir)
+    return explain.explanation_documents(attributions, explain.summed_prediction(), TRAINED_AT)

@@ -76,6 +76,23 @@ def test_sample_is_repeatable(cases):
     assert first == again and len(first) == 10
 
 
+def test_dependence_of_a_model(spark):
+    """Grid means equal scoring the whole table with the feature set by hand."""
+    rng = random.Random(3)
+    features = ["a", "b"]
+    df = spark.createDataFrame([(rng.random(), rng.random()) for _ in range(100)] + [(None, 0.5)], "a double, b double") \
+        .withColumn("y", (F.col("a") > 0.5).cast("int"))
+    forest = models.random_forest(5, 3).fit(models.training_matrix(df, features, "y"))
+    found = explain.model_dependence(forest, df, features, "a", points=5).orderBy("point").collect()
+    low, high = df.agg(F.min("a"), F.max("a")).first()
+    assert [r.feature_value for r in found] == pytest.approx([low + (high - low) / 4 * i for i in range(5)])
+    for r in found:
+        fixed = models.training_matrix(df.dropna().withColumn("a", F.lit(r.feature_value)), features, "y")
+        mean = models.scored_rows("m", forest, fixed).agg(F.avg("score")).first()[0]
+        assert r.mean_score == pytest.approx(mean)
+    assert explain.model_dependence(forest, df.limit(0), features, "a").count() == 0
+
+
 def test_sampled_attribution_of_a_forest(spark):
     """Base plus attributions equals the forest's probability for every row."""
     rng = random.Random(2)

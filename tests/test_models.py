@@ -45,6 +45,32 @@ def test_kernel_machine_learns_a_circle(spark):
     assert auc(models.logistic_regression(600).fit(matrix)) < 0.7
 
 
+def test_stored_models_score_alike(planted, spark):
+    train, holdout = planted.filter("split <> 'test'"), planted.filter("split = 'test'")
+    fitted = {"forest": models.random_forest(5, 3).fit(train), "kernel": models.KernelMachine(FEATURES, 16, 5).fit(train)}
+    stored = {name: models.save(m, session.scratch_path(spark, "model")) for name, m in fitted.items()}
+    metrics = models.holdout_evaluation(fitted, holdout)
+    records = models.registry_records(metrics, "v1", "2001-01-01", "Production", stored)
+    loaded = models.load_current(models.register(records, session.scratch_path(spark, "registry")))
+    again = models.holdout_evaluation(loaded, holdout)
+    key = lambda df: sorted((r.model, *[round(r[m], 12) for m in evaluation.METRICS]) for r in df.collect())
+    assert key(again) == key(metrics) and set(loaded) == set(fitted)
+
+
+def test_fits_do_not_share_state(planted):
+    machine = models.KernelMachine(FEATURES, 8, 3)
+    one, two = machine.fit(planted.filter("x0 > 0")), machine.fit(planted.filter("x0 <= 0"))
+    assert one is not two and one.moments[0][0] > 0 > two.moments[0][0]
+
+
+def test_evaluation_in_one_pass(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 0.9, 1), ("a", 0, 0.9, 1), ("a", 0, 0.1, 0), ("a", None, 0.5, 1), ("a", 1, 0.2, None), ("b", None, 0.5, 1)],
+        "model string, label int, score double, prediction int")
+    separate = evaluation.classification_metrics(evaluation.confusion(rows)).join(evaluation.roc_auc(rows), "model", "left")
+    assert sorted(evaluation.evaluate(rows).collect()) == sorted(separate.select(evaluation.evaluate(rows).columns).collect())
+
+
 def test_importance_ranks_the_signal(planted, spark):
     linear = models.logistic_regression(800).fit(planted)
     rows = models.feature_importance("linear", linear, spark, FEATURES).orderBy("rank").collect()
