@@ -18,7 +18,6 @@ fitted on the documents of the sample, of its two largest margins.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -28,11 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import text
+from riskloom.session import materialize, parallelism
 
 DECAY = 0.6
 THRESHOLD = 0.3
 SAMPLE_PER_CLASS = 2000
 LANDMARKS = 96
+#: Weight of all distinct words of clean texts over that of all witnesses; a witness weighs no less than a clean word.
+BALANCE = 20.0
 _PATTERNS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 _FEATURES = 1 << 15
 _CODE = np.zeros(256, np.int64)
@@ -91,10 +93,7 @@ def margins(codes: np.ndarray, word: np.ndarray, count: int, table: np.ndarray)
     total = np.zeros(count)
     for owner, key, weight in _subsequences(codes, word):
         total += np.bincount(owner, weight * table[key], minlength=count)
-    letters = np.bincount(word, minlength=count)
-    norm = _NORMS[np.minimum(letters, len(_NORMS) - 1)]
-    norm[letters >= len(_NORMS)] *= np.sqrt(letters[letters >= len(_NORMS)] / (len(_NORMS) - 1))
-    return np.divide(total, norm, out=np.zeros(count), where=norm > 0)
+    return total / _lengths(codes, word, count)
 
 
 def word_map(words: list[str]) -> np.ndarray:
@@ -143,107 +142,185 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, cos
     return w[:-1], float(w[-1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton steps; classes weigh as they are."""
+def _logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray | float = 1.0) -> np.ndarray:
+    """Logistic regression with a small ridge, by Newton steps; rows weigh their ``mass``."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        gradient = x1.T @ (p - y) + 0.05 * w
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + 0.05 * np.eye(len(w)), gradient)
+        gradient = x1.T @ (mass * (p - y)) + 0.05 * w
+        step = np.linalg.solve((x1 * (mass * p * (1 - p))[:, None]).T @ x1 + 0.05 * np.eye(len(w)), gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(sample: list[tuple[int, list[str]]], landmarks: int = LANDMARKS, rounds: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Table, bias and logistic weights from (toxic, distinct words) of labelled documents.
+def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """toxic and text of labelled training documents, at most ``per_class`` of each class, by a fixed order of ids."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(trains)
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_order", F.xxhash64("doc_id"))
+    chosen = [known.where(F.col("toxic") == t).orderBy("_order", "doc_id").limit(per_class) for t in (0, 1)]
+    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = rows.repartition(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    return materialize(rows.select("toxic", "text"), "toxicity_sample")
 
-    Without examples of both classes the table is zero and every score is the share of
-    toxic examples (0 without any).
-    """
-    share = sum(t for t, _ in sample) / len(sample) if sample else 0.0
-    if share in (0.0, 1.0):
-        level = math.log((share + 1e-6) / (1 - share + 1e-6))
-        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, level])
-    toxic, clean = Counter(), Counter()
-    for label, words in sample:
-        (toxic if label else clean).update(words)
-    n_toxic = sum(t for t, _ in sample)
-    n_clean = len(sample) - n_toxic
-
-    def speaks(w: str) -> float:
-        return toxic[w] / n_toxic * math.log((toxic[w] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean[w] + 0.5))
-
-    telling = sorted(toxic, key=lambda w: (-speaks(w), w))[:2 * landmarks // 3]
-    usual = [w for w, _ in sorted(clean.items(), key=lambda e: (-e[1], e[0])) if w not in telling][:landmarks - len(telling)]
-    marks = word_map(telling + usual)
-    values, vectors = np.linalg.eigh(marks.astype(float) @ marks.T)
-    good = values > 1e-6 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
 
-    def features(words: list[str]) -> np.ndarray:
-        parts = [word_map(words[i:i + 64]) @ marks.T for i in range(0, len(words), 64)]
-        return np.vstack(parts).astype(float) @ whiten
-
-    negative = sorted(clean, key=lambda w: (-clean[w], w))
-    hard = sorted(negative[2000:], key=lambda w: hash_order(w))[:6000]
-    negative = negative[:2000] + hard
-    x_negative = features(negative)
-    known = features(all_toxic := sorted(toxic, key=lambda w: (-speaks(w), w))[:8000])
-    place = {w: i for i, w in enumerate(all_toxic)}
-    margin = np.array([speaks(w) for w in all_toxic])
-    for _ in range(rounds):
-        witnesses = Counter()
-        for label, words in sample:
-            if label and (seen := [place[w] for w in words if w in place]):
-                witnesses[max(seen, key=lambda i: (margin[i], -i))] += 1
-        chosen = sorted(witnesses)
-        x = np.vstack([known[chosen], x_negative])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(negative))])
-        mass = np.array([witnesses[i] for i in chosen], float)
-        weight = np.concatenate([mass / mass.sum() * len(chosen), np.ones(len(negative))])
-        w, bias = _svm(x, y, weight)
-        margin = known @ w + bias
-    table = (marks.T.astype(float) @ (whiten @ w))
-    best = []
-    for _, words in sample:
-        data = np.frombuffer(" ".join(words).encode(), np.uint8)
-        codes, number, heads, first = spelled(data, np.array([0, len(data)]))
-        best.append(_two_largest(margins(codes, number, len(heads), table) + bias, first)[0])
-    return table, bias, _logistic(np.array(best), np.array([t for t, _ in sample], float))
-
-
-def hash_order(word: str) -> int:
-    """A fixed pseudo-random order of words."""
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(text.span_hash(text.prefix_hash(data), np.array([0]), np.array([len(data)]))[0])
+def _letters(codes: np.ndarray, word: np.ndarray, count: int) -> list[str]:
+    """Each word's letter codes as characters."""
+    raw = (codes + 96).astype(np.uint8).tobytes().decode("ascii")
+    ends = np.cumsum(np.bincount(word, minlength=count)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Letter codes and word numbers of words written by ``_letters``, and the number of words."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    _, _, data, offsets = next(text.slices(column, 1 << 62))
+    return data.astype(np.int64) - 96, np.repeat(np.arange(len(column)), np.diff(offsets)), len(column)
 
 
 def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each document's sentences, lowered, without outer punctuation."""
+    """Distinct words of each document that have a subsequence."""
     for batch in batches:
-        words = []
-        for value in batch.column("text").to_pylist():
-            data = np.frombuffer((value or "").encode(), np.uint8)
-            starts, ends, _ = text.words(data, np.array([0, len(data)]))
-            raw = data.tobytes()
-            found = {raw[a:b].lower().decode("utf-8", "replace").strip(".,;:!?*%$#&\"'()") for a, b in zip(starts, ends, strict=True)}
-            words.append(sorted(w for w in found if 3 <= len(w) <= 40))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[int, list[str]]]:
-    """Labelled training documents, at most ``per_class`` of each class, by a fixed order of ids."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(trains)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_order", F.xxhash64("doc_id"))
-    chosen = [known.where(F.col("toxic") == t).orderBy("_order", "doc_id").limit(per_class) for t in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
-    words = rows.select("toxic", "text").mapInArrow(_sample_words, "toxic int, words array<string>")
-    own: dict[str, str] = {}  # one object for each distinct word
-    return sorted((r["toxic"], [own.setdefault(w, w) for w in r["words"]]) for r in words.collect())
+        for low, high, data, offsets in text.slices(batch.column("text")):
+            codes, word, heads, first = spelled(data, offsets)
+            words = _letters(codes, word, len(heads))
+            toxic = batch.column("toxic").to_pylist()[low:high]
+            found = [(t, w) for t, a, b in zip(toxic, first, first[1:], strict=False) for w in sorted(set(words[a:b])) if len(w) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())], names=["toxic", "word"])
+
+
+def _witnesses(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+    """The word of largest margin of each document."""
+    for batch in batches:
+        for _, _, data, offsets in text.slices(batch.column("text")):
+            codes, word, heads, first = spelled(data, offsets)
+            words, margin = _letters(codes, word, len(heads)), margins(codes, word, len(heads), table) + bias
+            margin[np.bincount(word, minlength=len(heads)) < 3] = -np.inf
+            best = [a + int(margin[a:b].argmax()) for a, b in zip(first, first[1:], strict=False) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in best if np.isfinite(margin[i])], pa.string())], names=["word"])
+
+
+def _features(codes: np.ndarray, word: np.ndarray, count: int, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Landmark features of words: sums of ``rows`` over subsequences; ``place`` 0 has none."""
+    out = np.zeros((count, rows.shape[1]))
+    for owner, key, weight in _subsequences(codes, word):
+        at = place[key]
+        owner, at = owner[at > 0], at[at > 0]
+        if len(owner):
+            heads = np.flatnonzero(np.diff(owner, prepend=-1))
+            out[owner[heads]] += weight * np.add.reduceat(rows[at], heads, axis=0)
+    return out / _lengths(codes, word, count)[:, None]
+
+
+def _lengths(codes: np.ndarray, word: np.ndarray, count: int) -> np.ndarray:
+    """Norms of words; infinite for words without subsequences."""
+    letters = np.bincount(word, minlength=count)
+    norm = _NORMS[np.minimum(letters, len(_NORMS) - 1)]
+    norm[letters >= len(_NORMS)] *= np.sqrt(letters[letters >= len(_NORMS)] / (len(_NORMS) - 1))
+    return np.where(norm > 0, norm, np.inf)
+
+
+def _normal(batches: Iterator[pa.RecordBatch], w: np.ndarray, place: np.ndarray, rows: np.ndarray, cost: float) -> Iterator[pa.RecordBatch]:
+    """Sums of the normal equations over the words within the margin of the machine ``w``."""
+    square, right, table = np.zeros((len(w), len(w))), np.zeros(len(w)), (rows @ w[:-1])[place]
+    for batch in batches:
+        for low in range(0, batch.num_rows, 4096):
+            part = batch.slice(low, 4096)
+            margin = margins(*_coded(part.column("word")), table) + w[-1]
+            positive = part.column("positive").to_numpy() * (margin < 1) * cost
+            negative = part.column("negative").to_numpy() * (margin > -1) * cost
+            active = positive + negative > 0
+            positive, negative, part = positive[active], negative[active], part.filter(pa.array(active))
+            codes, word, count = _coded(part.column("word"))
+            x = np.hstack([_features(codes, word, count, place, rows), np.ones((count, 1))])
+            square += (x * (positive + negative)[:, None]).T @ x
+            right += (positive - negative) @ x
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([square.ravel(), right])], pa.list_(pa.float64()))], names=["sums"])
+
+
+def _machine(words: DataFrame, w: np.ndarray, place: np.ndarray, rows: np.ndarray, rounds: int = 60, cost: float = 4.0) -> np.ndarray:
+    """Squared-hinge machine over all rows (word, positive, negative) by Newton steps, starting at ``w``.
+
+    Each step adds up one matrix per task; no word comes to the driver.
+    """
+    n = len(w)
+    ridge = np.eye(n)
+    ridge[-1, -1] = 1e-3
+    for _ in range(rounds):
+        parts = words.mapInArrow(partial(_normal, w=w, place=place, rows=rows, cost=cost), "sums array<double>").collect()
+        sums = np.sum(sorted(r["sums"] for r in parts), axis=0)
+        after = np.linalg.solve(ridge + sums[:n * n].reshape(n, n), sums[n * n:])
+        if np.allclose(after, w, atol=1e-8):
+            break
+        w = after
+    return w
+
+
+def _largest(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+    """toxic and the two largest margins of documents."""
+    for batch in batches:
+        for low, high, data, offsets in text.slices(batch.column("text")):
+            codes, word, heads, first = spelled(data, offsets)
+            best = _two_largest(margins(codes, word, len(heads), table) + bias, first)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(low, high - low), pa.array(best[:, 0]), pa.array(best[:, 1])], names=["toxic", "a", "b"])
+
+
+def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance: float = BALANCE) -> tuple[np.ndarray, float, np.ndarray]:
+    """Table, bias and logistic weights from (toxic, text) of labelled documents.
+
+    Every word of three letters or more trains; words stay in Spark. The driver gets the
+    landmarks, one matrix per task and Newton step, and two margins per document. Without
+    examples of both classes the table is zero and every score is the share of toxic
+    examples (0 without any).
+    """
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+    if not n_clean or not n_toxic:
+        share = 1.0 if n_toxic else 0.0
+        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6))])
+    found = sample.mapInArrow(_sample_words, "toxic int, word string")
+    spoken = found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    odds = (F.col("toxic") + 0.5) / (n_toxic + 1) * (n_clean + 1) / (F.col("clean") + 0.5)
+    spoken = materialize(spoken.withColumn("speaks", F.col("toxic") / n_toxic * F.log(odds)), "toxicity_words")
+    telling = spoken.where("toxic > 0").orderBy(F.desc("speaks"), "word").limit(2 * landmarks // 3).collect()
+    taken = {r["word"] for r in telling}
+    usual = spoken.where("clean > 0").orderBy(F.desc("clean"), "word").limit(landmarks).collect()
+    usual = [r for r in usual if r["word"] not in taken][:landmarks - len(telling)]
+    if not telling:
+        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log(n_toxic / n_clean)])
+    codes, word, count = _coded(pa.array([r["word"] for r in telling + usual]))
+    marks = np.zeros((count, _FEATURES))
+    for owner, key, weight in _subsequences(codes, word):
+        np.add.at(marks, (owner, key), weight)
+    marks /= _lengths(codes, word, count)[:, None]
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    good = values > 1e-6 * values.max()
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    used = np.flatnonzero(marks.any(axis=0))
+    place = np.zeros(_FEATURES, np.int32)
+    place[used] = np.arange(1, len(used) + 1)
+    rows = np.vstack([np.zeros(good.sum()), marks[:, used].T @ whiten])
+    speaks = np.array([r["speaks"] if r["word"] in taken else 0.0 for r in telling + usual])
+    y = np.where(speaks > 0, 1.0, -1.0)
+    weight = np.where(speaks > 0, speaks / max(speaks[speaks > 0].mean() if (speaks > 0).any() else 1.0, 1e-9), 1.0)
+    w = np.append(*_svm(_features(codes, word, count, place, rows), y, weight))
+    clean = spoken.where("clean > 0").select("word", F.lit(0).cast("long").alias("mass"), F.lit(1.0).alias("negative"))
+    tasks = parallelism(sample.sparkSession)
+    for _ in range(rounds):
+        run = partial(_witnesses, table=rows[place] @ w[:-1], bias=w[-1])
+        witnesses = sample.where("toxic = 1").select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("mass"))
+        words = clean.unionByName(witnesses.withColumn("negative", F.lit(0.0)))
+        words = materialize(words.groupBy("word").agg(F.sum("mass").alias("mass"), F.max("negative").alias("negative")).repartition(tasks, "word"), "toxicity_rows")
+        scale = words.agg(F.greatest(F.sum("negative") / balance, F.count(F.when(F.col("mass") > 0, 1))) / F.sum("mass")).first()[0]
+        w = _machine(words.withColumn("positive", F.col("mass") * scale), w, place, rows)
+    table, bias = rows[place] @ w[:-1], float(w[-1])
+    best = sample.mapInArrow(partial(_largest, table=table, bias=bias), "toxic int, a double, b double").collect()
+    best = np.array(sorted(map(tuple, best)))
+    return table, bias, _logistic(best[:, 1:], best[:, 0])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float, weights: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -335,6 +335,22 @@ def test_toxicity(ship, docs):
     assert kept.count() == sum(not found[d]["predicted"] for d, _, _ in labels)
 
 
+def test_toxicity_trains_on_all_words(ship, docs, monkeypatch):
+    """More clean and more toxic words than the 8,000 that training once stopped at."""
+    def letters(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    texts = [" ".join(letters(i) for i in range(n, n + 300)) for n in range(0, 18000, 300)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    known = ship.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    seen, step = [], toxicity._machine
+    monkeypatch.setattr(toxicity, "_machine", lambda words, *a: seen.append({r["word"] for r in words.where("negative > 0").collect()}) or step(words, *a))
+    sample = toxicity.training_sample(docs(rows), known, F.lit(True))
+    toxicity.fit(sample, rounds=1)
+    assert len({w for w in seen[0]} & {letters(i) for i in range(9000, 18000)}) == 9000
+    assert sample.mapInArrow(toxicity._sample_words, "toxic int, word string").where("toxic = 1").distinct().count() == 9000
+
+
 def test_no_labels(ship, docs):
     none = ship.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs(ODD), none).collect()} == {0}
