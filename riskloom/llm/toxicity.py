@@ -12,7 +12,8 @@ learning); all words of clean sentences count as clean. Landmarks are the words
 most for toxic sentences, besides frequent words of clean ones. With the landmarks' Nystroem
 map the machine is linear in it, so a word's margin is a sum over its subsequences of one
 table: no kernel is evaluated when texts are scored. A text's score is a logistic function,
-fitted on the documents of the sample, of its two largest margins.
+fitted on the documents of the sample, of its two largest margins; each class weighs as
+many documents as the training labels have of it, whatever the sample's limit.
 """
 
 from __future__ import annotations
@@ -157,14 +158,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray | float = 1.0) -> n
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """toxic and text of labelled training documents, at most ``per_class`` of each class, by a fixed order of ids."""
+    """Labelled training documents, at most ``per_class`` of each class, by a fixed order of ids.
+
+    Columns toxic, text and mass: the training labels of the class that each row stands for.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(trains)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_order", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("toxic") == t).orderBy("_order", "doc_id").limit(per_class) for t in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
+    share = known.groupBy(F.col("toxic").alias("_t")).agg(F.greatest(F.count("*") / per_class, F.lit(1.0)).alias("mass"))
+    ids = ids.join(F.broadcast(share), F.col("toxic") == F.col("_t")).select("doc_id", "toxic", "mass")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = rows.repartition(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.select("toxic", "text"), "toxicity_sample")
+    return materialize(rows.select("toxic", "text", "mass"), "toxicity_sample")
 
 
 def _letters(codes: np.ndarray, word: np.ndarray, count: int) -> list[str]:
@@ -261,23 +267,25 @@ def _machine(words: DataFrame, w: np.ndarray, place: np.ndarray, rows: np.ndarra
 
 
 def _largest(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
-    """toxic and the two largest margins of documents."""
+    """toxic, mass and the two largest margins of documents."""
     for batch in batches:
         for low, high, data, offsets in text.slices(batch.column("text")):
             codes, word, heads, first = spelled(data, offsets)
             best = _two_largest(margins(codes, word, len(heads), table) + bias, first)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(low, high - low), pa.array(best[:, 0]), pa.array(best[:, 1])], names=["toxic", "a", "b"])
+            known = [batch.column(c).slice(low, high - low) for c in ("toxic", "mass")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(best[:, 0]), pa.array(best[:, 1])], names=["toxic", "mass", "a", "b"])
 
 
 def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance: float = BALANCE) -> tuple[np.ndarray, float, np.ndarray]:
-    """Table, bias and logistic weights from (toxic, text) of labelled documents.
+    """Table, bias and logistic weights from (toxic, text, mass) of labelled documents.
 
     Every word of three letters or more trains; words stay in Spark. The driver gets the
     landmarks, one matrix per task and Newton step, and two margins per document. Without
     examples of both classes the table is zero and every score is the share of toxic
     examples (0 without any).
     """
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).collect()
+    n, mass = ({r["toxic"]: r[c] for r in counts} for c in ("n", "mass"))
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     if not n_clean or not n_toxic:
         share = 1.0 if n_toxic else 0.0
@@ -291,7 +299,7 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance:
     usual = spoken.where("clean > 0").orderBy(F.desc("clean"), "word").limit(landmarks).collect()
     usual = [r for r in usual if r["word"] not in taken][:landmarks - len(telling)]
     if not telling:
-        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log(n_toxic / n_clean)])
+        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log(mass[1] / mass[0])])
     codes, word, count = _coded(pa.array([r["word"] for r in telling + usual]))
     marks = np.zeros((count, _FEATURES))
     for owner, key, weight in _subsequences(codes, word):
@@ -318,9 +326,9 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance:
         scale = words.agg(F.greatest(F.sum("negative") / balance, F.count(F.when(F.col("mass") > 0, 1))) / F.sum("mass")).first()[0]
         w = _machine(words.withColumn("positive", F.col("mass") * scale), w, place, rows)
     table, bias = rows[place] @ w[:-1], float(w[-1])
-    best = sample.mapInArrow(partial(_largest, table=table, bias=bias), "toxic int, a double, b double").collect()
+    best = sample.mapInArrow(partial(_largest, table=table, bias=bias), "toxic int, mass double, a double, b double").collect()
     best = np.array(sorted(map(tuple, best)))
-    return table, bias, _logistic(best[:, 1:], best[:, 0])
+    return table, bias, _logistic(best[:, 2:], best[:, 0], best[:, 1] / best[:, 1].mean())
 
 
 def _scored(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float, weights: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -351,6 +351,14 @@ def test_toxicity_trains_on_all_words(ship, docs, monkeypatch):
     assert sample.mapInArrow(toxicity._sample_words, "toxic int, word string").where("toxic = 1").distinct().count() == 9000
 
 
+def test_toxicity_keeps_the_share_of_toxic_labels(ship, docs):
+    """Texts that tell nothing, one in ten labelled toxic, and a sample of as many of each class."""
+    rows = [(i, prose(i, 30, 30), "s") for i in range(400)]
+    known = ship.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.training_sample(docs(rows), known, F.lit(True), per_class=40), rounds=1)
+    assert toxicity.score_texts(docs(rows), model).agg(F.avg("score")).first()[0] < 0.25
+
+
 def test_no_labels(ship, docs):
     none = ship.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs(ODD), none).collect()} == {0}
