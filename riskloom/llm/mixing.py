@@ -9,8 +9,9 @@ unless a weight column makes it unequal within the source.
 The order is cut without sorting a source in one task: odds are ranked as fixed-point
 numbers, ten bits at a time; each step sums words per (source, digit) and goes on with the
 rows of the one digit in which the target falls. What is taken is told by one row per
-source: the rank of its cut. The gap that the next document in order would overshoot is
-closed by the document of the rest nearest to it in size, in at most FILLS passes.
+source: the ranks of its cuts. Past a document that does not fit the order goes on with
+those that do, until none does; the gap that is left goes to the smallest document of the
+rest if that brings the source nearer to its target.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from riskloom.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 DIGITS = 3
-FILLS = 3
 
 
 def words(text: Column) -> Column:
@@ -83,40 +83,50 @@ def _cut(rows: DataFrame, room: DataFrame) -> DataFrame:
 
 def _taken(rows: DataFrame, room: DataFrame) -> DataFrame:
     """A row per source that says which rows (source, size, key, copy, rank) are taken:
-    _source, _rank and _last (see ``_is_taken``), _filled and gap (words that are missing)."""
-    cut = _cut(rows, room)
-    at = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")) & (F.col("rank") == F.col("_rank")))
-    order = Window.partitionBy("source").orderBy("key", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    fits = at.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= F.col("_left"))
-    last = fits.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("key", "copy")).alias("_last"))
+    _source, _cuts and _filled (see ``_is_taken``) and gap (words that are missing).
+
+    Each pass takes the order of the rest up to the document that does not fit, among
+    those of at most the gap's size, and so at least one document of each source that has any.
+    """
+    own = F.col("source").eqNullSafe(F.col("_source"))
     same = F.col("_source").eqNullSafe(F.col("_s"))
-    none = F.array().cast("array<struct<key:string,copy:int>>")
-    state = room.join(cut.select(F.col("_source").alias("_s"), "_rank"), same, "left").drop("_s").join(last, same, "left").drop("_s")
-    state = materialize(state.withColumn("_filled", none), "state")
-    used = rows.join(state, F.col("source").eqNullSafe(F.col("_source"))).where(_is_taken())
-    used = used.groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("used"))
-    gap = (F.col("room") - F.coalesce("used", F.lit(0))).alias("gap")
-    state = materialize(state.join(used, same, "left").select("_source", "_rank", "_last", "_filled", gap), "gaps")
-    for _ in range(FILLS):
-        near = state.where("gap > 0")
-        if near.isEmpty():
+    cuts = F.array().cast("array<struct<most:long,rank:long,last:struct<key:string,copy:int>>>")
+    filled = F.array().cast("array<struct<key:string,copy:int>>")
+    state = room.select("_source", cuts.alias("_cuts"), filled.alias("_filled"), F.col("room").cast("long").alias("gap"))
+    state = materialize(state, "state")
+    while True:
+        free = rows.join(state, own).where(~_is_taken() & (F.col("size") <= F.col("gap"))).select(rows.columns)
+        free = materialize(free, "free")
+        if free.isEmpty():
             break
-        free = rows.join(near, F.col("source").eqNullSafe(F.col("_source"))).where(~_is_taken() & (F.col("size") < 2 * F.col("gap")))
-        nearest = F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "key", "copy", "size"))
-        best = free.groupBy(F.col("source").alias("_s")).agg(nearest.alias("b"))
-        state = state.join(best, same, "left").select(
-            "_source", "_rank", "_last", F.when(F.col("b").isNull(), F.col("_filled")).otherwise(
-                F.concat("_filled", F.array(F.struct("b.key", "b.copy")))).alias("_filled"),
-            (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"))
-        state = materialize(state, "filled")
-    return state
+        cut = _cut(free, state.select("_source", F.col("gap").alias("room")))
+        at = free.join(cut, own & (F.col("rank") == F.col("_rank")))
+        order = Window.partitionBy("source").orderBy("key", "copy").rowsBetween(Window.unboundedPreceding, 0)
+        fits = at.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= F.col("_left"))
+        last = fits.groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("key", "copy")).alias("_last"))
+        ends = state.join(cut.select(F.col("_source").alias("_s"), "_rank"), same, "left").drop("_s").join(last, same, "left").drop("_s")
+        one = F.struct(F.col("gap").alias("most"), F.col("_rank").alias("rank"), F.col("_last").alias("last"))
+        ends = materialize(ends.select("_source", F.concat("_cuts", F.array(one)).alias("_cuts"), "_filled", "gap"), "cuts")
+        used = free.join(ends, own).where(_is_taken()).groupBy(F.col("source").alias("_s")).agg(F.sum("size").alias("used"))
+        state = ends.join(used, same, "left").select("_source", "_cuts", "_filled", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+        state = materialize(state, "gaps")
+    free = rows.join(state, own).where(~_is_taken() & (F.col("size") < 2 * F.col("gap")))
+    nearest = F.min(F.struct("size", "rank", "key", "copy"))
+    best = free.groupBy(F.col("source").alias("_s")).agg(nearest.alias("b"))
+    state = state.join(best, same, "left").select(
+        "_source", "_cuts", F.when(F.col("b").isNull(), F.col("_filled")).otherwise(F.array(F.struct("b.key", "b.copy"))).alias("_filled"),
+        (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"))
+    return materialize(state, "filled")
 
 
 def _is_taken() -> Column:
-    """Whether a row joined with its source's state is before the cut, or fills the gap."""
-    at_cut = (F.col("rank") == F.col("_rank")) & (F.struct("key", "copy") <= F.col("_last"))
+    """Whether a row joined with its source's state is before the cut of a pass, or fills the gap."""
+    def before(c: Column) -> Column:
+        at_cut = (F.col("rank") == c["rank"]) & (F.struct("key", "copy") <= c["last"])
+        return (F.col("size") <= c["most"]) & (c["rank"].isNull() | (F.col("rank") < c["rank"]) | F.coalesce(at_cut, F.lit(False)))
+
     filled = F.exists("_filled", lambda f: (f["key"] == F.col("key")) & (f["copy"] == F.col("copy")))
-    return F.col("_rank").isNull() | (F.col("rank") < F.col("_rank")) | F.coalesce(at_cut, F.lit(False)) | filled
+    return F.exists("_cuts", before) | filled
 
 
 def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> DataFrame:

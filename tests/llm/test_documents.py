@@ -216,6 +216,14 @@ def test_mixing(docs):
     assert mixing.mixed(docs(rows)).count() == sum(r["copies"] for r in found)
 
 
+def test_mixing_goes_on_past_a_long_text(docs):
+    """A third of a source's words is one text that the room has no place for."""
+    rows = [(i, prose(i, 10 + i % 7), "a") for i in range(200)] + [(200 + i, prose(i, 10), s) for s in "bc" for i in range(40)]
+    long = [(1005, prose(5, 1300), "a")]
+    found = [r.asDict() for r in mixing.mix(docs(rows + long)).where("source = 'a'").collect()]
+    assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 10
+
+
 def test_packing(docs):
     rows = ODD + [(100 + i, prose(i % 20, 3 + (7 * i) % 90), f"s{i % 6}" if i % 11 else None) for i in range(200)]
     found = [r.asDict() for r in packing.pieces_in_bins(docs(rows), capacity=100).collect()]
