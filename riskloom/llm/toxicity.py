@@ -6,10 +6,11 @@ is skipped and single letters in a row are one word, so "i.d.i-o.t" and "i d i o
 close to the plain word; other inserted characters cost a factor. Words are normalised by
 the norm of a word of their length.
 
-Training is on sentences that carry the label of their document. A toxic document's
-sentence counts by its most toxic word, found anew in each round (multiple-instance
-learning); all words of clean sentences count as clean. Landmarks are the words that speak
-most for toxic sentences, besides frequent words of clean ones. With the landmarks' Nystroem
+Training is on words that carry the label of their document; sentences are not split. A
+toxic document counts by its most toxic word, found anew in each round (multiple-instance
+learning); all words of clean documents count as clean, other words of toxic ones do not
+train. The kernel does not cross words. Landmarks are the words that speak
+most for toxic documents, besides frequent words of clean ones. With the landmarks' Nystroem
 map the machine is linear in it, so a word's margin is a sum over its subsequences of one
 table: no kernel is evaluated when texts are scored. A text's score is a logistic function,
 fitted on the documents of the sample, of its two largest margins; each class weighs as
