@@ -19,11 +19,11 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7", "op9", "op10")))
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7", "op9", "op10", "op11", "op12")))
 def test_every_document_has_its_rows(spark, name):
     found = queries.QUERIES[name](spark, SF).select("doc_id").distinct().count()
     assert found == duckdb.sql(f"SELECT count(DISTINCT doc_id) FROM '{SF}/documents.parquet'").fetchall()[0][0]
