@@ -216,22 +216,20 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def box_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (extremes inside the fences) and outliers per group.
 
-    Works on counted values: copies of a value collapse before anything is ordered.
+    ``df`` is read four times; pass a written table. Rows are counted per group before
+    any shuffle; only the values around the quartiles are ordered.
     """
-    counts = session.materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(
-            F.col(group), F.col(value).cast("double").alias("value"))
-        .agg(F.count("*").alias("n")), "value-counts")
-    quartiles = ranking.quantiles(counts, [group], QUARTILES, closed=False).select(
+    present = df.select(group, F.col(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    quartiles = ranking.quantiles(present, [group], QUARTILES, closed=False).select(
         group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * policy.IQR_FENCE
     fenced = quartiles.withColumns({"_low": F.col("q1") - spread, "_high": F.col("q3") + spread})
     inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    return counts.join(session.measured(fenced, "fences"), group).groupBy(group, "q1", "median", "q3").agg(
+    return present.join(session.measured(fenced, "fences"), group).groupBy(group, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
-        F.sum("n").alias("n"),
+        F.count_if(~inside).alias("outliers"),
+        F.count("*").alias("n"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom import session
 from riskloom.operators import drift, evaluation, models
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_predictions
@@ -76,11 +77,34 @@ _DRIFT_LIMITS = " + ".join(f"CAST(value > d[{i}] AS INTEGER)" for i in range(1,
     SELECT feature, round(sum((p - q) * ln(p / q)), 6) AS psi, sum((p - q) * ln(p / q)) > 0.1 AS drifted
     FROM s GROUP BY feature""".strip()))
 def population_drift(spark, sf_dir):
-    df = applications(spark, sf_dir, "application_ts", *DRIFT_FEATURES)
+    df = prepared(spark, sf_dir, "application_ts", *DRIFT_FEATURES)
     result = drift.population_stability(df, DRIFT_FEATURES, "application_ts", "1999-01-01")
     return rounded(result, "psi")
 
 
+DRIFT_WINDOWS = (("1996-03-01", "1996-11-30"), ("1998-02-01", "2000-04-30"))
+
+
+@query("m17_daily_drift", on_applications(f"""
+    , long AS ({_DRIFT_LONG.replace("application_ts >= DATE '1999-01-01' AS cur", "CAST(application_ts AS DATE) AS day")}),
+    d AS (SELECT feature AS f, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS d FROM long WHERE day < DATE '1996-01-01' GROUP BY feature),
+    b AS (SELECT feature, {_DRIFT_LIMITS} AS bin, count(CASE WHEN day BETWEEN DATE '{DRIFT_WINDOWS[0][0]}' AND DATE '{DRIFT_WINDOWS[0][1]}' THEN 1 END) AS r,
+        count(CASE WHEN day BETWEEN DATE '{DRIFT_WINDOWS[1][0]}' AND DATE '{DRIFT_WINDOWS[1][1]}' THEN 1 END) AS c FROM long JOIN d ON f = feature GROUP BY 1, 2),
+    s AS (SELECT feature, greatest(r / CAST(sum(r) OVER (PARTITION BY feature) AS DOUBLE), 0.000001) AS q,
+        greatest(c / CAST(sum(c) OVER (PARTITION BY feature) AS DOUBLE), 0.000001) AS p FROM b)
+    SELECT feature, round(sum((p - q) * ln(p / q)), 6) AS psi, sum((p - q) * ln(p / q)) > 0.1 AS drifted
+    FROM s GROUP BY feature""".strip()))
+def daily_drift(spark, sf_dir):
+    """Two windows compared from stored daily counts, which were written in two parts and added."""
+    df = prepared(spark, sf_dir, "application_ts", *DRIFT_FEATURES)
+    early = F.col("application_ts") < F.lit("1996-01-01").cast("timestamp")
+    limits = session.measured(drift.bin_limits(df.filter(early), DRIFT_FEATURES), "limits")
+    path = session.scratch_path(spark, "daily-bins")
+    for part in (early, ~early):
+        drift.daily_bins(df.filter(part), DRIFT_FEATURES, "application_ts", limits).write.mode("append").parquet(path)
+    return rounded(drift.stability_between(spark.read.parquet(path), *DRIFT_WINDOWS), "psi")
+
+
 @query("m16_performance_gate", on_applications("""
     , w AS (SELECT CASE WHEN application_ts >= DATE '1999-01-01' THEN 'current' ELSE 'reference' END AS period,
         default_risk AS label, debt_to_income AS score FROM applications WHERE debt_to_income IS NOT NULL),

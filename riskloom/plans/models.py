@@ -1,11 +1,11 @@
-"""Model training, importance, cross-validation, sampled attributions, registry."""
+"""Model training, importance, cross-validation, attributions of the stored forest, registry."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from riskloom import session
-from riskloom.operators import drift, evaluation, explain, models
+from riskloom.operators import attribution, drift, evaluation, explain, models
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications
 from riskloom.plans.shared import applications
@@ -61,14 +61,19 @@ def _estimators(rows):
     }
 
 
-def _scored_by_stored(spark, sf_dir):
-    """Hold-out scores of the current models, trained, stored, registered and loaded again."""
+def _registered(spark, sf_dir, *names):
+    """Registry of the named models, trained, evaluated on the hold-out rows and stored; and those rows."""
     train, holdout = split_matrix(spark, sf_dir)
-    fitted = {name: e.fit(train) for name, e in _estimators(train.count()).items()}
+    fitted = {name: e.fit(train) for name, e in _estimators(train.count()).items() if name in names}
     stored = {name: models.save(m, session.scratch_path(spark, "model")) for name, m in fitted.items()}
     metrics = models.holdout_evaluation(fitted, holdout)
     records = models.registry_records(metrics, "v1", TRAINED_AT, "Production", stored)
-    registry = models.register(records, session.scratch_path(spark, "registry"))
+    return models.register(records, session.scratch_path(spark, "registry")), holdout
+
+
+def _scored_by_stored(spark, sf_dir):
+    """Hold-out scores of the current models, trained, stored, registered and loaded again."""
+    registry, holdout = _registered(spark, sf_dir, "Random Forest", "Logistic Regression", "SVM")
     rows = None
     for name, model in sorted(models.load_current(registry).items()):
         scored = models.scored_rows(name, model, holdout)
@@ -151,20 +156,70 @@ def current_models(spark, sf_dir):
     return drift.retrain_due(models.current_models(_registry(spark, sf_dir)), "2001-08-01")
 
 
+def _explained(spark, sf_dir):
+    """Attributions of every complete application by the current stored forest, and the forest's own scores."""
+    registry, _ = _registered(spark, sf_dir, "Random Forest")
+    forest = models.load_current(registry)["Random Forest"]
+    rows = matrix(spark, sf_dir)
+    wide = attribution.tree_shapley(forest, rows, rows, FEATURES, "application_id")
+    scores = models.scored_rows("Random Forest", forest, models.training_matrix(rows), ["application_id"])
+    return session.materialize(wide, "attributions"), scores
+
+
 @query("x2_model_attribution")
 def model_attribution(spark, sf_dir):
-    """Permutation-sampling attributions of a forest for every application."""
-    train, _ = split_matrix(spark, sf_dir)
-    forest = models.random_forest(20, 5).fit(train)
-    rows = matrix(spark, sf_dir).dropna(subset=FEATURES)
-    return explain.sampled_shapley(forest, rows, rows, FEATURES, "application_id")
+    """Exact attributions of the stored forest for every application, against all of them."""
+    wide, _ = _explained(spark, sf_dir)
+    return attribution.long_form(wide, FEATURES, "application_id")
+
+
+_EXPLAINED = f"FROM applications WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*FEATURES, 'default_risk'])}"
+
+
+@query("x2_attribution_facts", on_applications(f"""
+    SELECT application_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)}, TRUE AS adds_up, TRUE AS base_is_mean {_EXPLAINED}"""))
+def attribution_facts(spark, sf_dir):
+    """Whether base plus attributions is the forest's own probability, and the base its mean."""
+    wide, scores = _explained(spark, sf_dir)
+    mean = scores.agg(F.avg("score")).scalar()
+    return wide.join(scores, "application_id").select(
+        "application_id", *FEATURES, (F.abs(attribution.prediction(FEATURES) - F.col("score")) < 1e-9).alias("adds_up"),
+        (F.abs(F.col("base") - mean) < 1e-9).alias("base_is_mean"))
 
 
 @query("x2_model_importance")
 def model_importance(spark, sf_dir):
-    """Mean absolute attribution of the forest's features."""
-    attributions = model_attribution(spark, sf_dir)
-    return explain.importance_of(attributions)
+    """Mean absolute attribution of the stored forest's features."""
+    return attribution.importance(_explained(spark, sf_dir)[0], FEATURES)
+
+
+@query("x3_model_waterfall", on_applications(f"""
+    SELECT application_id, 10 AS steps, TRUE AS starts_at_base, TRUE AS accumulates, TRUE AS ends_at_probability {_EXPLAINED}"""))
+def model_waterfall(spark, sf_dir):
+    """Waterfalls of the stored forest: their steps add up from the base to the probability."""
+    wide, scores = _explained(spark, sf_dir)
+    steps = attribution.waterfall(wide, FEATURES, "application_id").groupBy("application_id").agg(
+        F.count("*").cast("int").alias("steps"), F.max(F.when(F.col("step") == 0, F.col("running"))).alias("first"),
+        F.max(F.when(F.col("step") == len(FEATURES) + 1, F.col("running"))).alias("last"),
+        F.sum(F.when(F.col("step") <= len(FEATURES), F.col("amount"))).alias("total"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    return steps.join(wide.select("application_id", "base"), "application_id").join(scores, "application_id").select(
+        "application_id", "steps", close("first", "base").alias("starts_at_base"), close("total", "last").alias("accumulates"),
+        close("last", "score").alias("ends_at_probability"))
+
+
+@query("x4_model_points", on_applications(f"""
+    , complete AS (SELECT * {_EXPLAINED}),
+    drawn AS (SELECT * FROM complete ORDER BY md5(CAST(application_id AS VARCHAR)), application_id LIMIT 200)
+    SELECT application_id, feature, CAST(feature_value AS DOUBLE) AS feature_value, 8 AS ranks
+    FROM (UNPIVOT (SELECT application_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)} FROM drawn)
+          ON {', '.join(FEATURES)} INTO NAME feature VALUE feature_value)""".strip()))
+def model_points(spark, sf_dir):
+    """Summary points of the stored forest for a repeatable draw of 200 applications; ranks 1 to 8 each once."""
+    wide, _ = _explained(spark, sf_dir)
+    points = attribution.summary_points(wide, FEATURES, "application_id", sample=200)
+    ranks = points.agg(F.size(F.collect_set("rank"))).scalar()
+    return points.select("application_id", "feature", "feature_value", ranks.alias("ranks"))
 
 
 @query("x6_model_dependence")
@@ -177,6 +232,21 @@ def model_dependence(spark, sf_dir):
 
 @query("x7_model_explanation")
 def model_explanation(spark, sf_dir):
-    """A JSON explanation of the forest's prediction for every application."""
+    """A JSON explanation of the stored forest's prediction for every application."""
     attributions = model_attribution(spark, sf_dir)
     return explain.explanation_documents(attributions, explain.summed_prediction(), TRAINED_AT)
+
+
+@query("x7_model_facts", on_applications(f"""
+    SELECT application_id, TRUE AS is_probability, TRUE AS level_fits, 8 AS impacts, TRUE AS impacts_fit {_EXPLAINED}"""))
+def model_explanation_facts(spark, sf_dir):
+    """Individual explanations of the stored forest: probability, level and the text of each impact."""
+    wide, scores = _explained(spark, sf_dir)
+    found = attribution.individual_explanation(wide, FEATURES, "application_id").join(scores, "application_id") \
+        .join(wide.select("application_id", "phi"), "application_id")
+    level = F.when(F.col("probability") > 0.6, "High").when(F.col("probability") > 0.3, "Medium").otherwise("Low")
+    words = F.transform("phi", lambda p: F.concat(F.when(p > 0, "increases").otherwise("decreases"), F.lit(" risk by "), F.format_string("%.3f", F.abs(p))))
+    expected = F.transform(F.arrays_zip(F.array(*map(F.lit, FEATURES)).alias("f"), words.alias("w")), lambda z: F.concat(z["f"], F.lit(" "), z["w"]))
+    return found.select("application_id", (F.abs(F.col("probability") - F.col("score")) < 1e-9).alias("is_probability"),
+                        (F.col("risk_level") == level).alias("level_fits"), F.size("impacts").alias("impacts"),
+                        (F.col("impacts") == expected).alias("impacts_fit"))

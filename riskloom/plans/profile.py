@@ -141,7 +141,7 @@ def histogram(spark, sf_dir):
       count(annual_income) AS n
     FROM applications JOIN q USING (home_ownership) GROUP BY home_ownership, q1, median, q3""".strip()))
 def box_statistics(spark, sf_dir):
-    df = applications(spark, sf_dir, "home_ownership", "annual_income")
+    df = prepared(spark, sf_dir, "home_ownership", "annual_income")
     return rounded(profiling.box_statistics(df, "annual_income", "home_ownership"),
                    "q1", "median", "q3")
 

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the session options that results depend on; sizing stays with the caller."""
+    """Set the session options that results depend on; sizing stays with the caller.
+
+    Arrow batches are bounded in bytes, so that long texts do not fill a Python worker.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
@@ -57,3 +67,21 @@ def parallelism(spark: SparkSession) -> int:
     """Partitions for CPU-bound work, whose input may be small in bytes."""
     return max(spark.sparkContext.defaultParallelism,
                int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the executors, once per application.
+
+    Arrow functions are pickled by reference, so workers must be able to import them
+    wherever the driver was started from.
+    """
+    context = spark.sparkContext
+    if _shipped.get("application") != context.applicationId:
+        package = Path(__file__).parent
+        target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for module in sorted(package.rglob("*.py")):
+                archive.write(module, module.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped["application"] = context.applicationId
+    return spark
