@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom import policy
 from riskloom.functions import scalar, scorecard
 from riskloom.operators import profiling
 
@@ -20,6 +21,13 @@ def audit_summary(audit: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_level") == "High").alias("high_risk_activities"))
 
 
+def error_alerts(audit: DataFrame) -> DataFrame:
+    """Days on which more than the accepted share of activities failed: (date, n, failed, error_rate)."""
+    daily = audit.groupBy(F.to_date("timestamp").alias("date")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "Failed").alias("failed"))
+    return daily.withColumn("error_rate", F.col("failed") / F.col("n")).filter(F.col("error_rate") > policy.SYSTEM_ERROR_LIMIT)
+
+
 def status_share(df: DataFrame, column: str, good: str) -> DataFrame:
     """How many rows carry the good status, and the rate: (good, total, rate_pct)."""
     counts = df.agg(F.count_if(F.col(column) == good).alias("good"), F.count("*").alias("total"))

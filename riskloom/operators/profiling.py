@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom import policy, session
@@ -31,12 +34,16 @@ def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFr
 def duplicate_count(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier row, exact.
 
-    Phase one shuffles 8-byte row hashes; only rows whose hash occurs twice go on to
-    the comparison of all columns, so a wide table without copies is never shuffled whole.
+    Phase one counts 8-byte row hashes; only rows whose hash occurs twice go on to the
+    comparison of all columns, so a wide table without copies is never shuffled whole.
+    The hashes that occur twice are written first: where they are few, as in a table of
+    few different rows, the planner broadcasts them and equal rows are combined in their
+    task before any is moved.
     """
     columns = columns or df.columns
     hashed = df.select(*columns, F.xxhash64(*columns).alias("_hash"))
-    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_hash")
+    repeated = session.measured(
+        hashed.groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_hash"), "repeated-hashes")
     copies = hashed.join(repeated, "_hash", "left_semi").groupBy(*columns) \
         .agg(F.count("*").alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_records"))
@@ -130,45 +137,34 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
     )
 
 
-#: Missing columns noted in one long.
-PATTERN_BITS = 62
+#: Rows of which co-moments are taken at a time.
+_BLOCK = 8192
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations, long and square; null for constants.
 
-    Rows are summed per pattern of missing columns, so that one sum per pair serves all
-    rows: a pair takes the patterns in which both its columns are present. Values are
-    shifted by the column mean first, which keeps the sums of squares accurate. ``df``
-    is read twice; pass a written table. Patterns are as many longs as the columns need.
-    Wide expressions are SQL text, which is planned much faster than one object per term.
+    Each task takes the co-moments of all pairs by products of blocks of rows: with the values
+    shifted by the column means, which keeps the squares accurate, and a mask of present
+    values, four matrix products give the counts, sums, squares and products over the rows
+    that have both values. A task sends one row a pair, whatever is missing where, and the
+    rows are added. A task holds 32 bytes a pair of columns. ``df`` is read twice; pass a
+    written table.
     """
     columns = columns or numeric_columns(df)
-    each, pairs = range(len(columns)), _pairs(columns)
+    session.ship(df.sparkSession)
     means = df.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in columns])).scalar()
-    patterns = [f"pattern{w}" for w in range(-(-len(columns) // PATTERN_BITS))]
-    missing = [" + ".join(f"IF(`{columns[i]}` IS NULL, {1 << i % PATTERN_BITS}L, 0L)" for i in each if i // PATTERN_BITS == w)
-               for w in range(len(patterns))]
-    present = [f"pattern{i // PATTERN_BITS} & {1 << i % PATTERN_BITS}L = 0" for i in each]
-    shifted = df.select(*columns, means.alias("_m")).selectExpr(
-        *[f"{bits} AS {name}" for bits, name in zip(missing, patterns)],
-        *[f"coalesce(CAST(`{columns[i]}` AS DOUBLE) - _m[{i}], 0D) AS x{i}" for i in each])
-    sums = shifted.groupBy(*patterns).agg(
-        F.count("*").alias("n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in each],
-        *[F.expr(f"sum(x{i} * x{j}) AS p{i}_{j}") for i, j in pairs])
-    cells = ", ".join(
-        f"IF({present[i]} AND {present[j]}, named_struct('i', {i}, 'j', {j}, 'n', n, "
-        f"'si', s{i}, 'sj', s{j}, 'sii', p{i}_{i}, 'sjj', p{j}_{j}, 'sij', p{i}_{j}), NULL)"
-        for i, j in pairs)
-    totals = sums.selectExpr(f"inline(array_compact(array({cells})))").groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")])
+    shifted = df.select(*columns, means.alias("_m")).select(*[
+        (F.col(c).cast("double") - F.coalesce(F.col("_m")[i], F.lit(0.0))).alias(f"x{i}") for i, c in enumerate(columns)])
+    sums = shifted.mapInArrow(_co_moments, "i int, j int, n double, si double, sj double, sii double, sjj double, sij double")
+    totals = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")]).filter("n > 0")
     # A spread within rounding error of zero means a constant.
     spread = "IF(s{0}{0} - s{0} * s{0} / n > 1e-12 * s{0}{0}, s{0}{0} - s{0} * s{0} / n, NULL)"
     upper = totals.selectExpr(
         "i", "j", f"(sij - si * sj / n) / sqrt({spread.format('i')}) / "
                   f"sqrt({spread.format('j')}) AS r")
     # Pairs without a common row have no totals; they come from the list of pairs.
-    names = F.array(*[F.lit(c) for c in columns])
+    names, each = F.array(*[F.lit(c) for c in columns]), range(len(columns))
     listed = df.sparkSession.createDataFrame(
         [(i, j, min(i, j), max(i, j)) for i in each for j in each],
         "first int, second int, i int, j int")
@@ -176,8 +172,23 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
         names[F.col("first")].alias("feature_1"), names[F.col("second")].alias("feature_2"), "r")
 
 
-def _pairs(columns: list[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+def _co_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count, sums, squares and product of every pair of columns over the rows that have both."""
+    total = None
+    for batch in batches:
+        k = batch.num_columns
+        if total is None:
+            total = np.zeros((4, k, k))
+        for low in range(0, batch.num_rows, _BLOCK):
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.slice(low, _BLOCK).columns])
+            present = (~np.isnan(values)).astype(float)
+            values = np.nan_to_num(values, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            total += [present.T @ present, values.T @ present, (values * values).T @ present, values.T @ values]
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1])
+        n, sums, squares, products = total
+        columns = [i.astype(np.int32), j.astype(np.int32), n[i, j], sums[i, j], sums[j, i], squares[i, j], squares[j, i], products[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "si", "sj", "sii", "sjj", "sij"])
 
 
 def strong_correlations(df: DataFrame, columns: list[str] | None = None,

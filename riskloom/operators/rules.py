@@ -17,7 +17,9 @@ def eligibility_rules() -> dict[str, Column]:
         "loan_amount": F.col("loan_amount") <= policy.MAXIMUM_LOAN,
         "credit_score": F.col("credit_score").between(low, high),
         "debt_to_income": F.col("debt_to_income") <= policy.MAXIMUM_DEBT_RATIO,
+        "employment_history": F.col("employment_length") * 12 >= policy.MINIMUM_EMPLOYMENT_MONTHS,
         "inquiries": F.col("inquiries_6mths") <= policy.MAXIMUM_INQUIRIES,
+        "credit_history": F.col("credit_history_months") >= policy.MINIMUM_CREDIT_HISTORY_MONTHS,
     }
     return {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
 

@@ -34,6 +34,14 @@ def audit_summary(spark, sf_dir):
     return audit.audit_summary(views.audit_trail(spark, sf_dir))
 
 
+@query("a17_error_alerts", on_audit("""
+    SELECT date, n, failed, failed / CAST(n AS DOUBLE) AS error_rate FROM (
+      SELECT CAST("timestamp" AS DATE) AS date, count(*) AS n, count(CASE WHEN status = 'Failed' THEN 1 END) AS failed FROM audit GROUP BY 1)
+    WHERE failed / CAST(n AS DOUBLE) > 0.01"""))
+def error_alerts(spark, sf_dir):
+    return audit.error_alerts(views.audit_trail(spark, sf_dir))
+
+
 @query("a18_compliance_rate", on_audit("""
     SELECT count(CASE WHEN status = 'Success' THEN 1 END) AS good, count(*) AS total,
       count(CASE WHEN status = 'Success' THEN 1 END) * 100.0 / CAST(count(*) AS DOUBLE) AS rate_pct FROM audit"""))

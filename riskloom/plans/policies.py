@@ -94,50 +94,48 @@ def encode_fitted(spark, sf_dir):
     return fitted.select("application_id", "loan_purpose_label", "loan_purpose_target")
 
 
-_IQR = """
-    , q AS (SELECT quantile_cont(annual_income, 0.25) AS i1, quantile_cont(annual_income, 0.75) AS i3,
-        quantile_cont(loan_amount, 0.25) AS l1, quantile_cont(loan_amount, 0.75) AS l3 FROM applications),
-    f AS (SELECT i1 - (i3 - i1) * 1.5 AS il, i3 + (i3 - i1) * 1.5 AS ih, l1 - (l3 - l1) * 1.5 AS ll,
-        l3 + (l3 - l1) * 1.5 AS lh FROM q)"""
-OUTLIER_COLUMNS = ["annual_income", "loan_amount"]
-
-
-@query("p25_outliers_iqr", on_applications(_IQR.strip() + """
-    SELECT application_id, annual_income NOT BETWEEN il AND ih AS annual_income_outlier,
-      loan_amount NOT BETWEEN ll AND lh AS loan_amount_outlier FROM applications, f"""))
+OUTLIER_COLUMNS = PROFILE_COLUMNS[:-1]  # every numeric feature; the last one is the label
+_IQR = f"""
+    , q AS (SELECT {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), 0.25) AS {c}_1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS {c}_3' for c in OUTLIER_COLUMNS)}
+      FROM applications),
+    f AS (SELECT {', '.join(f'{c}_1 - ({c}_3 - {c}_1) * 1.5 AS {c}_l, {c}_3 + ({c}_3 - {c}_1) * 1.5 AS {c}_h' for c in OUTLIER_COLUMNS)} FROM q)"""
+_Z = f"""
+    , f AS (SELECT {', '.join(f'avg({c}) - 3 * stddev_samp({c}) AS {c}_l, avg({c}) + 3 * stddev_samp({c}) AS {c}_h' for c in OUTLIER_COLUMNS)} FROM applications)"""
+_FLAGS = f"""
+    SELECT application_id, {', '.join(f'coalesce({c} NOT BETWEEN {c}_l AND {c}_h, false) AS {c}_outlier' for c in OUTLIER_COLUMNS)}
+    FROM applications, f"""
+
+
+@query("p25_outliers_iqr", on_applications(_IQR.strip() + _FLAGS))
 def outliers_iqr(spark, sf_dir):
     df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return features.flag_outliers(df, OUTLIER_COLUMNS, "iqr").drop(*OUTLIER_COLUMNS)
 
 
-@query("p25_outliers_zscore", on_applications("""
-    SELECT application_id, coalesce(abs(credit_utilization - (SELECT avg(credit_utilization) FROM applications))
-      > 2.999999999 * (SELECT stddev_samp(credit_utilization) FROM applications), false) AS credit_utilization_outlier
-    FROM applications"""))
+@query("p25_outliers_zscore", on_applications(_Z.strip() + _FLAGS))
 def outliers_zscore(spark, sf_dir):
-    df = prepared(spark, sf_dir, "application_id", "credit_utilization")
-    return features.flag_outliers(df, ["credit_utilization"], "zscore").drop("credit_utilization")
+    df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
+    return features.flag_outliers(df, OUTLIER_COLUMNS, "zscore").drop(*OUTLIER_COLUMNS)
 
 
-@query("p25_outliers_capped", on_applications(_IQR.strip() + """
-    SELECT application_id, round(least(greatest(annual_income, il), ih), 6) AS annual_income,
-      round(least(greatest(loan_amount, ll), lh), 6) AS loan_amount FROM applications, f"""))
+@query("p25_outliers_capped", on_applications(_IQR.strip() + f"""
+    SELECT application_id, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN round(least(greatest({c}, {c}_l), {c}_h), 6) END AS {c}' for c in OUTLIER_COLUMNS)}
+    FROM applications, f"""))
 def outliers_capped(spark, sf_dir):
     df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return rounded(features.handle_outliers(df, OUTLIER_COLUMNS, "iqr", "cap"), *OUTLIER_COLUMNS)
 
 
-@query("p25_outliers_removed", on_applications(_IQR.strip() + """
+@query("p25_outliers_removed", on_applications(_IQR.strip() + f"""
     SELECT application_id FROM applications, f
-    WHERE annual_income BETWEEN il AND ih AND loan_amount BETWEEN ll AND lh"""))
+    WHERE {' AND '.join(f'coalesce({c} BETWEEN {c}_l AND {c}_h, true)' for c in OUTLIER_COLUMNS)}"""))
 def outliers_removed(spark, sf_dir):
     df = prepared(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return features.handle_outliers(df, OUTLIER_COLUMNS, "iqr", "remove").select("application_id")
 
 
-@query("p25_outliers_transformed", on_applications("""
-    SELECT application_id, round(ln(1 + annual_income), 6) AS annual_income,
-           round(ln(1 + loan_amount), 6) AS loan_amount FROM applications"""))
+@query("p25_outliers_transformed", on_applications(f"""
+    SELECT application_id, {', '.join(f'round(sign({c}) * ln(1 + abs({c})), 6) AS {c}' for c in OUTLIER_COLUMNS)} FROM applications"""))
 def outliers_transformed(spark, sf_dir):
     df = applications(spark, sf_dir, "application_id", *OUTLIER_COLUMNS)
     return rounded(features.handle_outliers(df, OUTLIER_COLUMNS, handling="transform"),

@@ -50,12 +50,24 @@ def missing_by_column(spark, sf_dir):
     return profiling.missing_by_column(applications(spark, sf_dir, *EXPLORER_COLUMNS))
 
 
-@query("a5_duplicates", """
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("a5_duplicates", f"""
+    SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_records FROM (
+      SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(LINE_COLUMNS)})""")
+def duplicates(spark, sf_dir):
+    """Whole rows of the line table that repeat an earlier one."""
+    return profiling.duplicate_count(views.read_table(spark, sf_dir, "lineitem"))
+
+
+@query("a5_repeated_attributes", """
     SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_records FROM (
       SELECT count(*) AS n FROM lineitem
       GROUP BY l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)""")
-def duplicates(spark, sf_dir):
-    """Repeated line attributes over the whole line table."""
+def repeated_attributes(spark, sf_dir):
+    """The same over chosen columns: line attributes without keys, price and date."""
     return profiling.duplicate_count(views.read_table(spark, sf_dir, "lineitem"), [
         "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag",
         "l_linestatus"])

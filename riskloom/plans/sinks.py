@@ -145,15 +145,13 @@ def batch_report(spark, sf_dir):
     , e AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in EXPLORER_COLUMNS)} AS m,
         (SELECT CAST(sum(k - 1) AS BIGINT) FROM (SELECT count(*) AS k FROM applications
           GROUP BY {', '.join(EXPLORER_COLUMNS)})) AS d FROM applications),
-    st AS (SELECT 'credit_score ' || stat AS metric, value FROM (
-        SELECT 'count' AS stat, CAST(count(credit_score) AS DOUBLE) AS value FROM applications
-        UNION ALL SELECT 'mean', avg(credit_score) FROM applications
-        UNION ALL SELECT 'std', stddev_samp(credit_score) FROM applications
-        UNION ALL SELECT 'min', min(credit_score) FROM applications
-        UNION ALL SELECT '25%', quantile_cont(CAST(credit_score AS DOUBLE), 0.25) FROM applications
-        UNION ALL SELECT '50%', quantile_cont(CAST(credit_score AS DOUBLE), 0.5) FROM applications
-        UNION ALL SELECT '75%', quantile_cont(CAST(credit_score AS DOUBLE), 0.75) FROM applications
-        UNION ALL SELECT 'max', max(credit_score) FROM applications))
+    st AS ({' UNION ALL '.join(f"""
+        SELECT '{c} count' AS metric, CAST(count({c}) AS DOUBLE) AS value FROM applications
+        UNION ALL SELECT '{c} mean', avg({c}) FROM applications UNION ALL SELECT '{c} std', stddev_samp({c}) FROM applications
+        UNION ALL SELECT '{c} min', min({c}) FROM applications UNION ALL SELECT '{c} max', max({c}) FROM applications
+        UNION ALL SELECT '{c} 25%', quantile_cont(CAST({c} AS DOUBLE), 0.25) FROM applications
+        UNION ALL SELECT '{c} 50%', quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM applications
+        UNION ALL SELECT '{c} 75%', quantile_cont(CAST({c} AS DOUBLE), 0.75) FROM applications""" for c in PROFILE_COLUMNS)})
     SELECT 1 AS line_no, 'Total Records' AS metric, format('{{:,}}', n) AS value FROM e
     UNION ALL SELECT 2, 'Total Features', '{len(EXPLORER_COLUMNS)}'
     UNION ALL SELECT 3, 'Numeric Features', '{len(PROFILE_COLUMNS)}'
@@ -163,7 +161,7 @@ def batch_report(spark, sf_dir):
     UNION ALL SELECT CAST(6 + row_number() OVER (ORDER BY metric) AS INTEGER), metric, printf('%.2f', round(value, 2)) FROM st""".strip()))
 def exploration_report(spark, sf_dir):
     return reports.exploration_report(
-        prepared(spark, sf_dir, *EXPLORER_COLUMNS), ["credit_score"], EXPLORER_COLUMNS)
+        prepared(spark, sf_dir, *EXPLORER_COLUMNS), PROFILE_COLUMNS, EXPLORER_COLUMNS)
 
 
 @query("s11_business_report", on_portfolio("""

@@ -138,14 +138,15 @@ def quality_verdict(spark, sf_dir):
       CASE WHEN annual_income < 25000 THEN 'income' END, CASE WHEN loan_amount > 1000000 THEN 'loan_amount' END,
       CASE WHEN credit_score NOT BETWEEN 300 AND 850 THEN 'credit_score' END,
       CASE WHEN debt_to_income IS NULL OR debt_to_income > CAST(0.5 AS DOUBLE) THEN 'debt_to_income' END,
-      CASE WHEN inquiries_6mths > 5 THEN 'inquiries' END) AS reasons,
+      CASE WHEN employment_length * 12 < 6 THEN 'employment_history' END, CASE WHEN inquiries_6mths > 5 THEN 'inquiries' END,
+      CASE WHEN credit_history_months < 12 THEN 'credit_history' END) AS reasons,
       age BETWEEN 18 AND 75 AND annual_income >= 25000 AND loan_amount <= 1000000
         AND credit_score BETWEEN 300 AND 850 AND coalesce(debt_to_income <= CAST(0.5 AS DOUBLE), false)
-        AND inquiries_6mths <= 5 AS eligible
+        AND employment_length * 12 >= 6 AND inquiries_6mths <= 5 AND credit_history_months >= 12 AS eligible
     FROM applications"""))
 def eligibility(spark, sf_dir):
     df = applications(spark, sf_dir, "application_id", "age", "annual_income", "loan_amount",
-                      "credit_score", "debt_to_income", "inquiries_6mths")
+                      "credit_score", "debt_to_income", "employment_length", "inquiries_6mths", "credit_history_months")
     return rules.eligibility(df).select(
         "application_id", F.concat_ws(",", "reasons").alias("reasons"), "eligible")
 

@@ -96,6 +96,9 @@ MINIMUM_INCOME = 25000
 MAXIMUM_LOAN = 1000000
 MAXIMUM_DEBT_RATIO = 0.5
 MAXIMUM_INQUIRIES = 5
+MINIMUM_EMPLOYMENT_MONTHS = 6
+MINIMUM_CREDIT_HISTORY_MONTHS = 12
+SYSTEM_ERROR_LIMIT = 0.01
 RETENTION_DAYS = 2555
 
 # Loan-purpose products: (purpose, max_amount, max_ltv, max_term_months).

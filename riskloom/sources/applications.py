@@ -49,22 +49,29 @@ def _lookup(key: Column, values: dict[str, str]) -> Column:
     return chain
 
 
+def line_sums() -> dict[str, Column]:
+    """Exact integer sums of the lines of an order."""
+    return {
+        "line_count": F.count("l_orderkey"),
+        "discount_points": F.sum(F.round(F.col("l_discount") * 100).cast("bigint")),
+        "quantity": F.sum(F.col("l_quantity").cast("bigint")),
+        "returned": F.count_if(F.col("l_returnflag") == "R"),
+    }
+
+
+def ratios_of_sums() -> dict[str, Column]:
+    """Ratios from the sums of an order; null without lines."""
+    lines = F.nullif(F.col("line_count"), F.lit(0))
+    return {
+        "debt_to_income": F.col("discount_points") / (F.lit(10.0) * lines),
+        "credit_utilization": F.col("quantity") / (F.lit(50.0) * lines),
+    }
+
+
 def line_ratios(lineitem: DataFrame) -> DataFrame:
     """Per order: line count and ratios from exact integer sums (partial aggregation first)."""
-    return (
-        lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(
-            F.count("*").alias("line_count"),
-            F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("discount_points"),
-            F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
-            F.count_if(F.col("l_returnflag") == "R").alias("returned"),
-        )
-        .select(
-            "o_orderkey", "line_count", "returned",
-            (F.col("discount_points") / (F.lit(10.0) * F.col("line_count"))).alias("debt_to_income"),
-            (F.col("quantity") / (F.lit(50.0) * F.col("line_count"))).alias("credit_utilization"),
-        )
-    )
+    sums = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[v.alias(k) for k, v in line_sums().items()])
+    return sums.select("o_orderkey", "line_count", "returned", *[v.alias(k) for k, v in ratios_of_sums().items()])
 
 
 def account_history(orders: DataFrame) -> DataFrame:
@@ -95,9 +102,12 @@ def months_between(later: Column, earlier: Column) -> Column:
 
 
 def derive_applications(orders: DataFrame, customer: DataFrame, nation: DataFrame,
-                        region: DataFrame, lineitem: DataFrame,
+                        region: DataFrame, lineitem: DataFrame | None,
                         history: DataFrame | None, columns: list[str]) -> DataFrame:
-    """Join what ``columns`` need onto ``orders`` (a batch or a streaming frame)."""
+    """Join what ``columns`` need onto ``orders`` (a batch or a streaming frame).
+
+    Without ``lineitem`` the orders bring the columns of ``line_ratios`` themselves.
+    """
     needed = set(columns)
     if "default_risk" in needed:
         needed |= set(PROXY_INPUTS)
@@ -122,7 +132,7 @@ def derive_applications(orders: DataFrame, customer: DataFrame, nation: DataFram
     else:
         base = orders.join(people, "o_custkey")
 
-    if needed & LINE_COLUMNS:
+    if needed & LINE_COLUMNS and lineitem is not None:
         base = base.join(line_ratios(lineitem), "o_orderkey", "left")
 
     key, cust = F.col("o_orderkey"), F.col("o_custkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -28,6 +29,8 @@ APPLICATIONS = T.StructType([
 ])
 
 CORRUPT = "_corrupt"
+#: Files whose first line is read side by side.
+HEADERS_AT_ONCE = 16
 
 
 def schema_of(columns: list[str]) -> T.StructType:
@@ -45,13 +48,33 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     })
 
 
+def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files below ``path`` by their header, from one listing.
+
+    The first line of each file is read by a short job, several side by side. Files of
+    one header are then one scan. Files without any line have no header and are left out.
+    """
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.option("header", True).csv(file).columns)
+
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        headers = pool.map(header, files)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, columns in zip(files, headers, strict=True):
+        if columns:
+            groups.setdefault(columns, []).append(file)
+    return groups
+
+
 def read_applications(spark: SparkSession, path: str, fmt: str | None = None,
                       schema: T.StructType = APPLICATIONS) -> DataFrame:
     """Read csv, json or parquet; the format follows the extension unless given.
 
     Text formats keep unparseable records in ``_corrupt`` instead of failing the job. A
-    column that no file has is absent, whatever the format. CSV files of one folder must
-    have the same header; a file with another one is refused.
+    column that no file has is absent, whatever the format; one that only some files have
+    is null in the rows of the others. The files of a folder may have their columns in any order.
     """
     name = re.sub(r"\.(gz|bz2|zst|deflate|snappy|lz4)$", "", path.rstrip("/").lower())
     fmt = fmt or name.rsplit(".", 1)[-1]
@@ -59,12 +82,17 @@ def read_applications(spark: SparkSession, path: str, fmt: str | None = None,
     text = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", CORRUPT)
     if fmt == "csv":
-        # CSV columns are matched by position, so the header decides the order.
-        header = spark.read.option("header", True).csv(path).columns
-        ordered = T.StructType(
-            [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
-            + [T.StructField(CORRUPT, T.StringType())])
-        df = text.schema(ordered).option("header", True).option("enforceSchema", False).csv(path)
+        df = None
+        for header, files in _files_by_header(spark, path).items():
+            # CSV columns are matched by position, so the header decides the order.
+            ordered = T.StructType(
+                [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
+                + [T.StructField(CORRUPT, T.StringType())])
+            part = text.schema(ordered).option("header", True).option("enforceSchema", False).csv(files)
+            df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+        if df is None:
+            df = text.csv(path)
+        df = df.select(*[c for c in df.columns if c != CORRUPT], CORRUPT)
     elif fmt in ("json", "jsonl", "ndjson"):
         keys = F.json_object_keys("value")
         found = spark.read.text(path).agg(*[

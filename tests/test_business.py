@@ -50,13 +50,22 @@ def test_week_ends_on_sunday(spark):
 
 
 def test_eligibility(spark):
-    df = spark.createDataFrame([(76, 24999.0, 1000001.0, 299, 0.51, 6), (75, 25000.0, 1000000.0, 300, 0.5, 5),
-                                (30, 30000.0, 1000.0, 700, None, 0)],
+    df = spark.createDataFrame([(76, 24999.0, 1000001.0, 299, 0.51, 0.45, 6, 11), (75, 25000.0, 1000000.0, 300, 0.5, 0.5, 5, 12),
+                                (30, 30000.0, 1000.0, 700, None, 1.0, 0, None)],
                                "age int, annual_income double, loan_amount double, credit_score int, "
-                               "debt_to_income double, inquiries_6mths int")
+                               "debt_to_income double, employment_length double, inquiries_6mths int, credit_history_months int")
     rows = rules.eligibility(df).collect()
-    assert rows[0].reasons == ["age", "income", "loan_amount", "credit_score", "debt_to_income", "inquiries"]
-    assert rows[1].eligible and rows[2].reasons == ["debt_to_income"]
+    assert rows[0].reasons == ["age", "income", "loan_amount", "credit_score", "debt_to_income", "employment_history", "inquiries",
+                               "credit_history"]
+    assert rows[1].eligible and rows[2].reasons == ["debt_to_income", "credit_history"]
+
+
+def test_error_alerts(spark):
+    rows = [("2024-01-01 10:00:00", "Failed")] + [("2024-01-01 11:00:00", "Success")] * 99 + \
+        [("2024-01-02 10:00:00", "Failed")] * 2 + [("2024-01-02 11:00:00", "Success")] * 98 + [("2024-01-03 00:00:00", None)]
+    df = spark.createDataFrame(rows, "timestamp string, status string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    found = audit.error_alerts(df).collect()
+    assert [(str(r.date), r.n, r.failed, r.error_rate) for r in found] == [("2024-01-02", 100, 2, 0.02)]
 
 
 def test_pseudonymise(spark):

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -203,3 +204,18 @@ def test_correlation_of_more_columns_than_bits_of_a_long(spark):
     expected = frame.corr()
     assert len(found) == 70 * 70
     assert all(found[a, b] == pytest.approx(expected.loc[a, b], abs=1e-9) for a in names for b in names)
+
+
+def test_correlation_of_300_columns_with_random_gaps(spark):
+    """No key by missing pattern: what the tasks send does not depend on where values are missing."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 300))
+    base[:, 1::2] += base[:, ::2]
+    base[rng.random(base.shape) < 0.3] = np.nan
+    pdf = pd.DataFrame(base, columns=[f"c{i}" for i in range(300)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf.columns)).repartition(4)
+    found = profiling.correlation_matrix(df)
+    got = found.toPandas().pivot(index="feature_1", columns="feature_2", values="r").loc[pdf.columns, pdf.columns]
+    np.testing.assert_allclose(got.to_numpy(dtype=float), pdf.corr().to_numpy(), atol=1e-9)
+    sent = [len(b) for b in profiling._co_moments(iter([pa.RecordBatch.from_pandas(pdf)]))]
+    assert sent == [300 * 301 // 2]
