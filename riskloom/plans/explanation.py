@@ -102,12 +102,19 @@ def partial_dependence_score(spark, sf_dir):
 @query("x7_individual_explanation", on_phi("""
     SELECT application_id, risk_score AS probability, CASE WHEN risk_score > CAST(0.6 AS DOUBLE) THEN 'High'
         WHEN risk_score > CAST(0.3 AS DOUBLE) THEN 'Medium' ELSE 'Low' END AS risk_level, round(base, 6) AS base_rate,
-      CASE WHEN p1 > 0 THEN 'increases' ELSE 'decreases' END AS credit_score_direction
+      CASE WHEN p1 > 0 THEN 'increases' ELSE 'decreases' END AS credit_score_direction, 6 AS impacts, TRUE AS impacts_fit
     FROM phi"""))
 def individual_explanation(spark, sf_dir):
-    rows = explain.individual_explanation(inputs(spark, sf_dir))
+    """Each impact's text is held against the feature's attribution: name, direction and size."""
+    df = inputs(spark, sf_dir)
+    rows = explain.individual_explanation(df)
+    told = explain.scorecard_attribution(df).select("application_id", F.concat(
+        F.col("feature"), F.when(F.col("phi") > 0, " increases").otherwise(" decreases"), F.lit(" risk by "),
+        F.format_string("%.3f", F.abs("phi"))).alias("t")).groupBy("application_id").agg(F.array_sort(F.collect_list("t")).alias("told"))
     direction = F.regexp_extract(F.col("impacts")[0], "(increases|decreases)", 1)
-    return rounded(rows.withColumn("credit_score_direction", direction).drop("impacts"), "base_rate")
+    checked = rows.join(told, "application_id").withColumns({
+        "credit_score_direction": direction, "impacts_fit": F.array_sort("impacts") == F.col("told"), "impacts": F.size("impacts")})
+    return rounded(checked.drop("told"), "base_rate")
 
 
 @query("p17_impact_direction", on_phi("""

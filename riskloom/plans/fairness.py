@@ -64,11 +64,12 @@ def individual_fairness(spark, sf_dir):
     UNION ALL SELECT 'marital_status', CAST(1 AS DOUBLE) FROM applications HAVING count(*) > 0
     UNION ALL SELECT 'age', round(1 - count(CASE WHEN age NOT BETWEEN 18 AND 75 AND annual_income >= 25000
         AND loan_amount <= 1000000 AND credit_score BETWEEN 300 AND 850 AND debt_to_income <= CAST(0.5 AS DOUBLE)
-        AND inquiries_6mths <= 5 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) FROM applications"""))
+        AND employment_length * 12 >= 6 AND inquiries_6mths <= 5 AND credit_history_months >= 12 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) FROM applications"""))
 def counterfactual_fairness(spark, sf_dir):
     """Decisions with the attribute changed in the row: the scorecard ignores sex and marital
     status, the eligibility rules do look at age, which becomes the youngest allowed."""
-    df = applications(spark, sf_dir, *views.SCORING_COLUMNS, "sex", "marital_status", "age", "inquiries_6mths")
+    df = applications(spark, sf_dir, *views.SCORING_COLUMNS, "sex", "marital_status", "age", "inquiries_6mths",
+                      "credit_history_months")
     decided = lambda: scorecard.decision(scorecard.risk_score())
     result = fairness.counterfactual_fairness(df, {
         "sex": (decided, F.concat(F.lit("not "), "sex")),

@@ -52,6 +52,22 @@ def boosted_trees(spark, sf_dir):
     return _evaluated("Boosted Trees", lambda _: models.boosted_trees(), spark, sf_dir)
 
 
+_HOLDOUT = f"""
+    SELECT count(*) AS holdout_rows, CAST(sum(default_risk) AS BIGINT) AS positives, TRUE AS above_chance FROM applications
+    WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*FEATURES, 'default_risk'])}
+      AND CAST('0x' || substr(md5(CAST(application_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 20"""
+
+
+@query("m4_boosted_facts", on_applications(_HOLDOUT))
+def boosted_facts(spark, sf_dir):
+    """Hold-out rows and positives that the boosted trees were judged on, and that they beat chance."""
+    train, holdout = split_matrix(spark, sf_dir)
+    rows = session.materialize(models.scored_rows("Boosted Trees", models.boosted_trees().fit(train), holdout), "scored")
+    cells = evaluation.confusion(rows).join(evaluation.roc_auc(rows), "model")
+    return cells.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("holdout_rows"),
+                        (F.col("fn") + F.col("tp")).alias("positives"), (F.col("roc_auc") > 0.5).alias("above_chance"))
+
+
 def _estimators(rows):
     """The three models that are compared, with their declared settings."""
     return {
@@ -61,14 +77,18 @@ def _estimators(rows):
     }
 
 
-def _registered(spark, sf_dir, *names):
-    """Registry of the named models, trained, evaluated on the hold-out rows and stored; and those rows."""
+def _registered(spark, sf_dir, *names, version="v1", trained_at=TRAINED_AT, status="Production", path=None, only_train=False):
+    """Registry of the named models, trained, evaluated on the hold-out rows and stored; and those rows.
+
+    ``path`` names a registry to append to; ``only_train`` leaves the validation rows out.
+    """
     train, holdout = split_matrix(spark, sf_dir)
+    train = train.filter("split = 'train'") if only_train else train
     fitted = {name: e.fit(train) for name, e in _estimators(train.count()).items() if name in names}
     stored = {name: models.save(m, session.scratch_path(spark, "model")) for name, m in fitted.items()}
     metrics = models.holdout_evaluation(fitted, holdout)
-    records = models.registry_records(metrics, "v1", TRAINED_AT, "Production", stored)
-    return models.register(records, session.scratch_path(spark, "registry")), holdout
+    records = models.registry_records(metrics, version, trained_at, status, stored)
+    return models.register(records, path or session.scratch_path(spark, "registry")), holdout
 
 
 def _scored_by_stored(spark, sf_dir):
@@ -117,6 +137,19 @@ def feature_importance(spark, sf_dir):
     return _importances(spark, sf_dir)
 
 
+@query("m11_importance_facts", on_applications("""
+    SELECT model, 8 AS features, TRUE AS ranked_by_size, model = 'Random Forest' AS shares
+    FROM (VALUES ('Random Forest'), ('Logistic Regression')) AS m(model) WHERE (SELECT count(*) FROM applications) > 0"""))
+def importance_facts(spark, sf_dir):
+    """Ranks 1 to 8 follow falling importance; a forest's importances are shares of one."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "importance")))
+    found = _importances(spark, sf_dir).groupBy("model").agg(
+        F.count("*").cast("int").alias("features"), ranked.alias("r"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("shares"))
+    falling = F.col("r.importance") == F.reverse(F.array_sort("r.importance"))
+    in_order = F.col("r.rank") == F.transform(F.sequence(F.lit(1), F.col("features")), lambda i: i.cast("int"))
+    return found.select("model", "features", (falling & in_order).alias("ranked_by_size"), "shares")
+
+
 @query("m15_feature_selection")
 def feature_selection(spark, sf_dir):
     return models.select_features(_importances(spark, sf_dir))
@@ -133,27 +166,53 @@ def cross_validation(spark, sf_dir):
 
 
 def _registry(spark, sf_dir):
-    """Two versions of one model, registered with their hold-out metrics."""
-    train, holdout = split_matrix(spark, sf_dir)
+    """Two versions of stored models: an archived one of the training rows, one that saw the validation rows, too."""
     path = session.scratch_path(spark, "registry")
-    registry = None
-    versions = [("v1", "2001-05-01 00:00:00", "Archived", 5), ("v2", TRAINED_AT, "Production", 20)]
-    for version, trained_at, status, trees in versions:
-        metrics = models.holdout_evaluation(
-            {"Random Forest": models.random_forest(trees, 4).fit(train)}, holdout)
-        registry = models.register(
-            models.registry_records(metrics, version, trained_at, status), path)
-    return registry
+    _registered(spark, sf_dir, "Random Forest", "Logistic Regression", version="v1", trained_at="2001-05-01 00:00:00",
+                status="Archived", path=path, only_train=True)
+    return _registered(spark, sf_dir, "Random Forest", "Logistic Regression", version="v2", path=path)[0]
 
 
 @query("m13_model_registry")
 def model_registry(spark, sf_dir):
-    return _registry(spark, sf_dir)
+    return _registry(spark, sf_dir).drop("model_path")
+
+
+_VERSIONS = """(VALUES ('Random Forest', 'v1', 'Archived', TIMESTAMP '2001-05-01 00:00:00'), ('Random Forest', 'v2', 'Production', TIMESTAMP '2001-06-15 00:00:00'),
+    ('Logistic Regression', 'v1', 'Archived', TIMESTAMP '2001-05-01 00:00:00'), ('Logistic Regression', 'v2', 'Production', TIMESTAMP '2001-06-15 00:00:00'))
+    AS v(model_name, version, status, trained_at)"""
+
+
+@query("m13_registry_facts", on_applications(f"""
+    SELECT model_name, version, status, CAST(trained_at AS DATE) AS trained_on, TRUE AS above_chance, TRUE AS loads_and_scores_alike
+    FROM {_VERSIONS} WHERE (SELECT count(*) FROM applications) > 0"""))
+def registry_facts(spark, sf_dir):
+    """Every registered version is stored: loaded again it has the AUC that is written beside it."""
+    registry = _registry(spark, sf_dir)
+    _, holdout = split_matrix(spark, sf_dir)
+    rows = None
+    for r in registry.select("model_name", "version", "model_kind", "model_path").collect():
+        scored = models.scored_rows(f"{r.model_name}#{r.version}", models.load(r.model_kind, r.model_path), holdout)
+        rows = scored if rows is None else rows.unionByName(scored)
+    again = evaluation.roc_auc(session.materialize(rows, "scored")).withColumnsRenamed({"model": "key", "roc_auc": "again"})
+    joined = registry.join(again, F.concat_ws("#", "model_name", "version") == F.col("key"))
+    return joined.select("model_name", "version", "status", F.to_date("trained_at").alias("trained_on"), (F.col("roc_auc") > 0.5).alias("above_chance"),
+                         (F.abs(F.col("roc_auc") - F.col("again")) < 1e-9).alias("loads_and_scores_alike"))
 
 
 @query("m14_current_models")
 def current_models(spark, sf_dir):
-    return drift.retrain_due(models.current_models(_registry(spark, sf_dir)), "2001-08-01")
+    registry = _registry(spark, sf_dir).drop("model_path")
+    return drift.retrain_due(models.current_models(registry), "2001-08-01")
+
+
+@query("m14_current_facts", on_applications(f"""
+    SELECT model_name, version, status, date_diff('day', CAST(trained_at AS DATE), DATE '2001-08-01') AS age_days,
+      date_diff('day', CAST(trained_at AS DATE), DATE '2001-08-01') > 30 AS retrain_due FROM {_VERSIONS}"""))
+def current_facts(spark, sf_dir):
+    """Version, age and whether training is due of the newest model of each name and status."""
+    return current_models(spark, sf_dir).select(
+        "model_name", "version", "status", F.col("age_days").cast("bigint").alias("age_days"), "retrain_due")
 
 
 def _explained(spark, sf_dir):

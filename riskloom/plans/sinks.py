@@ -45,6 +45,13 @@ def dataset_info(spark, sf_dir):
     return readers.dataset_info(views.read_table(spark, sf_dir, "lineitem"))
 
 
+@query("s4_dataset_facts", "SELECT count(*) AS n_rows, 6 AS n_columns, TRUE AS has_files, TRUE AS has_bytes FROM orders")
+def dataset_facts(spark, sf_dir):
+    """Rows and columns of the stored orders, and that files and bytes were counted."""
+    info = readers.dataset_info(views.read_table(spark, sf_dir, "orders"))
+    return info.select("n_rows", "n_columns", (F.col("n_files") > 0).alias("has_files"), (F.col("n_bytes") > F.col("n_rows")).alias("has_bytes"))
+
+
 @query("s6_csv_sink", on_scored("""
     SELECT application_id, credit_score, annual_income, debt_to_income, employment_length, loan_amount,
            credit_utilization, risk_score, risk_category, decision FROM scored WHERE decision = 'REJECTED'"""))
