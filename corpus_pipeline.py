@@ -1,4 +1,9 @@
-"""From raw documents to packed training bins, one stage after the other."""
+"""From raw documents to packed training bins, one stage after the other.
+
+All stages take empty tables (and give none), texts of any length, repeated rows and null values
+in any column. Null and empty texts pass the filters; the mix, which counts words, takes none.
+Columns besides doc_id, text, source and n_chars are carried along by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -15,31 +20,51 @@ SHINGLE, SIMILARITY, PASSAGE = 5, 80, 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold.
+
+    Rows without doc_id are judged, too, and never train; without labels of both classes
+    every score is the share of toxic labels. Repeated rows are judged alike.
+    """
     ship(configure(spark))
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document, by doc_id, of each group of near duplicates.
+
+    Empty texts and rows without doc_id stay. Rows that share a doc_id count as one document: one
+    stays, or none if any of them is a later one of its group.
+    """
     ship(configure(spark))
     return jaccard.keep_first(docs, SHINGLE, SIMILARITY)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of repeated passages."""
+    """Texts without the later copies of repeated passages; every row stays, if need be with empty text.
+
+    The earliest copy is that of the smallest doc_id, then place; null ids come first. Rows of equal
+    doc_id and text share one place, so both keep what is first. Null texts stay null.
+    """
     ship(configure(spark))
     return repeats.without_repeats(docs, PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null sources are a source of their own, the last. Texts without words have size 0; the
+    order of a source is fixed by its documents' ids and texts, repeated rows in turn.
+    """
     ship(configure(spark))
     return mixing.mixed(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins with their documents and text."""
+    """Bins with their documents and text, every byte of which is kept.
+
+    Null sources conflict with nothing; equal texts never share a bin; texts longer than a
+    bin are cut between words.
+    """
     ship(configure(spark))
     return packing.bins(docs)
 
