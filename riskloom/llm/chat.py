@@ -62,14 +62,11 @@ def replies(turns: DataFrame) -> DataFrame:
     conv_id are one conversation. A conversation of any size is spread over many tasks.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "turns")
-    keys = rows.select("conv_id", "turn", "role", F.md5("text").alias("_digest"), "_row")
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("_digest"), F.col("_row")]
-    placed = materialize(with_position(materialize(keys, "turn_keys"), order, "node"), "turn_order")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.md5("text")]
+    placed = with_position(rows, order, "node")
     first = materialize(placed.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("node").alias("_first")), "first_turns")
-    placed = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
-        F.col("_row"), "node", F.when(F.col("node") > F.col("_first"), F.col("node") - 1).alias("parent"))
-    return rows.join(placed, "_row").select("conv_id", "node", "parent", "role", "text", F.lit(0.0).alias("score"))
+    return placed.join(first, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
+        "conv_id", "node", F.when(F.col("node") > F.col("_first"), F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def _followed(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -99,19 +96,20 @@ def format_paths(messages: DataFrame, keep: int = 1, part: int = PART, trained:
     of their scores, ties by the smaller leaf. Messages whose ancestors form a circle have no
     root and are on no path. Returns a row per part: conv_id, root, leaf, rank, part, formatted,
     spans (start and end in characters of what is trained on). Parts of a path in order
-    make up its text. Empty tables give no rows.
+    make up its text. Empty tables give no rows. ``messages`` is read twice; pass a written table.
     """
     own = F.concat(F.lit(START), escaped_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
     body = escaped(F.coalesce("text", F.lit("")))
     rendered = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), own.alias("head"), body.alias("body"),
                                F.coalesce(F.col("role").isin(*trained), F.lit(False)).alias("trained"))
-    rendered = materialize(rendered.withColumn("chars", F.length("head") + F.length("body") + len(END) + 1), "rendered")
+    rendered = rendered.withColumn("chars", F.length("head") + F.length("body") + len(END) + 1)
     links = rendered.select("node", "parent", F.lit(1).cast("long").alias("depth"), F.col("chars").cast("long").alias("chars"), "score")
-    known = rendered.select(F.col("node").alias("jump"))
+    links = materialize(links, "links")
+    known = links.select(F.col("node").alias("jump"))
+    answered = links.select(F.col("parent").alias("_parent"))
     links = links.join(known, F.col("parent") == F.col("jump"), "left").select("node", "jump", "depth", "chars", "score")
     paths, jumps = _followed(links)
 
-    answered = rendered.select(F.col("parent").alias("_parent"))
     leaves = paths.join(answered, F.col("node") == F.col("_parent"), "left_anti").select("root", F.col("node").alias("leaf"), "score")
     best = Window.partitionBy("root").orderBy(F.desc("score"), "leaf")
     leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).drop("score")
