@@ -13,8 +13,9 @@ train. The kernel does not cross words. Landmarks are the words that speak
 most for toxic documents, besides frequent words of clean ones. With the landmarks' Nystroem
 map the machine is linear in it, so a word's margin is a sum over its subsequences of one
 table: no kernel is evaluated when texts are scored. A text's score is a logistic function,
-fitted on the documents of the sample, of its two largest margins; each class weighs as
-many documents as the training labels have of it, whatever the sample's limit.
+fitted on the documents of the sample, of the two largest margins that a machine trained without
+the document gives it; each class weighs as many documents as the training labels have of
+it, whatever the sample's limit.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ DECAY = 0.6
 THRESHOLD = 0.3
 SAMPLE_PER_CLASS = 2000
 LANDMARKS = 96
+#: Parts of the sample, each judged for calibration by a machine of the others.
+FOLDS = 3
 #: Weight of all distinct words of clean texts over that of all witnesses; a witness weighs no less than a clean word.
 BALANCE = 20.0
 _PATTERNS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
@@ -277,10 +280,12 @@ def _largest(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float)
             yield pa.RecordBatch.from_arrays([*known, pa.array(best[:, 0]), pa.array(best[:, 1])], names=["toxic", "mass", "a", "b"])
 
 
-def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance: float = BALANCE) -> tuple[np.ndarray, float, np.ndarray]:
+def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance: float = BALANCE, folds: int = FOLDS) -> tuple[np.ndarray, float, np.ndarray]:
     """Table, bias and logistic weights from (toxic, text, mass) of labelled documents.
 
-    Every word of three letters or more trains; words stay in Spark. The driver gets the
+    Every word of three letters or more trains; words stay in Spark. The logistic function is
+    fitted on margins that machines give which were trained without the document, by ``folds``
+    parts of the sample: margins of a machine's own training documents are too sure. The driver gets the
     landmarks, one matrix per task and Newton step, and two margins per document. Without
     examples of both classes the table is zero and every score is the share of toxic
     examples (0 without any).
@@ -291,6 +296,24 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance:
     if not n_clean or not n_toxic:
         share = 1.0 if n_toxic else 0.0
         return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6))])
+    machine = _trained(sample, landmarks, rounds, balance)
+    if machine is None:
+        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log(mass[1] / mass[0])])
+    part = F.pmod(F.xxhash64("text"), F.lit(folds))
+    best = []
+    for i in range(folds):
+        other = _trained(sample.where(part != i), landmarks, rounds, balance)
+        table, bias = other or (np.zeros(_FEATURES), 0.0)
+        run = partial(_largest, table=table, bias=bias)
+        best += sample.where(part == i).mapInArrow(run, "toxic int, mass double, a double, b double").collect()
+    best = np.array(sorted(map(tuple, best)))
+    return *machine, _logistic(best[:, 2:], best[:, 0], best[:, 1] / best[:, 1].mean())
+
+
+def _trained(sample: DataFrame, landmarks: int, rounds: int, balance: float) -> tuple[np.ndarray, float] | None:
+    """Table and bias of the machine of a sample; None if no word speaks for toxic documents."""
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
     found = sample.mapInArrow(_sample_words, "toxic int, word string")
     spoken = found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     odds = (F.col("toxic") + 0.5) / (n_toxic + 1) * (n_clean + 1) / (F.col("clean") + 0.5)
@@ -300,7 +323,7 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance:
     usual = spoken.where("clean > 0").orderBy(F.desc("clean"), "word").limit(landmarks).collect()
     usual = [r for r in usual if r["word"] not in taken][:landmarks - len(telling)]
     if not telling:
-        return np.zeros(_FEATURES), 0.0, np.array([0.0, 0.0, math.log(mass[1] / mass[0])])
+        return None
     codes, word, count = _coded(pa.array([r["word"] for r in telling + usual]))
     marks = np.zeros((count, _FEATURES))
     for owner, key, weight in _subsequences(codes, word):
@@ -326,10 +349,7 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS, rounds: int = 3, balance:
         words = materialize(words.groupBy("word").agg(F.sum("mass").alias("mass"), F.max("negative").alias("negative")).repartition(tasks, "word"), "toxicity_rows")
         scale = words.agg(F.greatest(F.sum("negative") / balance, F.count(F.when(F.col("mass") > 0, 1))) / F.sum("mass")).first()[0]
         w = _machine(words.withColumn("positive", F.col("mass") * scale), w, place, rows)
-    table, bias = rows[place] @ w[:-1], float(w[-1])
-    best = sample.mapInArrow(partial(_largest, table=table, bias=bias), "toxic int, mass double, a double, b double").collect()
-    best = np.array(sorted(map(tuple, best)))
-    return table, bias, _logistic(best[:, 2:], best[:, 0], best[:, 1] / best[:, 1].mean())
+    return rows[place] @ w[:-1], float(w[-1])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], table: np.ndarray, bias: float, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
