@@ -36,7 +36,7 @@ HEADS = 4096
 SPELLINGS = 2048
 PASSES = 3
 START_TEXTS = 512
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK_TOKENS = 1 << 18
 _BLOCKS = ("block long, kind int, code int, word long, spelling int, n_train long, doc_id long, held_out boolean, "
            "n_words long, words binary")
