@@ -62,13 +62,25 @@ class Encoder:
         """Little-endian u32 ids of each text."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        split = [None if any(s in t for s in self.special) else self.find(t) for t in texts]
-        new = {p for pieces in split if pieces for p in pieces}.difference(self.known)
+        out: list[bytes | None] = []
+        later: dict[int, list[str]] = {}
+        get = self.known.__getitem__
+        for i, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes())
+                continue
+            pieces = self.find(t)
+            try:
+                out.append(b"".join(map(get, pieces)))
+            except KeyError:  # a piece not seen yet
+                out.append(None)
+                later[i] = pieces
+        new = {p for pieces in later.values() for p in pieces}.difference(self.known)
         if new:
             self._learn(list(new))
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
-                if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        for i, pieces in later.items():
+            out[i] = b"".join(map(get, pieces))
+        return out
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], ends: list[int]) -> bytes:
