@@ -274,12 +274,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(raw[at:a])
                 at = b
             kept.append(raw[at:])
-            out.append((len(raw), sum(b - a for a, b in merged), len(merged), hashlib.sha256(b"".join(kept)).hexdigest()))
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            out.append((len(raw), sum(b - a for a, b in merged), len(merged), hashlib.sha256(b"".join(kept)).hexdigest(), int(bool(merged))))
+        columns = zip(*out, strict=True) if out else ([], [], [], [], [])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)]],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "cut"])
 
 
 def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,8 @@ def removal_report(docs: DataFrame, length: int = 400, first: bool = False) -> D
     """What is removed of each document when repeated windows go.
 
     Takes doc_id and text; other columns are ignored. Returns a row per input row: doc_id,
-    n_bytes, n_removed, n_spans (maximal removed ranges), kept_sha256 of the rest.
+    n_bytes, n_removed, n_spans (maximal removed ranges), kept_sha256 of the rest, cut (1 where
+    anything is removed).
 
     Null text counts as empty; texts shorter than ``length`` keep all. Rows with equal
     doc_id and text are copies of each other like any two documents; with ``first``, they
@@ -325,7 +326,7 @@ def removal_report(docs: DataFrame, length: int = 400, first: bool = False) -> D
     """
     found = _per_row(repeated_spans(docs, length, first), "spans")
     joined = _keyed(docs).join(found, "row", "left").select("doc_id", "bytes", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, cut int")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, first: bool = True) -> DataFrame:
