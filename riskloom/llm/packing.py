@@ -29,6 +29,8 @@ from riskloom.session import materialize
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
+#: Between the texts of a bin.
+SEPARATOR = "\n\n"
 _PIECES = "row long, doc_id long, source string, cluster string, piece int, start long, size int"
 
 
@@ -134,25 +136,31 @@ def pieces_in_bins(docs: DataFrame, cluster: Column | None = None, capacity: int
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted piece, joined by blanks."""
+    """The text of each wanted piece: from its first word up to the next piece's, white space included.
+
+    The first piece begins and the last one ends with the text, so the pieces in order are the text.
+    """
     for batch in batches:
         wanted, values = batch.column("wanted").to_pylist(), batch.column("text").to_pylist()
         found = []
         for value, pieces in zip(values, wanted, strict=True):
             raw = np.frombuffer((value or "").encode(), np.uint8)
-            starts, ends, _ = text.words(raw, np.array([0, len(raw)]))
-            data = raw.tobytes()
+            starts, _, _ = text.words(raw, np.array([0, len(raw)]))
+            data, cuts = raw.tobytes(), [0, *starts[1:].tolist()]
             for p in pieces:
-                cut = slice(p["start"], p["start"] + p["size"])
-                found.append((p, b" ".join([data[a:b] for a, b in zip(starts[cut], ends[cut], strict=True)]).decode()))
+                low, high = p["start"], p["start"] + p["size"]
+                found.append((p, data[cuts[low]:cuts[high] if high < len(starts) else len(data)].decode()))
         kinds = {"bin_id": pa.int64(), "slot": pa.int32(), "doc_id": pa.int64(), "piece": pa.int32(), "size": pa.int32()}
         yield pa.RecordBatch.from_arrays([*[pa.array([p[c] for p, _ in found], k) for c, k in kinds.items()], pa.array([t for _, t in found], pa.string())],
                                          names=[*kinds, "text"])
 
 
-def bins(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, spread_sources: bool = True) -> DataFrame:
-    """A row per bin: bin_id, doc_ids and pieces in order, n_words, text (words joined by blanks).
+def bins(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, spread_sources: bool = True,
+         separator: str = SEPARATOR) -> DataFrame:
+    """A row per bin: bin_id, doc_ids and pieces in order, n_words, chars, text.
 
+    ``text`` holds the pieces' texts, byte for byte, with ``separator`` between them; ``chars`` is the
+    length of each, so that any piece can be cut out again. Null texts count as empty.
     Repeated rows are told apart: as many bins hold a piece as rows have it.
     """
     placed = materialize(pieces_in_bins(docs, cluster, capacity, spread_sources), "placed")
@@ -166,4 +174,4 @@ def bins(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
     ordered = F.array_sort(F.collect_list(F.struct("slot", "size", "doc_id", "piece", "text")))
     grouped = found.groupBy("bin_id").agg(ordered.alias("p"), F.sum("size").cast("long").alias("n_words"))
     return grouped.select("bin_id", F.col("p.doc_id").alias("doc_ids"), F.col("p.piece").alias("pieces"), "n_words",
-                          F.array_join(F.filter(F.col("p.text"), lambda t: t != ""), " ").alias("text"))
+                          F.transform("p.text", F.length).alias("chars"), F.array_join("p.text", separator).alias("text"))

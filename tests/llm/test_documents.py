@@ -249,6 +249,15 @@ def test_packing(docs):
     whole = packing.bins(docs(rows), capacity=100).collect()
     assert {r["bin_id"]: r["n_words"] for r in whole} == {b: sum(r["size"] for r in own) for b, own in bins.items()}
     assert all(len(WORD.findall(r["text"])) == r["n_words"] for r in whole)
+    again = {}
+    for r in whole:
+        at = 0
+        for doc_id, piece, n in zip(r["doc_ids"], r["pieces"], r["chars"], strict=True):
+            again.setdefault(doc_id, set()).add((piece, r["text"][at:at + n]))
+            at += n + len(packing.SEPARATOR)
+        assert at == len(r["text"]) + len(packing.SEPARATOR)
+    for doc_id, text in body.items():  # every byte of every text comes back, white space too
+        assert "".join(t for _, t in sorted(again[doc_id])) == text, doc_id
 
 
 def test_best_fit_is_tightest_compatible():
