@@ -49,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     recomputing the joins behind ``df``.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
