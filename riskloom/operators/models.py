@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
-    RandomForestClassifier,
+    GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     MinMaxScaler, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, TargetEncoder,
@@ -18,12 +20,13 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from riskloom import policy
-from riskloom.operators import evaluation, explain
+from riskloom import policy, session
+from riskloom.operators import evaluation, explain, registry
 
 SEED = 42
 FEATURES = policy.MODEL_FEATURES
 FOLD_BUCKETS = 10007  # prime, so that strided ids still spread
+_KERNEL_ROWS = 4096
 
 
 def hash_percent(id_column: str) -> Column:
@@ -118,73 +121,160 @@ def scaler(method: str = "standard") -> Estimator:
 
 
 class KernelMachine:
-    """RBF support vector machine: random Fourier features, a linear SVM, Platt scaling.
-
-    Random features (Rahimi and Recht, 2007) make the kernel linear, so the fit stays a
-    distributed gradient method instead of a quadratic program over pairs of rows.
+    """RBF support vector machine: random Fourier features, Newton steps, Platt scaling.
+
+    Random features (Rahimi and Recht, 2007) make the kernel linear. The squared hinge loss
+    is then minimised by Newton's method: a pass over the rows adds up loss, gradient and
+    curvature of the rows inside the margin; the driver solves a system of ``components`` + 1
+    unknowns. A step that does not lower the loss is halved. The fit ends when the gradient
+    is ``tolerance`` of what it was at the start; ``report`` says whether it got there within
+    ``iterations`` passes.
     """
 
-    def __init__(self, features: list[str], components: int = 64, iterations: int = 30):
+    def __init__(self, features: list[str], components: int = 64, iterations: int = 100,
+                 tolerance: float = 1e-6, penalty: float = 1e-4):
         self.features, self.components, self.iterations = features, components, iterations
+        self.tolerance, self.penalty = tolerance, penalty
 
-    def _mapped(self, df: DataFrame) -> DataFrame:
+    def _directions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies (components x features) and phases, the same for every fit."""
         draw = random.Random(SEED)
-        gamma = 1.0 / len(self.features)
-        scaled = [(F.col(c) - mean) / std for c, (mean, std) in zip(self.features, self.moments)]
-        cosines = []
+        spread = math.sqrt(2 / len(self.features))
+        phases, rows = [], []
         for _ in range(self.components):
-            angle = F.lit(draw.uniform(0, 2 * math.pi))
-            for x in scaled:
-                angle = angle + x * draw.gauss(0, math.sqrt(2 * gamma))
-            cosines.append(F.cos(angle) * math.sqrt(2 / self.components))
-        names = [f"_z{i}" for i in range(self.components)]
-        wide = df.select("*", *[c.alias(n) for c, n in zip(cosines, names)])
-        return VectorAssembler(inputCols=names, outputCol="mapped").transform(wide).drop(*names)
+            phases.append(draw.uniform(0, 2 * math.pi))
+            rows.append([draw.gauss(0, spread) for _ in self.features])
+        return np.array(rows), np.array(phases)
 
     def fit(self, df: DataFrame) -> "KernelMachine":
         """A fitted copy, so that several fits can run side by side."""
-        return KernelMachine(self.features, self.components, self.iterations)._fitted(df)
+        return KernelMachine(self.features, self.components, self.iterations, self.tolerance, self.penalty)._fitted(df)
 
     def _fitted(self, df: DataFrame) -> "KernelMachine":
-        row = df.agg(*[F.avg(c) for c in self.features],
-                     *[F.stddev_samp(c) for c in self.features]).first()
+        spark = session.ship(df.sparkSession)
+        columns = [F.col(c).cast("double").alias(c) for c in self.features]
+        rows = session.materialize(df.select(*columns, F.col("label").cast("double").alias("label")).dropna(), "kernel")
+        row = rows.agg(*[F.avg(c) for c in self.features], *[F.stddev_samp(c) for c in self.features],
+                       F.count("label").alias("rows")).first()
         n = len(self.features)
+        if not row.rows:
+            raise ValueError("no rows to train on")
         self.moments = [(row[i], row[n + i] or 1.0) for i in range(n)]
-        mapped = self._mapped(df)
-        # The hinge loss has kinks: a loose tolerance saves long line searches.
-        self.svm = LinearSVC(featuresCol="mapped", maxIter=self.iterations, regParam=1e-4,
-                             tol=1e-3).fit(mapped)
-        margins = self._margin(self.svm.transform(mapped))
+        self._minimise(rows, row.rows)
+        margins = self._margin(rows)
         self.platt = LogisticRegression(featuresCol="margin", probabilityCol="probability",
                                         rawPredictionCol="platt_raw",
                                         predictionCol="platt_prediction").fit(margins)
         return self
 
+    def _minimise(self, rows: DataFrame, count: int) -> None:
+        size = self.components + 1
+        ridge = np.full(size, self.penalty)
+        ridge[-1] = 0.0  # the intercept is free
+
+        def at(weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            sums = self._sums(rows, weights)
+            loss = sums[0] / count + 0.5 * float(ridge @ weights ** 2)
+            gradient = sums[1:size + 1] / count + ridge * weights
+            curvature = np.zeros((size, size))
+            curvature[np.triu_indices(size)] = sums[size + 1:] / count
+            curvature += np.triu(curvature, 1).T
+            return loss, gradient, curvature + np.diag(ridge)
+
+        weights, passes = np.zeros(size), 1
+        loss, gradient, curvature = at(weights)
+        limit = self.tolerance * float(np.linalg.norm(gradient))
+        while np.linalg.norm(gradient) > limit and passes < self.iterations:
+            direction = -np.linalg.lstsq(curvature, gradient, rcond=1e-12)[0]
+            slope, step = float(gradient @ direction), 1.0
+            while passes < self.iterations:
+                tried = at(weights + step * direction)
+                passes += 1
+                if tried[0] <= loss + 1e-4 * step * slope:
+                    break
+                step /= 2
+            else:
+                break
+            weights = weights + step * direction
+            loss, gradient, curvature = tried
+        norm = float(np.linalg.norm(gradient))
+        self.weights = [float(w) for w in weights]
+        self.report = {"passes": passes, "loss": float(loss), "gradient_norm": norm, "limit": limit, "converged": norm <= limit}
+
+    def _sums(self, rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+        """Loss, gradient and upper triangle of the curvature, summed over all rows.
+
+        A task sends one vector whose length the components fix; vectors are added in Spark.
+        """
+        frequencies, phases = self._directions()
+        means, spreads = (np.array(m) for m in zip(*self.moments))
+        size, features = self.components + 1, self.features
+        upper = np.triu_indices(size)
+
+        def add(batches):
+            total = np.zeros(1 + size + len(upper[0]))
+            for batch in batches:
+                for start in range(0, batch.num_rows, _KERNEL_ROWS):
+                    block = batch.slice(start, _KERNEL_ROWS)
+                    x = np.column_stack([block.column(c).to_numpy(zero_copy_only=False) for c in features])
+                    y = 2 * block.column("label").to_numpy(zero_copy_only=False) - 1
+                    z = np.cos(((x - means) / spreads) @ frequencies.T + phases) * math.sqrt(2 / len(phases))
+                    z = np.column_stack([z, np.ones(len(y))])
+                    short = 1 - y * (z @ weights)
+                    inside = short > 0
+                    z, y, short = z[inside], y[inside], short[inside]
+                    total[0] += short @ short
+                    total[1:size + 1] -= 2 * (z.T @ (y * short))
+                    total[size + 1:] += 2 * (z.T @ z)[upper]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "value"])
+
+        summed = rows.mapInArrow(add, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        found = np.zeros(1 + size + len(upper[0]))
+        for r in summed.collect():
+            found[r["at"]] = r["value"]
+        return found
+
     def save(self, path: str) -> None:
         """Store the fitted parts below a new path."""
-        self.svm.write().save(f"{path}/svm")
         self.platt.write().save(f"{path}/platt")
-        inputs = [(self.features, self.components, self.iterations, [list(m) for m in self.moments])]
+        inputs = [(self.features, self.components, self.iterations, self.tolerance, self.penalty,
+                   [list(m) for m in self.moments], self.weights, json.dumps(self.report))]
         SparkSession.active().createDataFrame(
-            inputs, "features array<string>, components int, iterations int, moments array<array<double>>",
+            inputs, "features array<string>, components int, iterations int, tolerance double, penalty double, "
+            "moments array<array<double>>, weights array<double>, report string",
         ).write.parquet(f"{path}/inputs")
 
     @classmethod
     def load(cls, path: str) -> "KernelMachine":
         row = SparkSession.active().read.parquet(f"{path}/inputs").first()
-        machine = cls(row.features, row.components, row.iterations)
+        machine = cls(row.features, row.components, row.iterations, row.tolerance, row.penalty)
         machine.moments = [tuple(m) for m in row.moments]
-        machine.svm = LinearSVCModel.load(f"{path}/svm")
+        machine.weights, machine.report = list(row.weights), json.loads(row.report)
         machine.platt = LogisticRegressionModel.load(f"{path}/platt")
         return machine
 
-    @staticmethod
-    def _margin(df: DataFrame) -> DataFrame:
-        value = df.withColumn("_margin", vector_to_array("rawPrediction")[1])
+    def _margin(self, df: DataFrame) -> DataFrame:
+        frequencies, phases = self._directions()
+        scaled = [(F.col(c) - mean) / std for c, (mean, std) in zip(self.features, self.moments)]
+        height = math.sqrt(2 / self.components)
+        names = [f"_z{i}" for i in range(self.components)]
+        cosines = []
+        for row, phase, weight in zip(frequencies, phases, self.weights):
+            angle = F.lit(float(phase))
+            for x, f in zip(scaled, row):
+                angle = angle + x * float(f)
+            cosines.append(F.cos(angle) * (height * weight))
+        wide = df.select("*", *[c.alias(n) for c, n in zip(cosines, names)])
+        total = F.lit(self.weights[-1])
+        for name in names:
+            total = total + F.col(name)
+        value = wide.withColumn("_margin", total).drop(*names)
         return VectorAssembler(inputCols=["_margin"], outputCol="margin").transform(value)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.platt.transform(self._margin(self.svm.transform(self._mapped(df))))
+        margins = self._margin(df)
+        sign = (F.col("_margin") > 0).cast("double")
+        return self.platt.transform(margins.withColumn("prediction", sign))
 
 
 def scored_rows(name: str, model, df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -274,15 +364,14 @@ def registry_records(metrics: DataFrame, version: str, trained_at: str, status:
 
 
 def register(records: DataFrame, path: str) -> DataFrame:
-    """Append to the registry table and read it back."""
-    records.write.mode("append").parquet(path)
-    return records.sparkSession.read.parquet(path)
+    """Add records to the registry at ``path`` in one commit and read it back."""
+    return registry.register(records, path)
 
 
-def current_models(registry: DataFrame) -> DataFrame:
+def current_models(records: DataFrame) -> DataFrame:
     """The newest version per model and status."""
-    rest = [c for c in registry.columns if c not in ("model_name", "status")]
-    newest = registry.groupBy("model_name", "status").agg(
+    rest = [c for c in records.columns if c not in ("model_name", "status")]
+    newest = records.groupBy("model_name", "status").agg(
         F.max_by(F.struct(*rest), F.struct("trained_at", "version")).alias("r"))
     return newest.select("model_name", "status", "r.*")
 
@@ -301,8 +390,8 @@ def load(kind: str, path: str):
     return KernelMachine.load(path) if kind == "kernel" else PipelineModel.load(path)
 
 
-def load_current(registry: DataFrame, status: str = "Production") -> dict[str, object]:
+def load_current(records: DataFrame, status: str = "Production") -> dict[str, object]:
     """The newest stored version of each model with ``status``, by name."""
-    rows = current_models(registry).filter(F.col("status") == status) \
+    rows = current_models(records).filter(F.col("status") == status) \
         .select("model_name", "model_kind", "model_path").collect()
     return {r.model_name: load(r.model_kind, r.model_path) for r in rows}

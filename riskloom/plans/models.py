@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import session
-from riskloom.operators import attribution, drift, evaluation, explain, models
+from riskloom.operators import attribution, drift, evaluation, explain, models, registry as model_store
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications
 from riskloom.plans.shared import applications
@@ -68,6 +68,17 @@ def boosted_facts(spark, sf_dir):
                         (F.col("fn") + F.col("tp")).alias("positives"), (F.col("roc_auc") > 0.5).alias("above_chance"))
 
 
+@query("m3_kernel_facts", on_applications(_HOLDOUT.replace("TRUE AS above_chance", "TRUE AS above_chance, TRUE AS converged")))
+def kernel_facts(spark, sf_dir):
+    """Hold-out rows and positives of the kernel machine, that it beats chance and that its fit met its stop condition."""
+    train, holdout = split_matrix(spark, sf_dir)
+    machine = models.KernelMachine(FEATURES).fit(train)
+    rows = session.materialize(models.scored_rows("SVM", machine, holdout), "scored")
+    cells = evaluation.confusion(rows).join(evaluation.roc_auc(rows), "model")
+    return cells.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("holdout_rows"), (F.col("fn") + F.col("tp")).alias("positives"),
+                        (F.col("roc_auc") > 0.5).alias("above_chance"), F.lit(machine.report["converged"]).alias("converged"))
+
+
 def _estimators(rows):
     """The three models that are compared, with their declared settings."""
     return {
@@ -200,6 +211,21 @@ def registry_facts(spark, sf_dir):
                          (F.abs(F.col("roc_auc") - F.col("again")) < 1e-9).alias("loads_and_scores_alike"))
 
 
+@query("m13_registry_moves", on_applications("""
+    SELECT CAST(number AS BIGINT) AS number, model_name, version, status, moved_at, TRUE AS above_chance
+    FROM (VALUES (1, 'Logistic Regression', 'v1', 'Production', '2001-05-01 00:00:00'), (2, 'Logistic Regression', 'v2', 'Staging', '2001-06-15 00:00:00'),
+      (3, 'Logistic Regression', 'v1', 'Archived', '2001-06-20 00:00:00'), (3, 'Logistic Regression', 'v2', 'Production', '2001-06-20 00:00:00'))
+      AS v(number, model_name, version, status, moved_at) WHERE (SELECT count(*) FROM applications) > 0"""))
+def registry_moves(spark, sf_dir):
+    """What becomes of two stored versions: the second is staged, then takes the place of the first in one commit."""
+    path, name = session.scratch_path(spark, "registry"), "Logistic Regression"
+    _registered(spark, sf_dir, name, version="v1", trained_at="2001-05-01 00:00:00", path=path, only_train=True)
+    _registered(spark, sf_dir, name, version="v2", status="Staging", path=path)
+    model_store.promote(spark, path, name, "v2", "2001-06-20 00:00:00", expected="Staging")
+    chance = model_store.read(spark, path).select("model_name", "version", (F.col("roc_auc") > 0.5).alias("above_chance"))
+    return model_store.history(spark, path).withColumnRenamed("at", "moved_at").join(chance, ["model_name", "version"])
+
+
 @query("m14_current_models")
 def current_models(spark, sf_dir):
     registry = _registry(spark, sf_dir).drop("model_path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import policy
-from riskloom.operators import features, models, rules
+from riskloom.operators import encoding, features, models, rules
 from riskloom.plans.catalog import query
 from riskloom.plans.oracle import on_applications, on_audit
 from riskloom.plans.shared import PROFILE_COLUMNS, applications, prepared, rounded
@@ -86,12 +86,36 @@ def encode(spark, sf_dir):
         "home_ownership", "employment_status", "loan_purpose", "default_risk")
 
 
-@query("p24_encode_fitted")
+@query("p24_encode_fitted", on_applications("""
+    SELECT application_id, CAST(dense_rank() OVER (ORDER BY loan_purpose NULLS LAST) - 1 AS DOUBLE) AS loan_purpose_label,
+      round(avg(default_risk) OVER (PARTITION BY loan_purpose), 6) AS loan_purpose_target FROM applications"""))
 def encode_fitted(spark, sf_dir):
     """The encoders fitted on the data, for open category sets."""
     df = prepared(spark, sf_dir, "application_id", "loan_purpose", "default_risk")
     fitted = models.encoder(["loan_purpose"], "target", "default_risk").fit(df).transform(df)
-    return fitted.select("application_id", "loan_purpose_label", "loan_purpose_target")
+    return rounded(fitted.select("application_id", "loan_purpose_label", "loan_purpose_target"), "loan_purpose_target")
+
+
+_SMOOTHING = 10.0
+
+
+@query("p24_encode_open", on_applications(f"""
+    , placed AS (SELECT application_id, customer_id, default_risk, application_id % 5 AS fold FROM applications),
+    cells AS (SELECT customer_id, fold, count(default_risk) AS n, coalesce(sum(default_risk), 0) AS s FROM placed GROUP BY ALL),
+    folds AS (SELECT fold, sum(n) AS n, sum(s) AS s FROM cells GROUP BY fold),
+    priors AS (SELECT fold, CAST((SELECT sum(s) FROM folds) - s AS DOUBLE) / nullif((SELECT sum(n) FROM folds) - n, 0) AS prior FROM folds),
+    others AS (SELECT customer_id, fold, sum(n) OVER (PARTITION BY customer_id) - n AS n,
+        CAST(sum(s) OVER (PARTITION BY customer_id) - s AS DOUBLE) AS s FROM cells)
+    SELECT application_id, CAST(dense_rank() OVER (ORDER BY placed.customer_id) - 1 AS BIGINT) AS customer_id_label,
+      round(CASE WHEN n > 0 THEN (s + {_SMOOTHING} * prior) / (n + {_SMOOTHING}) ELSE prior END, 9) AS customer_id_target
+    FROM placed JOIN others USING (customer_id, fold) JOIN priors USING (fold)""".strip()))
+def encode_open(spark, sf_dir):
+    """Customers, an open set, by a distributed dictionary and by out-of-fold default rates."""
+    df = prepared(spark, sf_dir, "application_id", "customer_id", "default_risk")
+    df = df.withColumn("fold", F.pmod("application_id", F.lit(5)))
+    labelled = encoding.label_encode(df, "customer_id", encoding.dictionary(df, "customer_id"))
+    encoded = encoding.out_of_fold_target(labelled, "customer_id", "default_risk", "fold", _SMOOTHING)
+    return rounded(encoded.select("application_id", "customer_id_label", "customer_id_target"), "customer_id_target", digits=9)
 
 
 OUTLIER_COLUMNS = PROFILE_COLUMNS[:-1]  # every numeric feature; the last one is the label

@@ -1,10 +1,12 @@
 import random
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom import session
-from riskloom.operators import evaluation, models
+from riskloom.operators import encoding, evaluation, models, registry
 
 FEATURES = [f"x{i}" for i in range(8)]
 
@@ -41,7 +43,10 @@ def test_kernel_machine_learns_a_circle(spark):
     df = spark.createDataFrame([(a, b, int(a * a + b * b < 0.5)) for a, b in rows], "a double, b double, y int")
     matrix = models.training_matrix(df, ["a", "b"], "y")
     auc = lambda m: evaluation.roc_auc(models.scored_rows("m", m, matrix)).first().roc_auc
-    assert auc(models.KernelMachine(["a", "b"], 64, 30).fit(matrix)) > 0.95
+    machine = models.KernelMachine(["a", "b"]).fit(matrix)
+    assert machine.report["converged"] and machine.report["gradient_norm"] <= machine.report["limit"]
+    assert auc(machine) >= 0.99
+    assert not models.KernelMachine(["a", "b"], iterations=2).fit(matrix).report["converged"]
     assert auc(models.logistic_regression(600).fit(matrix)) < 0.7
 
 
@@ -99,6 +104,63 @@ def test_registry(spark):
     assert current == {"Production": "v2", "Staging": "v3"}
 
 
+def test_kernel_fit_is_the_minimum(planted):
+    """The weights solve the problem that a plain Newton loop over the same features solves."""
+    machine = models.KernelMachine(FEATURES, components=12).fit(planted)
+    table = np.array([[*[r[f] for f in FEATURES], r.label] for r in planted.select(*FEATURES, "label").collect()])
+    x, y = table[:, :-1], 2 * table[:, -1] - 1
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    frequencies, phases = machine._directions()
+    z = np.column_stack([np.cos(x @ frequencies.T + phases) * np.sqrt(2 / 12), np.ones(len(x))])
+    ridge = np.diag([machine.penalty] * 12 + [0.0])
+    loss = lambda w: (np.maximum(0, 1 - y * (z @ w)) ** 2).mean() + 0.5 * w @ ridge @ w
+    best = loss(np.array(machine.weights))
+    assert abs(best - machine.report["loss"]) < 1e-9
+    rng = np.random.default_rng(3)
+    assert all(loss(np.array(machine.weights) + d) >= best - 1e-9 for d in rng.normal(0, 0.01, (200, 13)))
+
+
+def _records(spark, version, status="Production", name="m"):
+    metrics = spark.createDataFrame([(name, 0.9, 0.8, 0.7, 0.6, 0.5)], "model string, " + ", ".join(f"{m} double" for m in evaluation.METRICS))
+    return models.registry_records(metrics, version, "2001-01-01", status)
+
+
+def test_writers_at_the_same_time(spark):
+    path = session.scratch_path(spark, "registry")
+    with ThreadPool(6) as pool:
+        pool.map(lambda i: registry.register(_records(spark, f"v{i}", "Staging"), path), range(6))
+    found = registry.read(spark, path)
+    assert sorted(r.version for r in found.collect()) == [f"v{i}" for i in range(6)]
+    assert sorted(r.number for r in registry.history(spark, path).collect()) == [1, 2, 3, 4, 5, 6]
+
+    def same(_):
+        try:
+            registry.register(_records(spark, "v9"), path)
+            return 1
+        except ValueError:
+            return 0
+    with ThreadPool(4) as pool:
+        assert sum(pool.map(same, range(4))) == 1
+    assert registry.read(spark, path).where("version = 'v9'").count() == 1
+
+
+def test_status_moves(spark):
+    path = session.scratch_path(spark, "registry")
+    with pytest.raises(ValueError):
+        registry.read(spark, path)
+    registry.register(_records(spark, "v1"), path)
+    registry.register(_records(spark, "v2", "Staging"), path)
+    assert registry.promote(spark, path, "m", "v2", "2001-02-01", expected="Staging") == 3
+    assert {r.version: r.status for r in registry.read(spark, path).collect()} == {"v1": "Archived", "v2": "Production"}
+    with pytest.raises(ValueError):
+        registry.promote(spark, path, "m", "v1", "2001-02-02", expected="Staging")
+    with pytest.raises(ValueError):
+        registry.move(spark, path, "m", "v7", "Archived", "2001-02-02")
+    registry.move(spark, path, "m", "v1", "Retired", "2001-03-01")
+    assert [(r.number, r.version, r.status) for r in registry.history(spark, path).orderBy("number", "version").collect()] == [
+        (1, "v1", "Production"), (2, "v2", "Staging"), (3, "v1", "Archived"), (3, "v2", "Production"), (4, "v1", "Retired")]
+
+
 def test_fitted_encoders(spark):
     df = spark.createDataFrame([("b", 1), ("a", 0), ("b", 0)], "c string, y int")
     for method in ("label", "onehot", "target"):
@@ -109,3 +171,33 @@ def test_fitted_encoders(spark):
     for method in ("standard", "minmax", "robust"):
         matrix = models.training_matrix(df.withColumn("v", F.monotonically_increasing_id().cast("double")), ["v"], "y")
         assert models.scaler(method).fit(matrix).transform(matrix).count() == 3
+
+
+def test_dictionary_of_an_open_set(spark):
+    df = spark.range(5000).select(F.concat(F.lit("k"), (F.col("id") % 3001).cast("string")).alias("c")) \
+        .unionByName(spark.createDataFrame([(None,), ("",), ("k0",)], "c string"))
+    known = encoding.dictionary(df, "c")
+    order = sorted({"", *[f"k{i}" for i in range(3001)]})
+    assert {r["value"]: r.code for r in known.collect()} == {v: i for i, v in enumerate(order)}
+    rows = spark.createDataFrame([("k5",), (None,), ("unseen",)], "c string")
+    assert {r.c: r.c_label for r in encoding.label_encode(rows, "c", known).collect()} == {
+        "k5": order.index("k5"), None: 3002, "unseen": 3002}
+    empty = encoding.dictionary(df.limit(0), "c")
+    assert empty.count() == 0 and [r.c_label for r in encoding.label_encode(rows, "c", empty).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("smoothing", [0.0, 2.5])
+def test_out_of_fold_target(spark, smoothing):
+    rng = random.Random(5)
+    rows = [(i, "hot" if i % 3 == 0 else rng.choice(["a", "b", None, f"once{i}"]), rng.choice([0, 1, None]), i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, c string, y int, fold int")
+    found = {r.id: r.c_target for r in encoding.out_of_fold_target(df, "c", "y", "fold", smoothing).collect()}
+    for i, c, _, fold in rows:
+        rest = [r for r in rows if r[3] != fold and r[2] is not None]
+        prior = sum(r[2] for r in rest) / len(rest)
+        own = [r[2] for r in rest if r[1] == c]
+        expected = (sum(own) + smoothing * prior) / (len(own) + smoothing) if own else prior
+        assert found[i] == pytest.approx(expected, abs=1e-12)
+    assert len(found) == 200
+    single = spark.createDataFrame([(1, "a", 1, 0)], "id long, c string, y int, fold int")
+    assert encoding.out_of_fold_target(single, "c", "y", "fold").first().c_target is None
