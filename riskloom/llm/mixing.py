@@ -3,8 +3,9 @@
 Pareto order sampling: a document whose expected number of copies is e gets floor(e) whole
 copies for certain; with p = e - floor(e) and a fixed uniform number u of the document, the
 further copies go to the documents of least [u / (1 - u)] / [p / (1 - p)] of their source,
-as many as bring the source to its target. e is the same for all documents of a source
-unless a weight column makes it unequal within the source.
+as many as bring the source to its target. Within a source e follows a weight of the document, such
+as the ``variety`` of its text: level * weight, at most three copies, where the level is
+the one at which the expected words of the source add up to its target.
 
 The order is cut without sorting a source in one task: odds are ranked as fixed-point
 numbers, ten bits at a time; each step sums words per (source, digit) and goes on with the
@@ -25,6 +26,8 @@ from riskloom.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 DIGITS = 3
+#: Weights are taken in steps of a 64th, so that a source has 64 different ones at most.
+WEIGHT_STEPS = 64
 
 
 def words(text: Column) -> Column:
@@ -32,6 +35,31 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def variety(text: Column) -> Column:
+    """Share of a text's words that are different, from above 0 to 1: repetitive texts weigh less."""
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.coalesce(F.try_divide(F.size(F.array_distinct(found)), F.size(found)), F.lit(1.0))
+
+
+def _levels(rows: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(_source, level): level * weight, at most ``most``, times size adds up to the target.
+
+    Rows are summed per (source, weight) first. By falling weight, a class is capped if it
+    would get more than ``most`` copies once those above it have theirs; the first class that
+    is not sets the level. Null where all are capped.
+    """
+    classes = materialize(rows.groupBy("source", "weight").agg(F.sum("size").alias("words")), "classes")
+    above = Window.partitionBy("source").orderBy(F.col("weight").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("source").orderBy("weight").rowsBetween(Window.unboundedPreceding, 0)
+    classes = classes.withColumn("capped", F.coalesce(F.sum("words").over(above), F.lit(0)) * most) \
+        .withColumn("weighed", F.sum(F.col("words") * F.col("weight")).over(below))
+    targets = targets.select(F.col("source").alias("_source"), "target")
+    joined = classes.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    joined = joined.withColumn("level", F.try_divide(F.col("target") - F.col("capped"), F.col("weighed")))
+    first = F.max_by(F.when(F.col("level") * F.col("weight") <= most, F.col("level")), F.when(F.col("level") * F.col("weight") <= most, F.col("weight")))
+    return joined.groupBy("_source").agg(first.alias("level"))
+
+
 def uniform(key: Column) -> Column:
     """A fixed number in (0, 1) from the digest of ``key``, a multiple of 2**-52 shifted by half."""
     digits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
@@ -133,31 +161,34 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     """Copies that each document has in the mix.
 
     Takes doc_id, text and source; ``weight`` is a relative number of expected copies
-    within a source (default: equal). Returns a row per input row: doc_id, source, size,
-    source_size, target, copies, taken (= copies * size).
+    within a source, from 0 to 1 in steps of a 64th, one at least (default: equal; null:
+    1). Returns a row per input row: doc_id, source, size, source_size, target, expected
+    (copies, 0 for size 0), copies, taken (= copies * size).
 
     Null or empty text has size 0 and is not taken; a null source is a source of its own;
     rows without doc_id and repeated rows are documents of their own, told apart by their
     text's digest and, where that is equal too, by a running number. Ties of odds go by
     that number. An empty table gives an empty result. No row has more than ``most``
-    copies; with unequal weights what a capped document loses is left out.
+    copies; what a capped document loses goes to the others of its source.
     """
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key"),
-                       (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
-    rows = materialize(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"))
-    sizes = materialize(sizes, "source_sizes")
+                       (F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1.0))).alias("weight"))
+    step = F.floor(F.col("weight") * WEIGHT_STEPS + 0.5)
+    rows = materialize(rows.withColumn("weight", F.greatest(F.lit(1), F.least(F.lit(WEIGHT_STEPS), step)).cast("long")), "sizes")
+    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
     repeated = materialize(rows.groupBy("key").count().where("count > 1").select("key"), "repeated")
     copy = F.row_number().over(Window.partitionBy("key").orderBy("source", "size"))
     again = rows.join(repeated, "key", "left_semi").withColumn("copy", copy)
     rows = rows.join(repeated, "key", "left_anti").withColumn("copy", F.lit(1)).unionByName(again)
     rows = rows.withColumn("u", uniform(F.concat_ws("#", "key", "copy")))
-    targets = source_targets(sizes.select("source", "source_size"), most)
-    per_source = targets.join(sizes.select(F.col("source").alias("_s"), "weighed"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    per_source = materialize(per_source, "targets").withColumnRenamed("source", "_source")
-    rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    expected = F.when(F.col("weighed") > 0, F.least(F.lit(float(most)), F.col("target") * F.col("weight") / F.col("weighed"))).otherwise(0.0)
+    targets = materialize(source_targets(sizes, most), "targets")
+    levels = _levels(rows, targets, most)
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    per_source = materialize(targets.join(levels, same).drop("_source"), "levels").withColumnRenamed("source", "_source")
+    rows = rows.join(per_source, same).drop("_source")
+    level = F.when(F.col("level").isNull(), F.lit(float(most))).otherwise(F.col("level") * F.col("weight"))
+    expected = F.when(F.col("size") > 0, F.least(F.lit(float(most)), level)).otherwise(0.0)
     rows = rows.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
     top = 1 << 10 * DIGITS
@@ -170,12 +201,12 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     rows = rows.join(state, F.col("source").eqNullSafe(F.col("_source")))
     extra = F.when(F.col("rank").isNotNull() & _is_taken(), 1).otherwise(0)
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("int"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
 
 
-def mixed(docs: DataFrame, most: int = MOST) -> DataFrame:
+def mixed(docs: DataFrame, most: int = MOST, weight: Column | None = None) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns."""
-    plan = mix(docs, most=most).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    plan = mix(docs, weight, most).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     plan = materialize(plan, "plan").withColumnRenamed("key", "_key")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.md5("text"), F.lit("")))
     out = docs.withColumn("_key", key).join(plan, "_key")

@@ -44,9 +44,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_pareto_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, by Pareto order sampling."""
-    found = mixing.mix(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """Words that the mix takes of each document, by Pareto order sampling with inclusion by variety."""
+    found = mixing.mix(read(spark, sf_dir, "documents"), mixing.variety(F.col("text")))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
 @query("op9_repeated_bytes")

@@ -109,6 +109,22 @@ def test_jaccard_keep_first(docs):
     assert found.columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_jaccard_keep_first_judges_rows(docs):
+    """A text is not lost because its id also has a copy of another text."""
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(0, a, "x"), (1, a, "x"), (1, b, "x"), (1, c, "y"), (1, c, "y"), (2, c, "x"), (3, "", "x"), (3, "", "x"), (None, b, "x")]
+    found = jaccard.keep_first(docs(rows), 5, 80).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(0, a), (1, b), (1, c), (3, ""), (None, b)]))
+
+
+def test_jaccard_rows_without_id(docs):
+    """Rows without doc_id are each looked up by their own text."""
+    texts = [prose(i // 2, 40) + (" more" if i % 2 else "") for i in range(60)]
+    found = jaccard.jaccard_components(docs([(None, t, "x") for t in texts]), 5, 80).collect()
+    groups = Counter(r["component"] for r in found)
+    assert len(found) == 60 and all(r["component_id"] is None for r in found) and sorted(groups.values()) == [2] * 30
+
+
 def expected_removal(rows, length):
     raws = [(t or "").encode() for _, t, _ in rows]
     seen = Counter(raw[i:i + length] for raw in raws for i in range(len(raw) - length + 1))
@@ -224,6 +240,32 @@ def test_mixing_goes_on_past_a_long_text(docs):
     assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 10
 
 
+def test_mixing_by_unequal_inclusion(docs):
+    """Expected copies follow the weight up to three and add up to the target; copies keep to them."""
+    def words(i):
+        spelled = [f"w{j}x{i}" for j in range(16)]
+        return " ".join(spelled[j % (1, 4, 16)[i % 3]] for j in range(16))
+
+    rows = [(i, words(i), "ab"[i % 2]) for i in range(1200)] + [(2000 + i, words(i), "c") for i in range(90)]
+    found = [r.asDict() for r in mixing.mix(docs(rows), mixing.variety(F.col("text"))).collect()]
+    for source in "abc":
+        mine = [r for r in found if r["source"] == source]
+        assert sum(r["expected"] * r["size"] for r in mine) == pytest.approx(mine[0]["target"])
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 16
+        assert all(int(r["expected"]) <= r["copies"] <= int(r["expected"]) + 1 for r in mine)
+        means, wanted = [], []
+        for kind, weight in enumerate((4, 16, 64)):
+            of_kind = [r for r in mine if r["doc_id"] % 2000 % 3 == kind]
+            wanted.append(of_kind[0]["expected"])
+            assert {round(r["expected"], 9) for r in of_kind} == {round(wanted[-1], 9)}
+            means.append(sum(r["copies"] for r in of_kind) / len(of_kind))
+            assert abs(means[-1] - wanted[-1]) < 0.1
+        assert wanted == sorted(wanted) and wanted[-1] <= 3
+        if wanted[-1] < 3:
+            assert wanted[1] == pytest.approx(4 * wanted[0]) and wanted[2] == pytest.approx(4 * wanted[1])
+            assert means[0] < means[1] < means[2]
+
+
 def test_packing(docs):
     rows = ODD + [(100 + i, prose(i % 20, 3 + (7 * i) % 90), f"s{i % 6}" if i % 11 else None) for i in range(200)]
     found = [r.asDict() for r in packing.pieces_in_bins(docs(rows), capacity=100).collect()]
