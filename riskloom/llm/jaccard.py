@@ -80,8 +80,8 @@ def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     for batch in batches:
         sets = [(len(s), digest(s) if len(s) else None) for s in shingle_sets(batch.column("text"), k)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.string())],
-            names=["doc_id", "n_shingles", "node"])
+            [batch.column("doc_id"), batch.column("spelled"), pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.string())],
+            names=["doc_id", "spelled", "n_shingles", "node"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -282,24 +282,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Two sets are linked when 100 * |intersection| >= percent * |union|. Takes doc_id and
     text; other columns are ignored. Returns a row per input row: doc_id, n_shingles,
-    component_id, node (digest of the set, null if empty).
+    component_id, node (digest of the set, null if empty), component (the least node of the
+    component), spelled (hash of the text, which tells rows of one doc_id apart).
 
     Null or empty text, or text without words, has an empty set and is linked with
     nothing. Repeated rows and equal texts share a component. A row without doc_id takes
     part and gets its component; a component without any doc_id has a null id. An empty
     table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
-    members = materialize(docs.mapInArrow(partial(_members, k=k), "doc_id long, n_shingles long, node string"), "members")
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("spelled"))
+    members = materialize(docs.mapInArrow(partial(_members, k=k), "doc_id long, spelled long, n_shingles long, node string"), "members")
+    nodes = members.where("node is not null").groupBy("node").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "spelled")).alias("row"), F.max("n_shingles").alias("n"))
+    # a node's set is read from one row, so that rows without doc_id meet only equal texts
+    nodes = nodes.select("node", "row.doc_id", "row.spelled", "n")
     entries = docs.mapInArrow(partial(_entries, k=k, percent=percent), "token long, node long")
     shared = entries.repartition("token").sortWithinPartitions("token", "node")
     shared = shared.mapInArrow(_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
     shared = materialize(shared, "shared").withColumnRenamed("node", "short")
     enough = F.col("shared") >= 1 + F.floor(_lowest("n", percent) / 8)
     short = F.conv(F.substring("node", 1, 16), 16, -10).cast("long")
-    alive = materialize(nodes.withColumn("short", short).join(shared, "short").where(enough).select("node", "doc_id"), "alive")
-    sets = docs.join(alive, docs.doc_id.eqNullSafe(alive.doc_id)).select("node", "text")
+    alive = materialize(nodes.withColumn("short", short).join(shared, "short").where(enough).select("node", "doc_id", "spelled"), "alive")
+    sets = docs.join(alive, docs.doc_id.eqNullSafe(alive.doc_id) & (docs.spelled == alive.spelled)).select("node", "text")
     sets = sets.mapInArrow(partial(_sets, k=k), "node string, n long, shingles binary").dropDuplicates(["node"])
     sets = materialize(sets.withColumn("short", short), "sets")
     shared = sets.mapInArrow(_all_tokens, "token long, node long").repartition("token").sortWithinPartitions("token", "node")
@@ -308,21 +311,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     found = _components(materialize(likely.drop("shared"), "likely"), percent)
     named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("node", "component").join(ids, "component").select("node", "component_id")
+    named = named.select("node", "component").join(ids, "component").select("node", "component", "component_id")
     joined = members.join(named, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"), "node")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"),
+                         "node", "component", "spelled")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the first (smallest doc_id) of their group; others go.
 
-    Documents with empty texts and rows without doc_id all stay. Rows with equal doc_id
-    are one document: one of them stays, unless any of them is a later one of its group.
+    Documents with empty texts and rows without doc_id all stay. Rows that share a doc_id
+    are judged each by its own text: of those of one group that have its smallest doc_id the
+    one with the least node stays, and of rows with equal doc_id and words one.
     """
     found = jaccard_components(docs, k, percent)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    later = found.where("doc_id != component_id").select("doc_id").distinct()
     if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        return docs.join(later, "doc_id", "left_anti")
+    once = docs.join(repeated, "doc_id", "left_anti").join(later, "doc_id", "left_anti")
+    first = found.where("doc_id = component_id and node is not null").groupBy("component").agg(F.min("node").alias("_first"))
+    judged = found.join(repeated, "doc_id").join(first, "component", "left")
+    stays = F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("_first")))
+    order = Window.partitionBy("doc_id", "node").orderBy("spelled")
+    judged = judged.where(stays).select("doc_id", "node", "spelled").distinct()
+    kept = judged.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("spelled").alias("_s"))
+    own = docs.where("doc_id is not null")
+    same = (own["doc_id"] == F.col("_d")) & (F.xxhash64(own["text"]) == F.col("_s"))
+    return once.unionByName(own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]))
