@@ -32,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by doc_id, of each group of near duplicates.
 
-    Empty texts and rows without doc_id stay. Rows that share a doc_id count as one document: one
-    stays, or none if any of them is a later one of its group.
+    Empty texts and rows without doc_id stay. Rows that share a doc_id are judged each by its own
+    text; of equal ones one stays.
     """
     ship(configure(spark))
     return jaccard.keep_first(docs, SHINGLE, SIMILARITY)
@@ -53,10 +53,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
     Null sources are a source of their own, the last. Texts without words have size 0; the
-    order of a source is fixed by its documents' ids and texts, repeated rows in turn.
+    order of a source is fixed by its documents' ids and texts, repeated rows in turn. Within a
+    source texts are expected in proportion to the share of their words that are different.
     """
     ship(configure(spark))
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, weight=mixing.variety(docs["text"]))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
