@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import Model
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -190,10 +191,15 @@ def model_dependence(model: Model, df: DataFrame, features: list[str], feature:
                      points: int = 50) -> DataFrame:
     """Mean probability of a fitted classifier with ``feature`` fixed at each grid point.
 
-    A row is multiplied inside its task and scored there; only one sum per grid point
-    and task is shuffled. Rows with a missing feature are left out.
+    The mean of a forest is that of its trees, so the rows that can reach each leaf are counted
+    instead of scoring them at each point. For other models a row is multiplied inside its task
+    and scored there; only one sum per grid point and task is shuffled. Rows with a missing
+    feature are left out.
     """
     rows = df.dropna(subset=features).select(*[F.col(c).cast("double").alias(c) for c in features])
+    stages = model.stages if hasattr(model, "stages") else [model]
+    if len(stages) == 1 and isinstance(stages[0], RandomForestClassificationModel) and stages[0].numClasses == 2:
+        return _forest_dependence(stages[0], rows, features, feature, points)
     limits = rows.agg(F.struct(F.min(feature).alias("low"), F.max(feature).alias("high"))).scalar()
     placed = rows.withColumn("_r", limits) \
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
@@ -205,6 +211,16 @@ def model_dependence(model: Model, df: DataFrame, features: list[str], feature:
         F.avg(vector_to_array("probability")[1]).alias("mean_score"))
 
 
+def _forest_dependence(model: Model, rows: DataFrame, features: list[str], feature: str, points: int) -> DataFrame:
+    from riskloom.operators import attribution  # which imports this module
+
+    low, high = rows.agg(F.min(feature), F.max(feature)).first()
+    grid = [] if low is None else [low + (high - low) / max(1, points - 1) * i for i in range(points)]
+    means = attribution.dependence(attribution.ensemble(model, len(features)), rows, features, feature, grid) if grid else []
+    return rows.sparkSession.createDataFrame(
+        [(i, *pair) for i, pair in enumerate(zip(grid, means))], "point int, feature_value double, mean_score double")
+
+
 def what_if(df: DataFrame, scenarios: DataFrame, id_column: str = "scenario_id") -> DataFrame:
     """Score scenarios; inputs they leave out take the column mean of ``df``."""
     means = df.agg(F.struct(*[
