@@ -33,6 +33,8 @@ from riskloom.llm import text
 from riskloom.llm.components import components
 from riskloom.session import materialize
 
+#: Bits of a shingle hash that are left out of the index lists that only filter.
+DROPPED = 24
 CELL = 512
 COLUMNS_AT_ONCE = 2048
 
@@ -84,23 +86,36 @@ def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             names=["doc_id", "spelled", "n_shingles", "node"])
 
 
+def coarse(tokens: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, node) of a set's rising hashes without their low bits, which shortens what is shuffled.
+
+    Hashes that become equal can only make a set share more. Where two of one set do, the set
+    shares a token of its own with a node 0 instead, so that it never shares less.
+    """
+    short = tokens >> np.uint64(DROPPED) << np.uint64(DROPPED)
+    first = np.ones(len(short), bool)
+    first[1:] = short[1:] != short[:-1]
+    lost = np.repeat(tokens[~first] | np.uint64(1), 2)
+    nodes = np.full(int(first.sum()) + len(lost), node, np.uint64)
+    nodes[len(nodes) - len(lost) + 1::2] = 0
+    return np.concatenate([short[first], lost]), nodes
+
+
 def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(token, node) for the first shingles of each set, once per distinct set of a task."""
     seen: set[str] = set()
     for batch in batches:
-        tokens, nodes, counts = [], [], []
+        tokens, nodes = [], []
         for shingles in shingle_sets(batch.column("text"), k):
             n = len(shingles)
             if not n or (node := digest(shingles)) in seen:
                 continue
             seen.add(node)
-            tokens.append(shingles[:n - least_shared(n, percent) + spare(n)])
-            nodes.append(int(node[:16], 16))
-            counts.append(len(tokens[-1]))
+            for out, part in zip((tokens, nodes), coarse(shingles[:n - least_shared(n, percent) + spare(n)], int(node[:16], 16)), strict=True):
+                out.append(part)
         if tokens:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)),
-                 pa.array(np.repeat(np.array(nodes, np.uint64).view(np.int64), counts))], names=["token", "node"])
+                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes).view(np.int64))], names=["token", "node"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
