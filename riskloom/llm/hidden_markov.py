@@ -60,6 +60,16 @@ def _spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (text.mix(key) % np.uint64(SPELLINGS)).astype(np.int32)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """The low halves of all places, then the high ones, which are mostly zero and compress."""
+    return np.concatenate([places & 0xFFFF, places >> 16]).astype(np.uint16).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    low, high = np.frombuffer(raw, np.uint16).reshape(2, -1).astype(np.int32)
+    return low | high << 16
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of texts: their dictionary (kind 0) and their words as places in it (kind 1)."""
     schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("code", pa.int32()), ("word", pa.int64()), ("spelling", pa.int32()),
@@ -76,7 +86,9 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([h for h, _, _, _, _ in held])
-        words, at, place = np.unique(hashes, return_index=True, return_inverse=True)
+        words, at, place, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # places of frequent words are small
+        words, at, place = words[order], at[order], np.argsort(order)[place]
         spelling = np.concatenate([s for _, s, _, _, _ in held])[at]
         counts = np.concatenate([c for _, _, c, _, _ in held])
         ids = pa.concat_arrays([d for _, _, _, d, _ in held])
@@ -86,7 +98,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(block, 0, len(words), code=pa.array(np.arange(len(words), dtype=np.int32)), word=pa.array(words.view(np.int64)),
                    spelling=pa.array(spelling), n_train=pa.array(n_train))
         cuts = np.cumsum(counts)[:-1]
-        raw = pa.array([p.astype(np.int32).tobytes() for p in np.split(place, cuts)], pa.binary())
+        raw = pa.array([packed(p) for p in np.split(place, cuts)], pa.binary())
         yield rows(block, 1, len(counts), doc_id=ids, held_out=pa.array(out), n_words=pa.array(counts), words=raw)
 
     first = True
@@ -125,7 +137,7 @@ def _classed(batches: Iterator[pa.RecordBatch], end_class: int, end_log: float,
                 base, known, ready = np.log10(c + 1) - unit, c > 0, True
             out = []
             for raw in part.column("words").to_pylist():
-                words = np.frombuffer(raw, np.int32)
+                words = unpacked(raw)
                 out.append((len(words) + 1, int(known[words].sum()) + int(end_log > 0), float(base[words].sum()) + end_log - unit,
                             float(within[words].sum()), np.append(classes[words], np.uint16(end_class)).tobytes()))
             columns = zip(*out, strict=True)
