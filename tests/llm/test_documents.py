@@ -1,12 +1,15 @@
 """Operators on documents against brute force, and the given cases for odd input."""
 
 import hashlib
+import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,3 +455,44 @@ def test_empty_codes(ship):
     tokenizers = pytest.importorskip("public_tokenizers")
     found = codes.round_trip(ship.createDataFrame([], SCHEMA), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
     assert found.count() == 0
+
+
+def test_places_of_words_keep_their_value_in_planes():
+    places = np.array([0, 1, 65535, 65536, 70000, (1 << 31) - 1])
+    assert hidden_markov.unpacked(hidden_markov.packed(places)).tolist() == places.tolist()
+    assert len(hidden_markov.unpacked(hidden_markov.packed(places[:0]))) == 0
+    assert hidden_markov.packed(np.arange(1000))[2000:] == bytes(2000)  # frequent words leave zeros
+
+
+def test_coarse_entries_never_share_less():
+    low = np.uint64((1 << jaccard.DROPPED) - 1)
+    one = np.array([5, 9, 1 << 40, (1 << 40) + 3, 7 << 40], np.uint64)  # 5 and 9, and the next two, become equal
+    token, node = jaccard.coarse(one, 11)
+    assert (token[:3] & low == 0).all() and token.tolist()[3:] == [9, 9, (1 << 40) + 3, (1 << 40) + 3]
+    assert node.tolist() == [11, 11, 11, 11, 0, 11, 0]
+    other, theirs = jaccard.coarse(one, 12)
+    token, node = np.concatenate([token, other]).view(np.int64), np.concatenate([node, theirs]).view(np.int64)
+    order = np.lexsort((node, token))
+    batch = pa.RecordBatch.from_arrays([pa.array(token[order]), pa.array(node[order])], names=["token", "node"])
+    shared = {}
+    for found in jaccard._shared(iter([batch])):
+        for n, s in zip(found.column("node").to_pylist(), found.column("shared").to_pylist()):
+            shared[n] = shared.get(n, 0) + s
+    assert shared[11] == shared[12] == len(one)
+
+
+def test_pieces_are_found_by_re_as_by_regex():
+    import public_tokenizers
+    import regex
+
+    pattern = public_tokenizers.PATTERN
+    find, plain = codes.finder(pattern), regex.compile(pattern).findall
+    assert find is not plain and not hasattr(find, "__self__")  # two patterns, by the kind of text
+    every = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
+    rng = random.Random(3)
+    drawn = ["".join(rng.choice(every[:rng.choice([128, 128, 700, 70000, len(every)])]) for _ in range(300)) for _ in range(200)]
+    drawn += ["".join(t) for n in (1, 2, 3) for t in itertools.product("'stvm a1.\n\x1c\x85", repeat=n)]
+    for t in [every, every[:128], "it's  we'll\t\x1c\x85 \u00a0x\u30001\u00b2\u2160 a1 \n\n", "", *drawn]:
+        assert find(t) == plain(t)
+    assert codes.finder(r"\p{Lu}+|.").__self__.__class__ is regex.Pattern
+    assert codes.finder(r"[a\s]+").__self__.__class__ is regex.Pattern
