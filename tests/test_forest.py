@@ -91,6 +91,35 @@ def test_bundles_have_the_codes_of_all_leaves(table):
         assert (inside == 1).all()  # a row is in the box of one leaf
 
 
+@pytest.mark.parametrize("cells", [1, 12, 1 << 11])
+def test_codes_tell_the_features_in_which_a_leaf_is_left(table, monkeypatch, cells):
+    """Many leaves are looked up at once; their boxes are those of the splits on their paths."""
+    monkeypatch.setattr(attribution, "CELLS", cells)
+    trees = attribution.ensemble(models.random_forest(5, 9).fit(models.training_matrix(table, FEATURES, "y")), 4)
+    values = np.array([tuple(r) for r in table.select(*[F.col(c).cast("double") for c in FEATURES]).collect()])
+    above = trees.above(values)
+
+    def splits(tree, node, taken=()):
+        if tree.feature[node] < 0:
+            yield node, taken
+        else:
+            yield from splits(tree, tree.left[node], (*taken, (tree.feature[node], tree.cut[node], 0)))
+            yield from splits(tree, tree.right[node], (*taken, (tree.feature[node], tree.cut[node], 1)))
+
+    many = 0
+    for tree in trees.trees:
+        paths, bundles = dict(splits(tree, 0)), list(tree.bundles(above))
+        many += len(paths) > 5 * len(bundles)
+        for node, path, code in bundles:
+            assert code.max() < tree.cells(node) <= max(cells, 1 << len(path))
+            for leaf, features, outside in tree.bundled(node, path):
+                left = np.zeros(len(values), int)
+                for feature, cut, side in paths[leaf]:
+                    left |= (above[feature][cut] != side).astype(int) << features.index(feature)
+                assert (outside[code] == left).all()
+    assert cells < 1 << 11 or many == len(trees.trees)
+
+
 def test_dependence_counts_rows_and_scores_none(table, monkeypatch):
     """The forest's means come from counts; scoring every row at every point gives the same."""
     model = models.random_forest(6, 6).fit(models.training_matrix(table, FEATURES, "y"))
