@@ -118,8 +118,11 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _classed(batches: Iterator[pa.RecordBatch], end_class: int, end_log: float, unit: float) -> Iterator[pa.RecordBatch]:
-    """From blocks sorted dictionary first: class codes and the sums that need no states."""
+def _classed(batches: Iterator[pa.RecordBatch], sizes: np.ndarray, end_class: int, end_log: float, unit: float) -> Iterator[pa.RecordBatch]:
+    """From blocks sorted dictionary first: class codes and the sums that need no states.
+
+    ``sizes`` has what the counts of each class's words are divided by; 0 for a word that is a class.
+    """
     block, pieces, ready = None, [], False
     for batch in batches:
         blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
@@ -129,11 +132,13 @@ def _classed(batches: Iterator[pa.RecordBatch], end_class: int, end_log: float,
             if blocks[low] != block:
                 block, pieces, ready = blocks[low], [], False
             if kinds[low] == 0:
-                pieces.append([part.column(c).to_numpy() for c in ("class", "c", "within")])
+                pieces.append([part.column(c).to_numpy() for c in ("class", "c")])
                 continue
             if not ready:
-                columns = [np.concatenate(c) for c in zip(*pieces, strict=True)] if pieces else [np.zeros(0)] * 3
-                classes, c, within = columns[0].astype(np.uint16), columns[1], columns[2]
+                columns = [np.concatenate(c) for c in zip(*pieces, strict=True)] if pieces else [np.zeros(0)] * 2
+                classes, c = columns[0].astype(np.uint16), columns[1]
+                size = sizes[classes]
+                within = np.where(size > 0, np.log10((c + 1) / np.maximum(size, 1)), 0.0)
                 base, known, ready = np.log10(c + 1) - unit, c > 0, True
             out = []
             for raw in part.column("words").to_pylist():
@@ -305,14 +310,15 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", states: int = STATE
     head = docs.sparkSession.createDataFrame(head_rows, "word long, head int")
     counts = counts.join(F.broadcast(head), "word", "left")
     tails = counts.where("head is null").groupBy("spelling").agg(F.sum("c").alias("n_class"), F.count(F.when(F.col("c") > 0, 1)).alias("v_class"))
-    counts = counts.join(F.broadcast(tails.withColumnRenamed("spelling", "_s")), F.col("spelling") == F.col("_s"), "left")
-    within = F.when(F.col("head").isNotNull(), 0.0).otherwise(F.log10((F.col("c") + 1) / (F.col("n_class") + F.col("v_class") + 1)))
-    counts = counts.select("word", "c", F.coalesce("head", F.col("spelling") + len(heads)).cast("int").alias("class"), within.alias("within"))
     classes = len(heads) + SPELLINGS + 1
-    entries = dictionary.select("block", "kind", "code", "word").join(counts, "word").select("block", "kind", "code", "class", "c", "within")
+    sizes = np.zeros(classes)
+    for r in tails.collect():  # a row per spelling class at most
+        sizes[len(heads) + r["spelling"]] = r["n_class"] + r["v_class"] + 1
+    counts = counts.select("word", "c", F.coalesce("head", F.col("spelling") + len(heads)).cast("int").alias("class"))
+    entries = dictionary.select("block", "code", "word").join(counts, "word").select("block", F.lit(0).alias("kind"), "code", "class", "c")
     both = texts.select("block", "kind", "doc_id", "held_out", "words").unionByName(entries, allowMissingColumns=True)
     both = both.repartition("block").sortWithinPartitions("block", "kind", "code")
-    run = partial(_classed, end_class=classes - 1, end_log=math.log10(n_texts + 1), unit=math.log10(n + v + 1))
+    run = partial(_classed, sizes=sizes, end_class=classes - 1, end_log=math.log10(n_texts + 1), unit=math.log10(n + v + 1))
     coded = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary")
     coded = materialize(coded, "classes")
     model = train(coded.where("not held_out"), classes, states, passes)

@@ -325,6 +325,19 @@ def test_best_fit_is_tightest_compatible():
     assert packing.pack(pieces, 100) == expected
 
 
+def test_hidden_markov_dictionary_carries_counts_alone():
+    """Within a class a word has (count + 1) / size; the sizes are known to the task and not sent with each word."""
+    nothing = [None, None]
+    entries = pa.RecordBatch.from_pydict({"block": [7, 7], "kind": [0, 0], "doc_id": nothing, "held_out": nothing, "words": nothing,
+                                          "code": [0, 1], "class": [0, 3], "c": [5, 1]})
+    raw = hidden_markov.packed(np.array([1, 0, 1]))
+    texts = pa.RecordBatch.from_pydict({"block": [7], "kind": [1], "doc_id": [9], "held_out": [False], "words": [raw]})
+    (found,) = hidden_markov._classed(iter([entries, texts]), np.array([0, 0, 0, 8.0, 0]), 4, 0.0, 1.0)
+    assert found.column("within").to_pylist() == [pytest.approx(2 * np.log10(2 / 8))]
+    assert found.column("base_score").to_pylist() == [pytest.approx(2 * np.log10(2) + np.log10(6) - 4)]
+    assert np.frombuffer(found.column("classes")[0].as_py(), np.uint16).tolist() == [3, 0, 3, 4]
+
+
 def test_hidden_markov_counts(docs):
     rows = ODD + [(200 + i, prose(i, 50, 300), "s") for i in range(60)]
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
