@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom import session
 from riskloom.operators import encoding, evaluation, models, registry
+from riskloom.plans import models as plans
 
 FEATURES = [f"x{i}" for i in range(8)]
 
@@ -214,3 +215,18 @@ def test_kernel_margins_are_computed_in_batches(planted):
         assert r._margin == pytest.approx(sum(a * b for a, b in zip(z, machine.weights)) + machine.weights[-1])
     plan = machine.transform(planted)._jdf.queryExecution().optimizedPlan().toString()
     assert "COS(" not in plan.upper()
+
+
+def test_both_versions_of_the_registry_train_on_one_written_table(spark, monkeypatch):
+    """Training rows are joined and written once; both versions and the hold-out rows are read from them."""
+    rng = random.Random(3)
+    names = plans.FEATURES
+    rows = spark.createDataFrame([(i, *[rng.random() for _ in names], i % 2) for i in range(200)],
+                                 "application_id long, " + ", ".join(f"{n} double" for n in names) + ", default_risk int")
+    calls = []
+    monkeypatch.setattr(plans, "matrix", lambda *_: calls.append(1) or rows)
+    monkeypatch.setattr(models, "random_forest", lambda: models.RandomForest(2, 2, least=2, seed=1))
+    registry, holdout = plans._registry(spark, "unused")
+    found = {(r.model_name, r.version, r.status) for r in registry.collect()}
+    assert found == {(n, *v) for n in ("Random Forest", "Logistic Regression") for v in (("v1", "Archived"), ("v2", "Production"))}
+    assert len(calls) == 1 and 0 < holdout.count() < 100
