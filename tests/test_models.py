@@ -230,3 +230,29 @@ def test_both_versions_of_the_registry_train_on_one_written_table(spark, monkeyp
     found = {(r.model_name, r.version, r.status) for r in registry.collect()}
     assert found == {(n, *v) for n in ("Random Forest", "Logistic Regression") for v in (("v1", "Archived"), ("v2", "Production"))}
     assert len(calls) == 1 and 0 < holdout.count() < 100
+
+
+@pytest.mark.parametrize("name", ["_explained", "model_dependence"])
+def test_explained_rows_are_the_written_training_table(spark, monkeypatch, name):
+    rng, written = random.Random(6), []
+    rows = spark.createDataFrame(
+        [(i, *[rng.random() for _ in plans.FEATURES], rng.randrange(2)) for i in range(300)],
+        "application_id long, " + ", ".join(f"{f} double" for f in plans.FEATURES) + ", default_risk int")
+    monkeypatch.setattr(plans, "matrix", lambda *_: written.append(1) or session.materialize(rows, "training"))
+    monkeypatch.setattr(models, "random_forest", lambda: models.RandomForest(3, 3, least=2, seed=1))
+    getattr(plans, name)(spark, "")
+    assert len(written) == 1
+
+
+def test_steps_of_a_waterfall_are_not_shuffled(spark, monkeypatch):
+    wide = spark.createDataFrame([(i, *[float(i)] * 8, 0.25, [0.5, -0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.125]) for i in (1, 2, 3, 3)],
+                                 "application_id long, " + ", ".join(f"{f} double" for f in plans.FEATURES) + ", base double, phi array<double>")
+    scores = spark.createDataFrame([(1, 0.625), (2, 0.5), (3, 0.625), (None, 0.625)], "application_id long, score double")
+    monkeypatch.setattr(plans, "_explained", lambda *_: (wide, scores))
+    found = plans.model_waterfall(spark, "")
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [i for i, line in enumerate(lines) if "Generate inline" in line][0]
+    last = [i for i, line in enumerate(lines) if "HashAggregate" in line or "SortAggregate" in line]
+    assert last and not any("Exchange" in line for line in lines[last[0]:below])
+    rows = [tuple(r) for r in found.orderBy("application_id").collect()]
+    assert rows == [(1, 10, True, True, True), (2, 10, True, True, False), *[(3, 20, True, False, True)] * 2]
