@@ -37,6 +37,8 @@ from riskloom.session import materialize
 DROPPED = 24
 CELL = 512
 COLUMNS_AT_ONCE = 2048
+#: Bits of the marks by which rows are let through to a join (4 MB, however large the tables).
+MARKS = 1 << 25
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -231,6 +233,19 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(partial(_forest, percent=percent), "a string, b string")
 
 
+def _marked(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``docs`` whose keys may be among those of ``wanted``: no wanted row is lost, few others stay.
+
+    Each wanted row sets one of ``MARKS`` bits. Only the marks are broadcast, in at most ``MARKS`` / 64
+    rows, so the texts of all other rows need not be shuffled for the join that follows.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    word, at = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("_at")
+    marks = wanted.select(word, at).select("_word", F.expr("shiftleft(1L, _at)").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    placed = docs.select("*", word, at).join(F.broadcast(marks), "_word")
+    return placed.where(F.getbit("_bits", F.col("_at")) == 1).select(*docs.columns)
+
+
 def _cells(sets: DataFrame, group: list[str], percent: int) -> DataFrame:
     """Append ``cell``: at most about CELL sets of one group and size class."""
     width = float(np.log(100 / percent)) if percent < 100 else 1.0
@@ -317,7 +332,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     enough = F.col("shared") >= 1 + F.floor(_lowest("n", percent) / 8)
     short = F.conv(F.substring("node", 1, 16), 16, -10).cast("long")
     alive = materialize(nodes.withColumn("short", short).join(shared, "short").where(enough).select("node", "doc_id", "spelled"), "alive")
-    sets = docs.join(alive, docs.doc_id.eqNullSafe(alive.doc_id) & (docs.spelled == alive.spelled)).select("node", "text")
+    near = _marked(docs, alive, ["doc_id", "spelled"])
+    sets = near.join(alive, near.doc_id.eqNullSafe(alive.doc_id) & (near.spelled == alive.spelled)).select("node", "text")
     sets = sets.mapInArrow(partial(_sets, k=k), "node string, n long, shingles binary").dropDuplicates(["node"])
     sets = materialize(sets.withColumn("short", short), "sets")
     shared = sets.mapInArrow(_all_tokens, "token long, node long").repartition("token").sortWithinPartitions("token", "node")

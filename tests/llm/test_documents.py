@@ -128,6 +128,19 @@ def test_jaccard_rows_without_id(docs):
     assert len(found) == 60 and all(r["component_id"] is None for r in found) and sorted(groups.values()) == [2] * 30
 
 
+@pytest.mark.parametrize("marks", [64, 1 << 25])
+def test_jaccard_marks_lose_no_wanted_row(docs, marks, monkeypatch):
+    """Only rows that may be looked up go into the join that shuffles their texts; each that is looked up does."""
+    monkeypatch.setattr(jaccard, "MARKS", marks)
+    rows = docs([(i if i % 7 else None, prose(i, 9), "x") for i in range(400)]).select("doc_id", "text", F.xxhash64("text").alias("spelled"))
+    wanted = rows.where("spelled % 8 = 0")
+    kept, sought = ({r.text for r in t.collect()} for t in (jaccard._marked(rows, wanted, ["doc_id", "spelled"]), wanted))
+    assert sought and sought <= kept
+    assert marks == 64 or kept == sought
+    near = near_copies(3, 5, 30, 120)
+    assert rows_of(jaccard.jaccard_components(docs(near), 4, 85), "doc_id", "n_shingles", "component_id") == expected_components(near, 4, 85)
+
+
 def expected_removal(rows, length):
     raws = [(t or "").encode() for _, t, _ in rows]
     seen = Counter(raw[i:i + length] for raw in raws for i in range(len(raw) - length + 1))
