@@ -3,9 +3,9 @@
 The rows are binned as for the forests, once. A round draws its rows, takes their pseudo-residuals
 as MLlib's gradient boosting does (log loss of labels -1 and 1; the first tree fits the labels
 themselves) and fits a regression tree by variance: a pass over the rows grows one level. A task
-adds rows, residuals and squares by open node, feature and bin; sums are added per feature in
-Spark, where each node's best cut of that feature is found; the driver takes the best of the
-features that the node drew.
+adds rows, residuals and squares by open node, feature and bin. The driver adds what the tasks of
+a small cluster send; beyond ``COLLECTED`` tasks the sums are added per feature in Spark, where each
+node's best cut of that feature is found. The driver takes the best of the features that the node drew.
 
 Between rounds the rows carry their margin. It is kept by Spark (memory, then disk) for one round
 and written to the shared folder every ``WRITTEN`` rounds, so that a lost executor repeats a few
@@ -35,6 +35,8 @@ from riskloom.operators import forest
 from riskloom.operators.forest import BINS
 
 WRITTEN = 10
+#: Tasks whose sums the driver adds itself, which takes one stage a level instead of two.
+COLLECTED = 64
 _UNIT = 1 << 20
 _STATE = "bins binary, classes binary, keys binary, margins binary, drawn binary, residuals binary"
 _SPLITS = "feature long, splits binary"
@@ -207,7 +209,8 @@ class BoostedTrees:
         if classes > 2:
             raise ValueError("labels are 0 and 1")
         d, draw = len(cuts), (self.seed, self.share)
-        state = blocks.mapInArrow(partial(_begun, d=d, draw=draw), _STATE).persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = spark.sparkContext.defaultParallelism
+        state = blocks.coalesce(tasks).mapInArrow(partial(_begun, d=d, draw=draw), _STATE).persist(StorageLevel.MEMORY_AND_DISK)
         trees, before = [], None
         for number in range(self.rounds):
             tree = self._grown(spark, state, d, number)
@@ -219,7 +222,7 @@ class BoostedTrees:
                 values = tree.values() * (self.step if number else 1.0)
                 advance = partial(_advanced, d=d, tree=(tree.feature, tree.cut), values=values, depth=self.depth, draw=draw, number=number + 1)
                 state = state.mapInArrow(advance, _STATE)
-                state = session.materialize(state, "boosted") if (number + 1) % WRITTEN == 0 else state.persist(StorageLevel.MEMORY_AND_DISK)
+                state = session.materialize(state, "boosted").coalesce(tasks) if (number + 1) % WRITTEN == 0 else state.persist(StorageLevel.MEMORY_AND_DISK)
         state.unpersist()
         return self._model(spark, [tree.nodes(cuts) for tree in trees], d)
 
@@ -231,9 +234,13 @@ class BoostedTrees:
             drawn = np.random.default_rng([self.seed, number, level]).random((len(tree.open), d)).argsort(1)[:, :slots]
             count = partial(_counted, d=d, tree=(tree.feature, tree.cut), place=tree.place(level), level=level)
             counted = state.select("bins", "drawn", "residuals").mapInArrow(count, "feature long, sums binary")
-            counted = counted.repartition(min(session.parallelism(spark), d), "feature")
-            best = counted.mapInArrow(partial(_best, nodes=len(tree.open)), _SPLITS).collect()
-            tree.split({r.feature: np.frombuffer(r.splits).reshape(len(tree.open), -1) for r in best}, drawn, level)
+            best = partial(_best, nodes=len(tree.open))
+            if spark.sparkContext.defaultParallelism > COLLECTED:
+                found = counted.repartition(min(session.parallelism(spark), d), "feature").mapInArrow(best, _SPLITS).toArrow().to_batches()
+            else:
+                found = best(iter(counted.toArrow().to_batches()))
+            pairs = [pair for b in found for pair in zip(b.column("feature").to_pylist(), b.column("splits"), strict=True)]
+            tree.split({j: np.frombuffer(splits.as_buffer()).reshape(len(tree.open), -1) for j, splits in pairs}, drawn, level)
         return tree
 
     def _model(self, spark: SparkSession, trees: list[list[tuple]], d: int) -> GBTClassificationModel:
