@@ -1,6 +1,8 @@
 import math
 import random
+import time
 from multiprocessing.pool import ThreadPool
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -94,6 +96,21 @@ def test_cross_validation(planted):
     assert row.mean_auc > 0.95 and 0 <= row.std_auc < 0.05 and len(row.scores) == 5
 
 
+def test_fits_side_by_side_ship_once(monkeypatch):
+    """Fits of a cross-validation start at once; adding the package's file twice at once is an error."""
+    monkeypatch.setattr(session, "_shipped", {})
+    added = []
+
+    def add(path):
+        time.sleep(0.2)
+        added.append(path)
+
+    context = SimpleNamespace(applicationId="side-by-side", addPyFile=add)
+    with ThreadPool(4) as pool:
+        pool.map(session.ship, [SimpleNamespace(sparkContext=context)] * 4)
+    assert len(added) == 1
+
+
 def test_registry(spark):
     metrics = spark.createDataFrame([("m", 0.9, 0.8, 0.7, 0.6, 0.5)], "model string, " + ", ".join(
         f"{m} double" for m in evaluation.METRICS))
