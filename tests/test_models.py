@@ -273,3 +273,40 @@ def test_steps_of_a_waterfall_are_not_shuffled(spark, monkeypatch):
     assert last and not any("Exchange" in line for line in lines[last[0]:below])
     rows = [tuple(r) for r in found.orderBy("application_id").collect()]
     assert rows == [(1, 10, True, True, True), (2, 10, True, True, False), *[(3, 20, True, False, True)] * 2]
+
+
+_WIDE = "application_id long, " + ", ".join(f"{f} double" for f in plans.FEATURES) + ", score double, base double, phi array<double>"
+
+
+def _scored_wide(spark):
+    """Ids 1 and 2 once, 3 twice with unlike rows, two rows without an id."""
+    row = lambda i, first, score: (i, *[float(first)] * 8, score, 0.5, [first / 10, -0.25, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+    return spark.createDataFrame([row(1, 1, 0.35), row(2, 2, 0.9), row(3, 3, 0.55), row(3, 4, 0.65), row(None, 1, 0.35), row(None, 2, 0.2)], _WIDE)
+
+
+
+def test_explanation_facts_pair_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(plans, "_explained_scored", lambda *_: session.materialize(_scored_wide(spark), "attributions"))
+    rows = plans.model_explanation_facts(spark, "").collect()
+    assert sorted((r.application_id, r.is_probability, r.impacts_fit) for r in rows if r.application_id < 3) == [(1, True, True), (2, False, True)]
+    # Explanation, score and attributions of each of two rows: eight combinations.
+    assert sorted((r.is_probability, r.impacts_fit) for r in rows if r.application_id == 3) == [(a, b) for a in (False, True) for b in (False, True) for _ in range(2)]
+    assert all(r.level_fits and r.impacts == 8 for r in rows) and len(rows) == 10
+
+
+@pytest.mark.parametrize("name", ["model_explanation_facts"])
+def test_facts_score_rows_once_and_move_ids_alone(spark, monkeypatch, name):
+    rng, scored = random.Random(8), []
+    rows = spark.createDataFrame(
+        [(i, *[rng.random() for _ in plans.FEATURES], rng.randrange(2)) for i in range(300)],
+        "application_id long, " + ", ".join(f"{f} double" for f in plans.FEATURES) + ", default_risk int")
+    real = models.scored_rows
+    monkeypatch.setattr(models, "scored_rows", lambda *a: scored.append(a[3:]) or real(*a))
+    monkeypatch.setattr(plans, "matrix", lambda *_: session.materialize(rows, "training"))
+    monkeypatch.setattr(models, "random_forest", lambda: models.RandomForest(3, 3, least=2, seed=1))
+    found = getattr(plans, name)(spark, "")
+    assert len([1 for kept in scored if kept]) == 1  # the hold-out rows keep no column
+    held = found.collect()
+    assert len(held) == 300 and all(v for r in held for k, v in r.asDict().items() if isinstance(v, bool))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Exchange hashpartitioning(application_id" not in plan and "SortMergeJoin" not in plan and "RandomForest" not in plan
