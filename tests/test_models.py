@@ -285,6 +285,15 @@ def _scored_wide(spark):
 
 
 
+def test_attribution_facts_pair_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(plans, "_explained_scored", lambda *_: session.materialize(_scored_wide(spark), "attributions"))
+    found = plans.attribution_facts(spark, "")
+    assert sorted((r.application_id, r.credit_score, r.adds_up) for r in found.collect()) == [
+        (1, 1.0, True), (2, 2.0, False), (3, 3.0, False), (3, 3.0, True), (3, 4.0, False), (3, 4.0, True)]
+    # Mean of all six scores, also of rows without an id: 0.5.
+    assert {r.base_is_mean for r in found.collect()} == {True}
+
+
 def test_explanation_facts_pair_rows_that_share_an_id(spark, monkeypatch):
     monkeypatch.setattr(plans, "_explained_scored", lambda *_: session.materialize(_scored_wide(spark), "attributions"))
     rows = plans.model_explanation_facts(spark, "").collect()
@@ -294,7 +303,7 @@ def test_explanation_facts_pair_rows_that_share_an_id(spark, monkeypatch):
     assert all(r.level_fits and r.impacts == 8 for r in rows) and len(rows) == 10
 
 
-@pytest.mark.parametrize("name", ["model_explanation_facts"])
+@pytest.mark.parametrize("name", ["attribution_facts", "model_explanation_facts"])
 def test_facts_score_rows_once_and_move_ids_alone(spark, monkeypatch, name):
     rng, scored = random.Random(8), []
     rows = spark.createDataFrame(
